@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import compute_once
+
 # Special-purpose address blocks that are not globally reachable, and
 # the more specific blocks inside them that are (IANA registries).
 IPV4_NOT_GLOBAL = [
@@ -102,7 +104,7 @@ def classify_ips(df: DataFrame, column: str, out: str = "scope") -> DataFrame:
     used = F.col("_used")
     mapped = F.conv(F.substring(F.col("_d"), 25, 8), 16, 10).cast("bigint")
     word = lambda flag: F.when(flag, F.lit("global")).otherwise(F.lit("host_scoped"))
-    return (
+    staged = (
         df
         .withColumn("_a", F.when(
             text.contains(":") & ((F.size(zone) == 1)
@@ -128,10 +130,11 @@ def classify_ips(df: DataFrame, column: str, out: str = "scope") -> DataFrame:
                      F.repeat(F.lit("0000"), (F.lit(8) - used).cast("int")),
                      _padded(F.col("_tail")))))
         .withColumn("_n", F.when(text.rlike(IPV4_PATTERN), _v4_number(text)).when(
-            _in_v6(F.col("_d"), "::ffff:0:0/96"), mapped))
-        # An IPv4-mapped address is as global as the IPv4 address inside it.
-        .withColumn(out, F.when(F.col("_n").isNotNull(), word(_v4_global(F.col("_n")))).when(
-            F.col("_d").isNotNull(), word(
-                ~_any([_in_v6(F.col("_d"), b) for b in IPV6_NOT_GLOBAL])
-                | _any([_in_v6(F.col("_d"), b) for b in IPV6_GLOBAL_INSIDE]))))
-        .drop("_a", "_quad", "_b", "_gap", "_head", "_tail", "_used", "_d", "_n"))
+            _in_v6(F.col("_d"), "::ffff:0:0/96"), mapped)))
+    # An IPv4-mapped address is as global as the IPv4 address inside it.
+    return compute_once(staged, **{out: F.when(
+        F.col("_n").isNotNull(), word(_v4_global(F.col("_n")))).when(
+        F.col("_d").isNotNull(), word(
+            ~_any([_in_v6(F.col("_d"), b) for b in IPV6_NOT_GLOBAL])
+            | _any([_in_v6(F.col("_d"), b) for b in IPV6_GLOBAL_INSIDE])))}).drop(
+        "_a", "_quad", "_b", "_gap", "_head", "_tail", "_used", "_d", "_n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Placeholders, sensitive names and token shapes that are masked.
@@ -24,6 +24,17 @@ QUOTED_PATTERN = r'^"([^"]*)"$'
 IP_LIST_PATTERN = r"^\d{1,3}(?:\.\d{1,3}){3}(?:\s*,\s*\d{1,3}(?:\.\d{1,3}){3})*$"
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    The optimizer substitutes a projected expression into every filter above it; for a
+    parsed line that would run the line pattern once per use. A one-element ``inline`` is
+    a boundary it does not move filters across, and it stays in generated code.
+    """
+    fields = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(fields)))
+
+
 def is_blank(text: Column) -> Column:
     return text.rlike(r"(?U)^\s*$")
 

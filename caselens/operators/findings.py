@@ -70,7 +70,8 @@ def read_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
                     "findings": [{"seq": n, "severity": i["suspicion"],
                                   "summary": i["summary"].strip(), "line_refs": _line_refs(i)}
                                  for n, i in enumerate(good)]})
-            yield pd.concat([frame[base].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
+            known = frame[base].astype(object).to_dict("records")
+            yield pd.DataFrame([a | b for a, b in zip(known, rows)], dtype=object)
 
     read = replies.select(*base, "content").mapInPandas(batches, out)
     findings = read.select(*base, F.explode("findings").alias("f")).select(*base, "f.*")
@@ -119,7 +120,7 @@ def findings_to_hits(findings: DataFrame, hits: DataFrame) -> DataFrame:
             refs = [int(r) for r in item.line_refs]
             rows.append((item.run_id, item.source_id, item.line_from, item.line_to, line,
                          item.severity, item.summary, refs, len(refs) - len(options) + 1))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
     chosen = (candidates.join(taken, ["source_id", "_run"], "left")
               .withColumnRenamed("_refs", "refs_in")

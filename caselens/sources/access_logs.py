@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import forwarded_for, is_blank, split_request
+from ..functions.columns import compute_once, forwarded_for, is_blank, split_request
 from ..schema import norm_struct
 
 # Line shapes and the time shape of access logs.
@@ -45,15 +45,12 @@ def _access_log(lines: DataFrame, pattern: str, n: int, no_match: str, bad_time:
     size_number = F.when(size.rlike(r"^[+-]?\d+$"), size.try_cast("decimal(38,0)").cast("string"))
     trailing = F.trim(item(8)) if n > 8 else F.lit("")
     xff = forwarded_for(F.col("_trail"))
-    staged = (
-        lines
-        .withColumn("_blank", is_blank(F.col("raw")))
-        .withColumn("_g", F.when(~F.col("_blank"), _groups(F.col("raw"), pattern, n)))
-        .withColumn("_trail", trailing)
-        .withColumn("_dt", F.when(
-            time_text.rlike(TIME_PATTERN),
-            F.try_to_timestamp(F.substring(time_text, 1, 20), F.lit(TIME_FORMAT)))
-            .cast("timestamp_ntz")))
+    staged = compute_once(lines, _blank=is_blank(F.col("raw")))
+    staged = compute_once(staged, _g=F.when(~F.col("_blank"), _groups(F.col("raw"), pattern, n)))
+    staged = compute_once(
+        staged, _trail=trailing,
+        _dt=F.when(time_text.rlike(TIME_PATTERN), F.try_to_timestamp(
+            F.substring(time_text, 1, 20), F.lit(TIME_FORMAT))).cast("timestamp_ntz"))
     reason = (
         F.when(F.col("_blank"), F.lit("blank line"))
         .when(g.isNull(), F.lit(no_match))
@@ -72,9 +69,9 @@ def _access_log(lines: DataFrame, pattern: str, n: int, no_match: str, bad_time:
     if n > 8:
         norm |= {"referer": _dash(item(6)), "ua": _dash(item(7)), "xff": xff}
         extras["trailing"] = F.when((F.col("_trail") != "") & xff.isNull(), F.col("_trail"))
-    staged = staged.withColumn("reason", reason).withColumn(
-        "kind", F.when(F.col("_blank"), "skip").when(F.col("reason").isNotNull(), "bad")
-        .otherwise("event"))
+    staged = compute_once(staged, reason=reason)
+    staged = compute_once(staged, kind=F.when(F.col("_blank"), "skip").when(
+        F.col("reason").isNotNull(), "bad").otherwise("event"))
     is_event = F.col("kind") == "event"
     return staged.select(
         "source_id", "line_no", "kind", "raw",

@@ -108,11 +108,15 @@ def parse_event_xml(records: DataFrame) -> DataFrame:
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            parsed = pd.DataFrame([_record(x) for x in frame["raw"]], index=frame.index)
-            parsed = parsed.reindex(columns=[c for c in columns if c not in frame.columns])
-            parsed["kind"] = parsed["reason"].isna().map({True: "event", False: "bad"})
-            parsed["ts_direct"] = pd.to_datetime(parsed["ts_direct"], utc=True)
-            yield pd.concat([frame, parsed], axis=1)[columns]
+            rows = [{"kind": "event", **_record(x), "raw": x} for x in frame["raw"]]
+            for row, source, line_no in zip(rows, frame["source_id"], frame["line_no"]):
+                row |= {"source_id": source, "line_no": line_no}
+                if row.get("reason"):
+                    row["kind"] = "bad"
+            out = pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns,
+                               dtype=object)
+            out["ts_direct"] = pd.to_datetime(out["ts_direct"], utc=True)
+            yield out
 
     out = records.select("source_id", "line_no", "raw").mapInPandas(batches, _OUT)
     is_event = F.col("kind") == "event"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_blank
+from ..functions.columns import compute_once, is_blank
 from ..operators.ordered import carry_forward
 from ..schema import norm_struct
 
@@ -32,31 +32,31 @@ def parse_iis_w3c(lines: DataFrame) -> DataFrame:
     headed = carry_forward(
         lines, ["source_id"], "line_no",
         F.when(directive, F.substring(raw, F.lit(9), F.length(raw))), "_fields")
-    staged = (
-        headed
-        .withColumn("_blank", is_blank(raw))
-        .withColumn("_names", F.filter(F.split("_fields", r"(?U)\s+"), lambda n: n != ""))
-        .withColumn("_parts", F.split(raw, " "))
-        .withColumn("_note", F.when(F.col("_blank"), "skip").when(raw.startswith("#"), "skip"))
-        .withColumn("_ok", F.col("_note").isNull() & F.col("_names").isNotNull()
-                    & (F.size("_names") == F.size("_parts"))))
-    staged = staged.withColumn("_row", F.when(F.col("_ok"), _last_wins()))
+    staged = compute_once(
+        headed, _blank=is_blank(raw), _parts=F.split(raw, " "),
+        _names=F.filter(F.split("_fields", r"(?U)\s+"), lambda n: n != ""))
+    staged = compute_once(
+        staged, _note=F.col("_blank") | raw.startswith("#"),
+        _ok=~F.col("_blank") & ~raw.startswith("#") & F.col("_names").isNotNull()
+        & (F.size("_names") == F.size("_parts")))
+    staged = compute_once(staged, _row=F.when(F.col("_ok"), _last_wins()))
     get = lambda name: F.col("_row").getItem(name)
     both = (get("date") != "") & (get("time") != "")
-    staged = staged.withColumn("ts_raw", F.when(
+    staged = compute_once(staged, ts_raw=F.when(
         both, F.concat_ws(" ", get("date"), get("time"))))
-    staged = staged.withColumn("_dt", F.when(
+    staged = compute_once(staged, _dt=F.when(
         F.col("ts_raw").rlike(r"^\d{1,4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
         F.try_to_timestamp("ts_raw", F.lit("yyyy-M-d H:m:s"))).cast("timestamp_ntz"))
     reason = (
         F.when(F.col("_blank"), F.lit("blank line"))
-        .when(F.col("_note").isNotNull(), F.lit("directive or comment"))
+        .when(F.col("_note"), F.lit("directive or comment"))
         .when(F.col("_names").isNull(), F.lit("no #Fields line above"))
         .when(~F.col("_ok"), F.format_string(
             "%d columns, #Fields names %d", F.size("_parts"), F.size("_names")))
         .when(F.col("ts_raw").isNotNull() & F.col("_dt").isNull(), F.lit("unreadable time")))
-    kind = F.when(F.col("_note").isNotNull(), "skip").when(reason.isNotNull(), "bad").otherwise(
-        "event")
+    staged = compute_once(staged, reason=reason)
+    staged = compute_once(staged, kind=F.when(F.col("_note"), "skip").when(
+        F.col("reason").isNotNull(), "bad").otherwise("event"))
     norm = {}
     for w3c, field in FIELD_NAMES.items():
         value = F.when(get(w3c) != "-", get(w3c))
@@ -69,7 +69,7 @@ def parse_iis_w3c(lines: DataFrame) -> DataFrame:
     rest = F.map_filter("_row", lambda k, v: (v != "-") & ~k.isin(known) & ~(
         k.isin(numeric) & v.rlike(INTEGER_PATTERN)))
     is_event = F.col("kind") == "event"
-    return staged.withColumn("reason", reason).withColumn("kind", kind).select(
+    return staged.select(
         "source_id", "line_no", "kind", "raw", "ts_raw",
         F.when(is_event, F.col("_dt")).alias("dt_local"),
         F.lit(None).cast("timestamp").alias("ts_direct"),

@@ -83,9 +83,9 @@ def merge_multiline(lines: DataFrame, start_regex: str,
                     done.append(block.row(truncated=False))
                 block = _OpenBlock(key, line_no, text, orphan=False)
             if done:
-                yield pd.DataFrame(done, columns=columns)
+                yield pd.DataFrame(done, columns=columns, dtype=object)
         if block is not None:
-            yield pd.DataFrame([block.row(truncated=False)], columns=columns)
+            yield pd.DataFrame([block.row(truncated=False)], columns=columns, dtype=object)
 
     return (with_start_line(lines, start_regex)
             .where(F.col("_start").isNotNull())

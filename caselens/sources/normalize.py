@@ -8,6 +8,7 @@ from zoneinfo import ZoneInfo
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.addresses import classify_ips
@@ -44,7 +45,8 @@ def _zone(declared: str | None) -> tuple[str | None, int | None]:
     return None, -minutes if match[1] == "-" else minutes
 
 
-@pandas_udf("zone string, minutes int")
+@pandas_udf(T.StructType([T.StructField("zone", T.StringType()),
+                          T.StructField("minutes", T.IntegerType())]))
 def resolve_zone(declared: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_zone(d) for d in declared], columns=["zone", "minutes"])
 
