@@ -28,21 +28,20 @@ def _bins(low, high, widths: list[int]):
     each level the bins up to the next boundary of the level above. The widest level runs
     on to ``high``; what it covers beyond is cut by the time condition of the join.
     """
+    def listed(width, first, last):
+        bins = F.when(first <= last, F.sequence(first, last)).otherwise(
+            F.array().cast("array<bigint>"))
+        return F.transform(bins, lambda b: F.struct(
+            F.lit(width).cast("bigint").alias("w"), b.alias("b")))
+
     parts, start = [], low
+    floor = lambda value, width: F.floor(value / F.lit(width))
     for width, wider in zip(widths, widths[1:]):
-        boundary = F.ceil(start / F.lit(wider).cast("decimal(20,0)")).cast("bigint") * wider
-        last = F.least(F.floor((boundary - 1) / F.lit(width)),
-                       F.floor(high / F.lit(width)))
-        first = F.floor(start / F.lit(width))
-        parts.append(F.transform(
-            F.when(first <= last, F.sequence(first, last)).otherwise(
-                F.array().cast("array<bigint>")),
-            lambda b, w=width: F.struct(F.lit(w).alias("w"), b.alias("b"))))
+        boundary = floor(start + (wider - 1), wider) * wider
+        parts.append(listed(width, floor(start, width),
+                            F.least(floor(boundary - 1, width), floor(high, width))))
         start = boundary
-    first, last = F.floor(start / F.lit(widths[-1])), F.floor(high / F.lit(widths[-1]))
-    parts.append(F.transform(
-        F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")),
-        lambda b, w=widths[-1]: F.struct(F.lit(w).alias("w"), b.alias("b"))))
+    parts.append(listed(widths[-1], floor(start, widths[-1]), floor(high, widths[-1])))
     return F.concat(*parts)
 
 
@@ -106,7 +105,7 @@ def corroborate(hits: DataFrame, events: DataFrame, sources: DataFrame,
              .join(broadcast_if_small(near, 400), [*group, "_coarse"], "left_semi"))
     levelled = asked.select(
         *group, "source_id", "line_no", "_t",
-        F.explode(F.array(*[F.lit(w) for w in widths])).alias("_w")).withColumn(
+        F.explode(F.array(*[F.lit(w).cast("bigint") for w in widths])).alias("_w")).withColumn(
         "_bin", F.floor(F.col("_t") / F.col("_w")))
     first_in_bin = top_k(levelled, [*group, "_w", "_bin", "source_id"],
                          [F.asc("_t"), F.asc("line_no")], limit, "_r").drop("_r")

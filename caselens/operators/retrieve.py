@@ -50,10 +50,9 @@ def apply_filters(events: DataFrame, q: str | None = None, field_filters: dict |
                        "source_id", "left_semi")
     if q:
         out = out.where(F.col(text).contains(q))
-    if fields:
+    known = set(events.columns)
+    if field_filters and fields:
         known = set(events.schema[fields.rstrip(".")].dataType.names)
-    else:
-        known = set(events.columns)
     for key, wanted in (field_filters or {}).items():
         if not key.replace("_", "").isalnum():
             continue

@@ -131,7 +131,7 @@ def _document_entities(spark, d):
 _PUBLIC = r"""
 ips AS (SELECT source AS source_id, doc_id AS line_no,
     unnest(regexp_extract_all(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b')) AS ip FROM documents),
-oct AS (SELECT *, list_transform(string_split(ip, '.'), x -> CAST(x AS INTEGER)) AS o FROM ips),
+oct AS (SELECT *, list_transform(string_split(ip, '.'), lambda x: CAST(x AS INTEGER)) AS o FROM ips),
 ok AS (SELECT *, o[1] AS a, o[2] AS b, o[3] AS c, o[4] AS e FROM oct
        WHERE list_max(o) <= 255 AND len(regexp_extract_all(ip, '(^|\.)0\d')) = 0),
 sc AS (SELECT source_id, line_no, ip, CASE WHEN a IN (0, 10, 127) OR a >= 240

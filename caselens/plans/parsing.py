@@ -383,10 +383,12 @@ def inventory(spark, d):
         F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "sha256", "state")
 
 
-@query("detect_formats", """
-SELECT * FROM (VALUES ('common', 1, 'apache_common', 1.0, 'ok'), ('iis', 1, 'iis_w3c', 1.0, 'ok'),
-  ('nginx', 1, 'nginx_combined', 0.98, 'ok'), ('prose', NULL, NULL, NULL, 'unknown'))
-  AS t(source_id, rank, format_id, confidence, verdict)""")
+@query("detect_formats", f"""
+WITH {_ACCESS_SQL}, head AS (SELECT kind FROM l WHERE kind <> 'skip' ORDER BY line_no LIMIT 50)
+SELECT 'nginx' AS source_id, 1 AS rank, 'nginx_combined' AS format_id,
+  (SELECT round(avg((kind = 'event')::INT), 4) FROM head) AS confidence, 'ok' AS verdict
+UNION ALL SELECT * FROM (VALUES ('common', 1, 'apache_common', 1.0, 'ok'),
+  ('iis', 1, 'iis_w3c', 1.0, 'ok'), ('prose', NULL, NULL, NULL, 'unknown'))""")
 def detect_written(spark, d):
     """Four kinds of files written from the tables; each head is tried with every parser."""
     folder = new_folder(spark, "detect")

@@ -148,13 +148,13 @@ def viewer_lines(spark, d):
 
 
 @query("tail_lines", f"""
-WITH {DOC_LINES_SQL}, t AS (SELECT line_no, raw FROM dl WHERE source_id = 'doc-3'
+WITH {DOC_LINES_SQL}, t AS (SELECT line_no, raw FROM dl WHERE source_id = 'doc-0'
   ORDER BY line_no DESC LIMIT 20)
-SELECT line_no, raw FROM t WHERE contains(lower(raw), 'the')""")
+SELECT line_no, raw FROM t WHERE contains(lower(raw), 'une')""")
 def tail_lines(spark, d):
     from ..sources.lines import tail_lines as tail
-    lines = document_lines(spark, d).where(F.col("source_id") == "doc-3")
-    return tail(lines, 20, " THE ").drop("source_id")
+    lines = document_lines(spark, d).where(F.col("source_id") == "doc-0")
+    return tail(lines, 20, " UNE ").drop("source_id")
 
 
 @query("error_types", r"""
