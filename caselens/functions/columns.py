@@ -19,7 +19,7 @@ API_KEY_PATTERN = r"(?iU)\bsk-[A-Za-z0-9_\-]{6,}"
 NUMBER_PATTERN = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 ERROR_NAME_PATTERN = r"\b([A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception))\b"
 # Request line, quoted trailer and a list of IPv4 addresses.
-REQUEST_PATTERN = r"(?U)^(\S+) (\S+)(?: (\S+))?$"
+REQUEST_PATTERN = r"(?U)\A\S+ \S+(?: \S+)?\z"
 QUOTED_PATTERN = r'^"([^"]*)"$'
 IP_LIST_PATTERN = r"^\d{1,3}(?:\.\d{1,3}){3}(?:\s*,\s*\d{1,3}(?:\.\d{1,3}){3})*$"
 
@@ -81,21 +81,25 @@ def error_names(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ERROR_NAME_PATTERN), F.lit(1))
 
 
-def _present(text: Column) -> Column:
-    return F.when(text != "", text)
+def request_parts(request: Column) -> Column:
+    """The two or three words of a request line, NULL when it is none."""
+    return F.when(request.rlike(REQUEST_PATTERN), F.split(request, " "))
 
 
-def split_request(request: Column) -> dict[str, Column]:
-    """Request line → method, path, query, protocol, and the text when it is none."""
-    ok = request.rlike(REQUEST_PATTERN)
-    target = F.when(ok, F.regexp_extract(request, REQUEST_PATTERN, 2))
+def split_request(request: Column, parts: Column | None = None) -> dict[str, Column]:
+    """Request line → method, path, query, protocol, and the text when it is none.
+
+    ``parts`` is ``request_parts(request)`` when that was already computed.
+    """
+    parts = request_parts(request) if parts is None else parts
+    target = F.get(parts, F.lit(1))
     return {
-        "method": F.when(ok, F.regexp_extract(request, REQUEST_PATTERN, 1)),
+        "method": F.get(parts, F.lit(0)),
         "path": F.substring_index(target, "?", 1),
         "query": F.when(F.instr(target, "?") > 0,
                         F.substring(target, F.instr(target, "?") + 1, F.length(target))),
-        "protocol": F.when(ok, _present(F.regexp_extract(request, REQUEST_PATTERN, 3))),
-        "unparsed": F.when(~ok, _present(request)),
+        "protocol": F.get(parts, F.lit(2)),
+        "unparsed": F.when(parts.isNull() & (request != ""), request),
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_folder
+from ..session import new_folder, spread
 from ..sources import access_logs, descriptors, detect, event_xml, files, iis_logs, multiline
 from ..sources import lines as text_lines
 from ..sources.normalize import build_events, extract_entities
@@ -15,7 +15,7 @@ from .registry import DOC_LINES_SQL, document_lines, query, table
 
 def access_lines(spark: SparkSession, d: str, combined: bool = True) -> DataFrame:
     """One access log line per event, some of them blank or broken."""
-    ev = table(spark, d, "events")
+    ev = spread(table(spark, d, "events"))
     k, uid = F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
     is_public = F.col("user_id") % 3 != 0
     text = F.concat(
@@ -177,7 +177,7 @@ def write_and_read(spark, d):
 
 def iis_lines(spark: SparkSession, d: str) -> DataFrame:
     """W3C lines whose column order changes along the file."""
-    ev = table(spark, d, "events")
+    ev = spread(table(spark, d, "events"))
     moment = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     uid = F.col("user_id").cast("string")
     k = F.get_json_object("props", "$.k")
@@ -217,7 +217,7 @@ SELECT event_id + 1 AS line_no, CASE WHEN event_id % 50 = 0 OR event_id % 53 = 0
 FROM (SELECT event_id, user_id, event_type, ts, json_extract_string(props, '$.k') AS k,
   event_id % 50 <> 0 AND event_id % 53 <> 0 AS e FROM events)""")
 def parse_xml(spark, d):
-    ev = table(spark, d, "events")
+    ev = spread(table(spark, d, "events"))
     uid = F.col("user_id").cast("string")
     xml = F.concat(
         F.lit("<Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System>"
@@ -251,7 +251,7 @@ SELECT event_id + 1 AS line_no, CASE WHEN event_id % 71 = 0 THEN 'bad' ELSE 'eve
   CASE WHEN e THEN epoch_us(date_trunc('second', ts)) END AS ts_us
 FROM (SELECT *, json_extract_string(props, '$.k') AS k, event_id % 71 <> 0 AS e FROM events)""")
 def parse_regex(spark, d):
-    ev = table(spark, d, "events")
+    ev = spread(table(spark, d, "events"))
     k = F.get_json_object("props", "$.k")
     text = F.concat(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" u"), F.col("user_id").cast("string"),
@@ -279,7 +279,7 @@ SELECT event_id + 1 AS line_no, CASE WHEN event_id % 61 = 0 THEN 'bad' ELSE 'eve
   CASE WHEN e THEN epoch_us(date_trunc('second', ts)) END AS ts_us
 FROM (SELECT *, event_id % 61 <> 0 AS e FROM events)""")
 def parse_json(spark, d):
-    ev = table(spark, d, "events")
+    ev = spread(table(spark, d, "events"))
     text = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), "user_id",
                               "event_type", "value"))
     lines = ev.select(F.lit("json").alias("source_id"), (F.col("event_id") + 1).alias("line_no"),
@@ -304,7 +304,7 @@ SELECT source_id, kind, count(*) AS n, CAST(sum(hash_key) AS BIGINT) AS key_sum
     WHEN event_id % 59 = 0 THEN 'bad' ELSE 'event' END AS kind FROM events)
 GROUP BY source_id, kind""")
 def parse_csv(spark, d):
-    ev = table(spark, d, "events")
+    ev = spread(table(spark, d, "events"))
     # The first line of each source is its header: a row with the smallest line number.
     first = ev.groupBy("event_type").agg(F.min("event_id").alias("_first"))
     text = F.concat_ws(";", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("user_id").cast("string"),

@@ -8,6 +8,7 @@ from ..functions.columns import redact
 from ..operators import retrieve as R
 from ..operators.explain import explain
 from ..operators.ordered import carry_forward
+from ..session import spread
 from .registry import DOC_LINES_SQL, EVENTS_SQL, document_lines, events, one_source, query, table
 
 
@@ -178,7 +179,8 @@ SELECT doc_id, md5(m) AS digest, m <> text AS masked FROM (SELECT doc_id, text,
   '\b(authorization|cookie|set-cookie|api[_-]?key|password|passwd|token|secret)(\s*[:=]\s*)(["'']?)[^\s,"''\]]+',
   '\1\2\3***', 'gi'), '\bsk-[A-Za-z0-9_\-]{6,}', 'sk-***', 'gi') AS m FROM documents)""")
 def redact_documents(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", redact(F.col("text")).alias("m"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select(
+        "doc_id", "text", redact(F.col("text")).alias("m"))
     return docs.select("doc_id", F.md5("m").alias("digest"), (F.col("m") != F.col("text")).alias("masked"))
 
 

@@ -88,3 +88,9 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """
     rows = df.count()
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work per row when the input has fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

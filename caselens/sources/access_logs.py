@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import compute_once, forwarded_for, is_blank, split_request
+from ..functions.columns import (
+    compute_once, forwarded_for, is_blank, request_parts, split_request)
 from ..schema import norm_struct
 
 # Line shapes and the time shape of access logs.
@@ -22,14 +23,17 @@ TIME_FORMAT = "dd/MMM/yyyy:HH:mm:ss"
 _SEP = "\u0001"
 
 
-def _groups(raw: Column, pattern: str, n: int) -> Column:
-    """Array of the ``n`` groups, NULL when the line does not match."""
+def _with_groups(lines: DataFrame, pattern: str, n: int) -> DataFrame:
+    """Add ``_g``: array of the ``n`` groups, NULL when the line does not match."""
+    raw = F.col("raw")
     joined = _SEP.join(f"${i}" for i in range(1, n + 1))
-    parts = F.split(F.regexp_replace(raw, pattern, joined), _SEP)
+    split_once = compute_once(lines, _parts=F.when(~F.col("_blank"), F.split(
+        F.regexp_replace(raw, pattern, joined), _SEP)))
     # A line that holds the separator itself is taken apart group by group.
     slow = F.when(raw.rlike(pattern), F.array(
         *[F.regexp_extract(raw, pattern, i) for i in range(1, n + 1)]))
-    return F.when(raw.contains(_SEP), slow).when(F.size(parts) == n, parts)
+    return compute_once(split_once, _g=F.when(raw.contains(_SEP), slow).when(
+        F.size("_parts") == n, F.col("_parts"))).drop("_parts")
 
 
 def _dash(text: Column) -> Column:
@@ -40,17 +44,22 @@ def _access_log(lines: DataFrame, pattern: str, n: int, no_match: str, bad_time:
     g = F.col("_g")
     item = lambda i: F.get(g, F.lit(i))
     time_text = F.trim(item(2))
-    request = split_request(item(3))
     size = item(5)
-    size_number = F.when(size.rlike(r"^[+-]?\d+$"), size.try_cast("decimal(38,0)").cast("string"))
+    size_number = F.col("_size")
     trailing = F.trim(item(8)) if n > 8 else F.lit("")
-    xff = forwarded_for(F.col("_trail"))
+    xff = F.col("_xff")
     staged = compute_once(lines, _blank=is_blank(F.col("raw")))
-    staged = compute_once(staged, _g=F.when(~F.col("_blank"), _groups(F.col("raw"), pattern, n)))
+    staged = _with_groups(staged, pattern, n)
     staged = compute_once(
-        staged, _trail=trailing,
+        staged, _trail=trailing, _request=request_parts(item(3)),
+        _size=F.when(size.rlike(r"^[+-]?\d+$"), F.coalesce(
+            size.try_cast("bigint").cast("string"),
+            size.try_cast("decimal(38,0)").cast("string"))),
         _dt=F.when(time_text.rlike(TIME_PATTERN), F.try_to_timestamp(
             F.substring(time_text, 1, 20), F.lit(TIME_FORMAT))).cast("timestamp_ntz"))
+    staged = compute_once(staged, _xff=F.when(
+        F.col("_trail") != "", forwarded_for(F.col("_trail"))))
+    request = split_request(item(3), F.col("_request"))
     reason = (
         F.when(F.col("_blank"), F.lit("blank line"))
         .when(g.isNull(), F.lit(no_match))

@@ -31,10 +31,10 @@ def parse_iis_w3c(lines: DataFrame) -> DataFrame:
     directive = F.lower(raw).startswith("#fields:")
     headed = carry_forward(
         lines, ["source_id"], "line_no",
-        F.when(directive, F.substring(raw, F.lit(9), F.length(raw))), "_fields")
+        F.when(directive, F.filter(F.split(
+            F.substring(raw, F.lit(9), F.length(raw)), r"(?U)\s+"), lambda n: n != "")), "_names")
     staged = compute_once(
-        headed, _blank=is_blank(raw), _parts=F.split(raw, " "),
-        _names=F.filter(F.split("_fields", r"(?U)\s+"), lambda n: n != ""))
+        headed, _blank=is_blank(raw), _parts=F.split(raw, " "))
     staged = compute_once(
         staged, _note=F.col("_blank") | raw.startswith("#"),
         _ok=~F.col("_blank") & ~raw.startswith("#") & F.col("_names").isNotNull()
@@ -83,4 +83,5 @@ def _last_wins():
     pairs = F.arrays_zip(F.col("_names").alias("name"), F.col("_parts").alias("value"))
     last = F.filter(pairs, lambda e, i: F.array_position(
         F.slice(F.col("_names"), i + 2, F.size("_names")), e["name"]) == 0)
-    return F.map_from_entries(last)
+    twice = F.size(F.array_distinct("_names")) < F.size("_names")
+    return F.when(twice, F.map_from_entries(last)).otherwise(F.map_from_arrays("_names", "_parts"))
