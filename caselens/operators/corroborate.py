@@ -135,4 +135,7 @@ def corroborate(hits: DataFrame, events: DataFrame, sources: DataFrame,
 
 def dangling_hits(hits: DataFrame, events: DataFrame) -> DataFrame:
     """Hits whose line is not among the events: their chain of evidence is broken."""
-    return hits.join(events.select("source_id", "line_no"), ["source_id", "line_no"], "left_anti")
+    asked = cut_lineage(hits.select("source_id", "line_no").distinct())
+    found = events.select("source_id", "line_no").join(
+        broadcast_if_small(asked, 200), ["source_id", "line_no"])
+    return hits.join(found, ["source_id", "line_no"], "left_anti")

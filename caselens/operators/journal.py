@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
+
 NOTE_MAX_CHARS = 4000
 # Order of entries of the same moment.
 KIND_ORDER = {"note": 0, "scan": 1, "ai": 2}
@@ -78,10 +80,10 @@ def validate_notes(notes: DataFrame, hits: DataFrame, rounds: DataFrame, runs: D
         "_round", F.col("_round").cast("bigint")).withColumn("_round_ok", F.lit(True))
     by_run = found(runs, case_id="case_id", _ref="run_id").withColumn("_run_ok", F.lit(True))
     lines = numbered.where(F.col("_line").isNotNull()).select("case_id", "_source", "_line").distinct()
-    by_line = (lines.join(sources.select("case_id", F.col("source_id").alias("_source")),
-                          ["case_id", "_source"])
-               .join(events.select(F.col("source_id").alias("_source"),
-                                   F.col("line_no").alias("_line")), ["_source", "_line"])
+    noted = cut_lineage(lines.join(sources.select(
+        "case_id", F.col("source_id").alias("_source")), ["case_id", "_source"]))
+    by_line = (events.select(F.col("source_id").alias("_source"), F.col("line_no").alias("_line"))
+               .join(broadcast_if_small(noted, 300), ["_source", "_line"])
                .distinct().withColumn("_line_ok", F.lit(True)))
     kind = F.col("anchor_kind")
     joined = (numbered.join(by_hit, ["case_id", "_ref"], "left")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import error_names
 from ..schema import HIT_STATUSES, SEVERITIES
+from ..session import broadcast_if_small, cut_lineage
 
+# An estimate of one listed range in memory.
+_RANGE_BYTES = 200
 TIME_SLICE_MAX = 500
 LOOKUP_MAX = 500
 
@@ -104,12 +107,16 @@ def lines_around(events: DataFrame, anchors: DataFrame, before: int = 100, after
 
 def join_line_ranges(events: DataFrame, ranges: DataFrame, low: str, high: str,
                      block_lines: int = 4096) -> DataFrame:
-    """Inner join of events with line ranges of the same source."""
+    """Inner join of events with line ranges of the same source.
+
+    Ranges follow from findings and are few next to the events, so they are materialised
+    and counted: as long as they are small, the events are not shuffled.
+    """
     block = lambda c: F.floor(c / F.lit(block_lines))
-    listed = ranges.withColumn("_block", F.explode(F.sequence(
-        block(F.col(low)), block(F.col(high)))))
+    listed = cut_lineage(ranges.withColumn("_block", F.explode(F.sequence(
+        block(F.col(low)), block(F.col(high))))))
     return (events.withColumn("_block", block(F.col("line_no")))
-            .join(listed, ["source_id", "_block"])
+            .join(broadcast_if_small(listed, _RANGE_BYTES), ["source_id", "_block"])
             .where(F.col("line_no").between(F.col(low), F.col(high)))
             .drop("_block"))
 

@@ -153,13 +153,12 @@ g AS (SELECT *, lag(anchor_line) OVER w AS p FROM a WINDOW w AS (PARTITION BY so
 o AS (SELECT *, CASE WHEN p IS NULL OR p + 50 - greatest(1, anchor_line - 50) + 1 < 10 THEN 1 ELSE 0 END AS opens FROM g),
 i AS (SELECT *, sum(opens) OVER (PARTITION BY source_id ORDER BY anchor_line) AS island FROM o)
 SELECT source_id, greatest(1, min(anchor_line) - 50) AS line_from,
-  least(max(anchor_line) + 50, (SELECT max(line_no) FROM ev)) AS line_to, count(*) AS anchors
-FROM i GROUP BY source_id, island""")
+  least(max(anchor_line) + 50, any_value(m.line_count)) AS line_to, count(*) AS anchors
+FROM i JOIN (SELECT source_id, max(line_no) AS line_count FROM ev GROUP BY source_id) m USING (source_id) GROUP BY source_id, island""")
 def merge_windows(spark, d):
     ev = events(spark, d)
     anchors = ev.where(F.col("value") > 150).select("source_id", F.col("line_no").alias("anchor_line"))
-    last = ev.agg(F.max("line_no").alias("line_count"))
-    sources = ev.select("source_id").distinct().join(last)
+    sources = ev.groupBy("source_id").agg(F.max("line_no").alias("line_count"))
     return windows.merge_windows(anchors, 50, sources).select(
         "source_id", "line_from", "line_to", "anchors")
 
