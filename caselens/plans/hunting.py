@@ -37,11 +37,11 @@ def same_key_divergence(spark, d):
 
 
 @query("divergence_cells", f"""
-WITH {EVENTS_SQL} SELECT "user", event_type, count(*) AS events, round(avg(value), 3) AS mean,
+WITH {EVENTS_SQL} SELECT "user", event_type, count(*) AS events, round(avg(value), 6) AS mean,
 min(line_no) AS first_line FROM ev GROUP BY ALL""")
 def divergence_cells(spark, d):
     return H.divergence_cells(one_source(spark, d), ["user"], "event_type", "value").select(
-        "user", "event_type", "events", F.round("mean", 3).alias("mean"), "first_line")
+        "user", "event_type", "events", F.round("mean", 6).alias("mean"), "first_line")
 
 
 @query("cross_key_same_value", f"""
