@@ -173,12 +173,14 @@ def _loop(texts, starts, max_cont, max_chars):
     return sorted(out)
 
 
-def test_blocks_equal_a_plain_walk(spark):
+@pytest.mark.parametrize("giant", [{}, {"lines_per_task": 12, "piece_lines": 5},
+                                   {"lines_per_task": 3, "piece_lines": 17}])
+def test_blocks_equal_a_plain_walk(spark, giant):
     import random
     rnd = random.Random(3)
     texts = [rnd.choice(["S start", "c " + "x" * rnd.randint(0, 30), "", "d"]) if i != 50 else "S"
-             for i in range(400)] + ["c"] * 60
-    got = merge_multiline(lines_df(spark, texts), "S", 4, 60).collect()
+             for i in range(400)] + [rnd.choice(["c", "c " + "y" * rnd.randint(0, 70), " "]) for _ in range(90)]
+    got = merge_multiline(lines_df(spark, texts), "S", 4, 60, **giant).collect()
     assert sorted((r.line_no, r.continuation_lines + 1, r.truncated, r.orphan) for r in got) == _loop(
         texts, "S", 4, 60)
 
