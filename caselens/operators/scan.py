@@ -11,7 +11,7 @@ from .. import fixed_values
 from ..functions.columns import iso
 from ..rules import CROSS_SOURCE_RULE, TIME_OPERATORS, builtin_rules, hit_cap, select_rules
 from ..schema import HIT_KEY, HITS, flatten
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from .cross_source import cross_source_entities
 from .hunts import cross_key_same_value, rate_spike, same_key_divergence, size_outlier
 from .linkage import attach_linkage, entity_linkage
@@ -63,11 +63,11 @@ def _divergence(events: DataFrame, rule: dict) -> DataFrame:
          F.col("group_events"), F.col("values")])
 
 
-def _cluster(events: DataFrame, rule: dict) -> DataFrame:
+def _cluster(events: DataFrame, rule: dict, exclusions: dict | None = None) -> DataFrame:
     keys, field = rule["key_fields"], rule["value_field"]
     found = cross_key_same_value(
         flatten(events, [*keys, field]), field, keys, rule["min_keys"], rule["max_value_freq"],
-        fixed_values.EXCLUSIONS.get(rule.get("exclude_kb"), []))
+        (exclusions or fixed_values.EXCLUSIONS).get(rule.get("exclude_kb"), []))
     return _candidate(
         found, rule, F.lit(field), _clip(F.col(field)),
         F.concat(F.lit("possible common origin, weak signal: "), F.lit(f"{field}="), F.col(field),
@@ -149,8 +149,10 @@ _HUNTS = {
 }
 
 
-def stat_candidates(events: DataFrame, rules: list[dict]) -> list[DataFrame]:
-    return [_HUNTS[r["operator"]](events, r) for r in rules]
+def stat_candidates(events: DataFrame, rules: list[dict],
+                    exclusions: dict | None = None) -> list[DataFrame]:
+    return [_cluster(events, r, exclusions) if r["operator"] == "cross_key_same_value"
+            else _HUNTS[r["operator"]](events, r) for r in rules]
 
 
 def cross_source_candidates(entities: DataFrame, sources: DataFrame) -> DataFrame:
@@ -232,7 +234,8 @@ def list_rounds(rounds: DataFrame, case_id: str) -> DataFrame:
 def run_scan(events: DataFrame, entities: DataFrame, sources: DataFrame, case_id: str,
              signatures: list[dict] | None = None, stats: list[dict] | None = None,
              stored: DataFrame | None = None, rule_ids: list[str] | None = None,
-             source_id: str | None = None, round_no: int = 1) -> dict[str, DataFrame]:
+             source_id: str | None = None, round_no: int = 1,
+             exclusions: dict | None = None) -> dict[str, DataFrame]:
     """One scan of a case: ``hits`` to append, ``report`` per rule, ``skipped`` sources,
     ``summary``.
 
@@ -246,10 +249,12 @@ def run_scan(events: DataFrame, entities: DataFrame, sources: DataFrame, case_id
     scope = sources.where(F.col("case_id") == case_id)
     if source_id is not None:
         scope = scope.where(F.col("source_id") == source_id)
+    # The source list is materialised and counted, so that joining it moves no event.
+    scope = broadcast_if_small(cut_lineage(scope.select("source_id", "log_type")), 200)
     in_scope = lambda df: df.join(scope.select("source_id"), "source_id", "left_semi")
     events, entities = in_scope(events), in_scope(entities)
 
-    parts = [df.select(*CANDIDATE) for df in stat_candidates(events, stats)]
+    parts = [df.select(*CANDIDATE) for df in stat_candidates(events, stats, exclusions)]
     if signatures:
         parts.append(signature_scan(events, scope, signatures).withColumn(
             "detail", F.lit(None).cast("string")).select(*CANDIDATE))

@@ -172,6 +172,57 @@ def builtin_rules() -> tuple[list[dict], list[dict]]:
     return signatures, stats
 
 
+def _read(path: Path):
+    """A JSON or YAML file as Python values; other files are None."""
+    text = path.read_text(encoding="utf-8")
+    if path.suffix == ".json":
+        return json.loads(text)
+    if path.suffix in (".yaml", ".yml"):
+        import yaml  # optional dependency
+        return yaml.safe_load(text)
+    return None
+
+
+def load_exclusions(folder: str) -> dict[str, list[str]]:
+    """Exclusion lists of a folder: file name → lower-case tokens."""
+    out = {}
+    for path in sorted(Path(folder).iterdir()):
+        value = _read(path)
+        if value is None:
+            continue
+        tokens = value.get("tokens") if isinstance(value, dict) else None
+        if not isinstance(tokens, list) or not tokens or not all(
+                isinstance(t, str) and t.strip() for t in tokens):
+            raise RuleError(f"{path.name}: tokens must be a non-empty list of text")
+        out[path.stem] = [t.strip().lower() for t in tokens]
+    return out
+
+
+def load_explanations(path: str) -> dict[str, list[tuple[str, str]]]:
+    """An explanation file with paths, uas (lists of match and text) and statuses."""
+    value = _read(Path(path))
+    problems, out = [], {"path": [], "ua": [], "status": []}
+    if not isinstance(value, dict):
+        raise RuleError("an explanation file is a mapping")
+    for kind, section in (("path", "paths"), ("ua", "uas")):
+        for entry in value.get(section) or []:
+            if isinstance(entry, dict) and all(
+                    isinstance(entry.get(k), str) and entry[k].strip() for k in ("match", "text")):
+                out[kind].append((entry["match"].strip().lower(), entry["text"].strip()))
+            else:
+                problems.append(f"{section}: an entry needs match and text")
+    for code, text in (value.get("statuses") or {}).items():
+        if re.fullmatch(r"\d{3}", str(code)) and isinstance(text, str) and text.strip():
+            out["status"].append((str(code), text.strip()))
+        else:
+            problems.append(f"statuses: bad entry {code!r}")
+    if not problems and not any(out.values()):
+        problems.append("no entry")
+    if problems:
+        raise RuleError("; ".join(problems))
+    return out
+
+
 def load_rules(folder: str, exclusions: dict | None = None) -> tuple[list[dict], list[dict]]:
     """Rules from a folder of YAML or JSON files; only those with status enable.
 
@@ -180,13 +231,7 @@ def load_rules(folder: str, exclusions: dict | None = None) -> tuple[list[dict],
     """
     signatures, stats = [], []
     for path in sorted(Path(folder).iterdir()):
-        if path.suffix == ".json":
-            rule = json.loads(path.read_text(encoding="utf-8"))
-        elif path.suffix in (".yaml", ".yml"):
-            import yaml  # optional dependency
-            rule = yaml.safe_load(path.read_text(encoding="utf-8"))
-        else:
-            continue
+        rule = _read(path)
         if not isinstance(rule, dict) or rule.get("status", "draft") != "enable":
             continue
         if "operator" in rule:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.addresses import classify_ips
+from ..session import broadcast_if_small, cut_lineage
 
 # Standard offsets in minutes for names the zone database may lack.
 STANDARD_OFFSETS = {
@@ -58,13 +59,13 @@ def to_utc(parsed: DataFrame, sources: DataFrame) -> DataFrame:
     declared zone of the source; an unknown zone leaves NULL. Zones are resolved on the
     source list, one row per file.
     """
-    zones = sources.select(
+    zones = cut_lineage(sources.select(
         "source_id", "sha256", resolve_zone(F.col("tz_declared")).alias("_z")).select(
         "source_id", "sha256", F.col("_z.zone").alias("_zone"),
-        F.col("_z.minutes").alias("_minutes"))
+        F.col("_z.minutes").alias("_minutes")))
     local = F.col("dt_local").cast("timestamp")
     return (
-        parsed.join(zones, "source_id", "left")
+        parsed.join(broadcast_if_small(zones, 300), "source_id", "left")
         .withColumn("ts_utc", F.coalesce(
             F.col("ts_direct"),
             F.when(F.col("_zone").isNotNull(), F.to_utc_timestamp(local, F.col("_zone"))),

@@ -16,7 +16,8 @@ from caselens.operators.retrieve import apply_filters, entity_lookup, list_hits,
 from caselens.operators.signatures import signature_scan
 from caselens.operators.skew import join_group_facts
 from caselens.rules import (
-    RuleError, builtin_rules, load_rules, select_rules, validate_signature, validate_stat)
+    RuleError, builtin_rules, load_exclusions, load_explanations, load_rules, select_rules,
+    validate_signature, validate_stat)
 
 T0 = datetime(2024, 1, 1)
 # Small groups are salted too, so that the skew path is what runs here.
@@ -315,6 +316,20 @@ def test_only_enabled_rule_files_load(tmp_path):
     assert [[r["id"] for r in rules] for rules in load_rules(str(tmp_path))] == [["a"], []]
 
 
+def test_word_lists_load_from_files(tmp_path):
+    (tmp_path / "bots.json").write_text('{"tokens": [" Bot/ "]}')
+    assert load_exclusions(str(tmp_path)) == {"bots": ["bot/"]}
+    (tmp_path / "bots.json").write_text('{"tokens": []}')
+    with pytest.raises(RuleError):
+        load_exclusions(str(tmp_path))
+    notes = tmp_path / "notes.json"
+    notes.write_text('{"paths": [{"match": "/A", "text": "t"}], "statuses": {"404": "gone"}}')
+    assert load_explanations(str(notes)) == {"path": [("/a", "t")], "ua": [], "status": [("404", "gone")]}
+    notes.write_text('{"statuses": {"40": "gone"}}')
+    with pytest.raises(RuleError):
+        load_explanations(str(notes))
+
+
 def test_scan_is_idempotent_and_budgeted(spark):
     rows = [{"path": "/x", "query": "cmd=1", "src_ip": "8.8.8.8", "ts": T0 + timedelta(seconds=60 * i),
              "raw": "GET /x?cmd=1"} for i in range(12)]
