@@ -42,24 +42,33 @@ def entity_linkage(entities: DataFrame, damping: float = DAMPING, rounds: int =
     per entity (at most ``max_df`` rows) and one per event.
     """
     event = ["source_id", "line_no"]
-    per_key, per_event = Window.partitionBy("canonical_key"), Window.partitionBy(*event)
-    base = cut_lineage(incidence(entities, max_entities, max_df))
-    nodes = base.select(F.count_distinct(*event)).first()[0]
-    state = (base.withColumn("_o", F.col("w") * (F.sum("l").over(per_key) - F.col("l")))
-             .withColumn("out", F.sum("_o").over(per_event)).drop("_o")
-             .withColumn("score", F.lit(1.0 / max(nodes, 1))))
+    pairs = cut_lineage(incidence(entities, max_entities, max_df))
+    # Rounds run on two integers instead of texts; the ids are fixed by the checkpoints.
+    events = cut_lineage(pairs.select(*event).distinct().withColumn(
+        "_e", F.monotonically_increasing_id()))
+    keys = cut_lineage(pairs.select("canonical_key").distinct().withColumn(
+        "_k", F.monotonically_increasing_id()))
+    nodes = events.count()
+    per_key, per_event = Window.partitionBy("_k"), Window.partitionBy("_e")
+    # At most max_entities keys.
+    base = pairs.join(F.broadcast(keys), "canonical_key").join(events, event).select(
+        "_k", "_e", "l", "w")
+    state = cut_lineage(
+        base.withColumn("_o", F.col("w") * (F.sum("l").over(per_key) - F.col("l")))
+        .withColumn("out", F.sum("_o").over(per_event)).drop("_o")
+        .withColumn("score", F.lit(1.0 / max(nodes, 1))))
     for round_no in range(1, rounds + 1):
         # An event without outgoing weight passes nothing on.
         share = F.when(F.col("out") > 0, F.col("score") / F.col("out")).otherwise(F.lit(0.0))
-        state = (state.withColumn("_share", share)
-                 .withColumn("_in", F.col("w") * F.col("l") * (
-                     F.sum("_share").over(per_key) - F.col("_share")))
-                 .withColumn("score", F.lit((1.0 - damping) / max(nodes, 1))
-                             + F.lit(damping) * F.sum("_in").over(per_event))
-                 .drop("_share", "_in"))
-        if round_no % CHECKPOINT_EVERY == 0 and round_no < rounds:
+        received = state.select("*", (F.col("w") * F.col("l") * (
+            F.sum(share).over(per_key) - share)).alias("_in"))
+        state = received.select("_k", "_e", "l", "w", "out", (
+            F.lit((1.0 - damping) / max(nodes, 1))
+            + F.lit(damping) * F.sum("_in").over(per_event)).alias("score"))
+        if round_no % CHECKPOINT_EVERY == 0 or round_no == rounds:
             state = cut_lineage(state)
-    return state.groupBy(*event).agg(F.first("score").alias("score"))
+    scores = state.groupBy("_e").agg(F.first("score").alias("score"))
+    return events.join(scores, "_e").select(*event, "score")
 
 
 def attach_linkage(hits: DataFrame, scores: DataFrame) -> DataFrame:
