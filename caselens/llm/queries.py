@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, sharding, toxicity
+from . import (
+    decontaminate, licenses, main_text, mixing, ngram_join, personal_data, sharding, toxicity,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,10 +33,23 @@ def op4_hilbert_shards(spark, folder):
         F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op5_license_rules(spark, folder):
+    return licenses.scan_licenses(_table(spark, folder, "documents"))
+
+
+def op6_personal_data(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return personal_data.find_personal_data(docs, personal_data.fit(docs))
+
+
 def op8_ngram_jaccard_join(spark, folder):
     return ngram_join.ngram_groups(_table(spark, folder, "documents"), k=3, num=90, den=100)
 
 
+def op9_main_text(spark, folder):
+    return main_text.extract_main_text(_table(spark, folder, "pages"))
+
+
 def op10_toxicity(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     net = toxicity.train(*toxicity.training_sample(docs, _table(spark, folder, "labels")))
@@ -45,6 +60,6 @@ def op10_toxicity(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_temperature_mix, op4_hilbert_shards, op8_ngram_jaccard_join,
-    op10_toxicity)}
+    op1_decontaminate, op2_temperature_mix, op4_hilbert_shards, op5_license_rules,
+    op6_personal_data, op8_ngram_jaccard_join, op9_main_text, op10_toxicity)}
 ORACLES: dict[str, str] = {}
