@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, licenses, main_text, mixing, ngram_join, personal_data, sharding, toxicity,
+    decontaminate, licenses, main_text, mixing, ngram_join, personal_data,
+    repeated_spans, sharding, toxicity,
 )
 
 
@@ -42,6 +43,10 @@ def op6_personal_data(spark, folder):
     return personal_data.find_personal_data(docs, personal_data.fit(docs))
 
 
+def op7_suffix_array_dedup(spark, folder):
+    return repeated_spans.remove_repeats(_table(spark, folder, "documents"))
+
+
 def op8_ngram_jaccard_join(spark, folder):
     return ngram_join.ngram_groups(_table(spark, folder, "documents"), k=3, num=90, den=100)
 
@@ -61,5 +66,5 @@ def op10_toxicity(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_temperature_mix, op4_hilbert_shards, op5_license_rules,
-    op6_personal_data, op8_ngram_jaccard_join, op9_main_text, op10_toxicity)}
+    op6_personal_data, op7_suffix_array_dedup, op8_ngram_jaccard_join, op9_main_text, op10_toxicity)}
 ORACLES: dict[str, str] = {}
