@@ -32,7 +32,7 @@ from ..session import cut_lineage
 from . import blocks
 from .components import components
 
-COUNTING_PARTS = 8
+COUNTING_PARTS = 4
 _CHECK = np.uint64(0xA0761D6478BD642F)
 
 
@@ -168,6 +168,14 @@ def _counted(pairs: DataFrame, pieces: DataFrame, sets: DataFrame) -> DataFrame:
         sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
 
 
+def _class_difference(n: Column, num: int, den: int) -> Column:
+    """The largest difference of linked pairs in the size class of ``n``."""
+    classes = _classes(num, den)
+    return F.element_at(
+        F.array(*[F.lit(most) for _, _, most in classes]),
+        F.size(F.filter(F.array(*[F.lit(low) for low, _, _ in classes]), lambda low: low <= n)))
+
+
 def _unsettled(members: DataFrame, lead: DataFrame, grouped: DataFrame, counted: DataFrame,
                pieces: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that share a piece and can still be linked.
@@ -175,7 +183,9 @@ def _unsettled(members: DataFrame, lead: DataFrame, grouped: DataFrame, counted:
     With D the difference of a set to the lead of its group, and s the number of grams no
     other set has, two sets of the group differ in at least
     max(|Dx| - |Dy| + 2 sy, |Dy| - |Dx| + 2 sx) grams: own grams are in no other
-    difference. Copies edited on their own are settled by this without being paired.
+    difference. Copies edited on their own are settled by this without being paired. A
+    pair that can be linked also agrees in more pieces than its class's largest difference
+    less its own; it meets once per piece, so the pieces are counted.
     """
     labelled = cut_lineage(members.join(
         grouped.withColumnRenamed("node", "set_id"), "set_id", "left").join(lead, "key").select(
@@ -210,8 +220,12 @@ def _unsettled(members: DataFrame, lead: DataFrame, grouped: DataFrame, counted:
                   & (F.col("x.component") != F.col("y.component"))
                   & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
                   & (F.greatest(F.col("x.u") + F.col("y.v"), F.col("y.u") + F.col("x.v"))
-                     * (den + num) <= limit)).select(
-        F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+                     * (den + num) <= limit)).groupBy(
+        F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(
+        F.count("*").alias("_same"), F.first(F.col("x.n") + F.col("y.n")).alias("_n"),
+        F.first(F.greatest("x.n", "y.n")).alias("_larger")).where(
+        F.col("_same") > _class_difference(F.col("_larger"), num, den)
+        - F.floor(F.col("_n") * (den - num) / (den + num) + 1e-6)).select("a", "b")
 
 
 def ngram_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
