@@ -63,8 +63,8 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     grams, gram_of = np.concatenate(grams), np.concatenate(gram_of)
     order = np.argsort(gram_of, kind="stable")
     low = np.uint64(BUCKETS - 1)
-    return Words((hashes & low).astype(np.int64), (grams[order] & low).astype(np.int64),
-                 gram_of[order], at, firsts)
+    return Words((hashes & low).astype(np.int64), (grams & low).astype(np.uint16)[order],
+                 gram_of.astype(np.int32)[order], at.astype(np.int32), firsts)
 
 
 def windows(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +194,35 @@ class Network:
         return np.where(np.isfinite(top), 1 / (1 + np.exp(-np.clip(top, -500, 500))), 0.0)
 
 
+def _bucket_odds(parts: list[Words], toxic: np.ndarray, kept_out: np.ndarray
+                 ) -> dict[str, np.ndarray]:
+    """Smoothed log-odds of a toxic label for documents with each word and gram bucket."""
+    seen = {k: np.full((2, BUCKETS), 0.5) for k in ("word", "gram")}
+    row = 0
+    for w in parts:
+        docs = len(w.firsts) - 1
+        doc = np.repeat(np.arange(docs), np.diff(w.firsts))
+        known = ~kept_out[row + doc]
+        pairs = np.unique(doc[known] * (len(w.word) + 1) + w.at[known])
+        doc, word = pairs // (len(w.word) + 1), pairs % (len(w.word) + 1)
+        count = np.bincount(w.gram_of, minlength=len(w.word))
+        begin = np.cumsum(count) - count
+        many = count[word]
+        gram = w.grams[np.repeat(begin[word] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        for name, of, bucket in (("word", doc, w.word[word]), ("gram", np.repeat(doc, many), gram.astype(np.int64))):
+            each = np.unique(of * BUCKETS + bucket)
+            for v in (0, 1):
+                seen[name][v] += np.bincount(
+                    each[toxic[row + each // BUCKETS] == v] % BUCKETS, minlength=BUCKETS)
+        row += docs
+    total = np.array([(toxic[~kept_out] == v).sum() + 1 for v in (0, 1)])
+    out = {}
+    for name, (minus, plus) in seen.items():
+        out[name] = np.clip(np.log(plus / total[1]) - np.log(minus / total[0]), -4, 4)
+        out[name][minus + plus < 4] = 0
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray, threshold: float = 0.3, steps: int = 240,
           seed: int = 7) -> Network:
     """Fit by multiple instances: a document teaches through its currently worst window.
@@ -206,35 +235,30 @@ def train(texts: list[str], toxic: np.ndarray, threshold: float = 0.3, steps: in
     if not len(texts) or len(set(toxic.tolist())) < 2:
         net.shift = np.float32(10)
         return net
-    encoded = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(encoded), np.uint8)
-    offsets = np.cumsum([0, *map(len, encoded)])
-    words = read_words(data, offsets)
-    place, rows = windows(words.firsts)
+    parts, places, row_parts = [], [], []
+    for low, _, data, offsets in blocks.text_blocks(pa.array(texts, pa.large_string())):
+        parts.append(read_words(data, offsets))
+        place, rows = windows(parts[-1].firsts)
+        places.append(place)
+        row_parts.append(rows + low)
     kept_out = np.arange(len(texts)) % 5 == 4
-    row_of = np.repeat(np.arange(len(texts)), np.diff(words.firsts))
-    gram_count = np.bincount(words.gram_of, minlength=len(words.word))
-    gram_first = np.cumsum(gram_count) - gram_count
-    known = ~kept_out[row_of]
-    pairs = np.unique(row_of[known] * len(words.word) + words.at[known])
-    doc, word = pairs // max(1, len(words.word)), pairs % max(1, len(words.word))
-    odds = {}
-    for name, bucket_rows, bucket in (
-            ("word", doc, words.word[word]),
-            ("gram", np.repeat(doc, gram_count[word]), words.grams[
-                np.repeat(gram_first[word] - np.cumsum(gram_count[word]) + gram_count[word],
-                          gram_count[word]) + np.arange(gram_count[word].sum())])):
-        seen = np.unique(bucket_rows * BUCKETS + bucket)
-        yes = toxic[seen // BUCKETS] == 1
-        plus = np.bincount(seen[yes] % BUCKETS, minlength=BUCKETS) + 0.5
-        minus = np.bincount(seen[~yes] % BUCKETS, minlength=BUCKETS) + 0.5
-        total = np.array([(toxic[~kept_out] == v).sum() for v in (1, 0)]) + 1
-        odds[name] = np.clip(np.log(plus / total[0]) - np.log(minus / total[1]), -4, 4)
-        odds[name][(plus + minus) < 4] = 0
+    odds = _bucket_odds(parts, toxic, kept_out)
+    for name in odds:
         net.p[name][:, 0] = 0.25 * odds[name]
-    first = odds["word"][words.word] + 2 * _gram_means(
-        odds["gram"][:, None].astype(np.float32), words, len(words.word))[:, 0]
-    logits = np.where(place >= 0, first[words.at[place]], -9).max(axis=1)
+    logits = np.concatenate([np.where(place >= 0, (odds["word"][w.word] + 2 * _gram_means(
+        odds["gram"][:, None].astype(np.float32), w, len(w.word))[:, 0])[w.at[place]], -9).max(axis=1)
+        for w, place in zip(parts, places, strict=True) if len(place)])
+
+    # One small table of all words for the batches; blocks stay apart for scoring.
+    rows = np.concatenate(row_parts)
+    before = np.cumsum([0, *[len(w.at) for w in parts]])
+    shift = np.cumsum([0, *[len(w.word) for w in parts]])
+    place = np.concatenate([np.where(p >= 0, p + n, -1) for p, n in zip(places, before, strict=False)])
+    word_at = np.concatenate([w.at + n for w, n in zip(parts, shift, strict=False)]).astype(np.int32)
+    word = np.concatenate([w.word for w in parts]).astype(np.uint16)
+    grams = np.concatenate([w.grams for w in parts])
+    gram_count = np.concatenate([np.bincount(w.gram_of, minlength=len(w.word)) for w in parts])
+    gram_first = np.cumsum(gram_count) - gram_count
 
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -248,13 +272,12 @@ def train(texts: list[str], toxic: np.ndarray, threshold: float = 0.3, steps: in
         chosen = rng.permutation(chosen[~kept_out[rows[chosen]]])
         for low in range(0, len(chosen), BATCH):
             part = chosen[low:low + BATCH]
-            used, at = np.unique(np.where(place[part] >= 0, words.at[place[part]], 0),
-                                 return_inverse=True)
+            used, at = np.unique(word_at[np.maximum(place[part], 0)], return_inverse=True)
             counts = gram_count[used]
             of = np.repeat(np.arange(len(used)), counts)
-            grams = words.grams[np.repeat(gram_first[used] - np.cumsum(counts) + counts, counts)
-                                + np.arange(counts.sum())]
-            small = Words(words.word[used], grams, of, at, words.firsts)
+            own = grams[np.repeat(gram_first[used] - np.cumsum(counts) + counts, counts)
+                        + np.arange(counts.sum())].astype(np.int64)
+            small = Words(word[used].astype(np.int64), own, of, at, None)
             at = at.reshape(len(part), WINDOW).T
             grad, d_x = net.backward(net.inputs(small)[at],
                                      (place[part].T >= 0).astype(np.float32),
@@ -264,7 +287,7 @@ def train(texts: list[str], toxic: np.ndarray, threshold: float = 0.3, steps: in
             grad["word"] = np.zeros_like(net.p["word"])
             np.add.at(grad["word"], small.word, d_used)
             grad["gram"] = np.zeros_like(net.p["gram"])
-            np.add.at(grad["gram"], grams, (d_used / np.maximum(1, counts)[:, None])[of])
+            np.add.at(grad["gram"], own, (d_used / np.maximum(1, counts)[:, None])[of])
             step += 1
             for k, v in grad.items():
                 m, s = moments[k]
@@ -273,7 +296,8 @@ def train(texts: list[str], toxic: np.ndarray, threshold: float = 0.3, steps: in
                 s *= 0.99
                 s += 0.01 * v * v
                 net.p[k] -= 0.01 * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-6)
-        logits = net.window_logits(words, place)
+        logits = np.concatenate([net.window_logits(w, p)
+                                 for w, p in zip(parts, places, strict=True) if len(p)])
     top = np.full(len(texts), -30.0)
     np.maximum.at(top, rows, logits)
     held = kept_out if len(set(toxic[kept_out].tolist())) == 2 else np.ones(len(texts), bool)
