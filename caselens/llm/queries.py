@@ -57,7 +57,7 @@ def op9_main_text(spark, folder):
 
 def op10_toxicity(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    net = toxicity.train(*toxicity.training_sample(docs, _table(spark, folder, "labels")))
+    net = toxicity.train_network(docs, _table(spark, folder, "labels"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return toxicity.score_toxicity(docs, net).select(
         "doc_id", held_out.alias("held_out"), F.col("_score").alias("score"),

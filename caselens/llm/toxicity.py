@@ -8,13 +8,14 @@ a bounded sample, scoring in Arrow batches over whole texts.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import blocks
 
@@ -311,27 +312,48 @@ def train(texts: list[str], toxic: np.ndarray, threshold: float = 0.3, steps: in
     return net
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_rows: int = 2500,
-                    max_chars: int = 20000) -> tuple[list[str], np.ndarray]:
-    """At most ``toxic_rows`` and ``clean_rows`` labelled texts, chosen by a hash of the id.
+def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000,
+                    clean_rows: int = 2500, max_chars: int = 20000) -> DataFrame:
+    """(text, toxic) of at most ``toxic_rows`` and ``clean_rows`` labelled texts, by id hash.
 
     Rows whose crc32(doc_id as text) mod 4 is 2 never teach, and neither do texts above
-    ``max_chars``; both bounds concern the sample alone. Rows of one id with labels that
-    differ teach as they are; null labels and null ids do not.
+    ``max_chars``; both bounds concern the sample alone. An id with labels or texts that
+    differ teaches with the least of each; null labels, texts and ids do not teach.
     """
-    known = labels.select(F.col("doc_id").alias("id"), "toxic").where(
-        F.col("toxic").isin(0, 1) & (F.crc32(F.col("id").cast("string")) % 4 != 2))
+    known = labels.where(F.col("toxic").isin(0, 1) & (
+        F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).groupBy(
+        F.col("doc_id").alias("id")).agg(F.min("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").alias("id"), "text").where(
-        F.length("text").between(1, max_chars)).join(known, "id")
-    order = F.xxhash64(F.col("id"), F.lit(11))
-    picked = [r for v, most in ((1, toxic_rows), (0, clean_rows))
-              for r in rows.where(F.col("toxic") == v).orderBy(order, "text").limit(most).collect()]
-    picked.sort(key=lambda r: (hash_order(r["id"]), r["text"]))
-    return [r["text"] for r in picked], np.array([r["toxic"] for r in picked], np.int64)
-
-
-def hash_order(value: int) -> int:
-    return int(blocks.mix(np.array([value], np.int64).astype(np.uint64))[0])
+        F.length("text").between(1, max_chars))
+    ids = rows.select("id").join(known, "id").distinct()
+    order = F.xxhash64("id", F.lit(11))
+    picked = [(r["id"], r["toxic"]) for v, most in ((1, toxic_rows), (0, clean_rows))
+              for r in ids.where(F.col("toxic") == v).orderBy(order, "id").limit(most).collect()]
+    table = F.broadcast(docs.sparkSession.createDataFrame(
+        picked, StructType([StructField("id", docs.schema["doc_id"].dataType),
+                            StructField("toxic", LongType())])))
+    return rows.join(table, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy(
+        order).select("text", "toxic")
+
+
+def train_network(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Network:
+    """Train on the bounded sample in one task; only the parameters reach the driver."""
+    def run(batches):
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            toxic += batch.column("toxic").to_pylist()
+        net = train(texts, np.array(toxic, np.int64), threshold)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([pickle.dumps((net.p, net.shift))], pa.binary())], ["model"])
+
+    sample = training_sample(docs, labels).repartition(1).sortWithinPartitions(
+        F.xxhash64("text"), "text")
+    net = Network()
+    net.shift = np.float32(10)  # without any labelled row nothing is found toxic
+    for row in sample.mapInArrow(run, "model binary").collect():
+        net.p, net.shift = pickle.loads(row["model"])
+    return net
 
 
 def score_toxicity(docs: DataFrame, net: Network, column: str = "text") -> DataFrame:
