@@ -12,7 +12,7 @@ from caselens.session import configure, new_folder
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.3; the network learns from the input itself."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    net = toxicity.train(*toxicity.training_sample(docs, labels))
+    net = toxicity.train_network(docs, labels)
     return toxicity.score_toxicity(docs, net).where("_score < 0.3").select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
