@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, licenses, main_text, mixing, ngram_join, personal_data,
+    decontaminate, kmeans_tree, licenses, main_text, mixing, ngram_join, personal_data,
     repeated_spans, sharding, toxicity,
 )
 
@@ -28,6 +28,10 @@ def op2_temperature_mix(spark, folder):
     return mixing.mix(docs).select("doc_id", "source", F.col("_pass").alias("pass"))
 
 
+def op3_kmeans_tree(spark, folder):
+    return kmeans_tree.neighbours(_table(spark, folder, "embeddings"))
+
+
 def op4_hilbert_shards(spark, folder):
     return sharding.assign_shards(_table(spark, folder, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -65,6 +69,7 @@ def op10_toxicity(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_temperature_mix, op4_hilbert_shards, op5_license_rules,
-    op6_personal_data, op7_suffix_array_dedup, op8_ngram_jaccard_join, op9_main_text, op10_toxicity)}
+    op1_decontaminate, op2_temperature_mix, op3_kmeans_tree, op4_hilbert_shards,
+    op5_license_rules, op6_personal_data, op7_suffix_array_dedup, op8_ngram_jaccard_join,
+    op9_main_text, op10_toxicity)}
 ORACLES: dict[str, str] = {}
