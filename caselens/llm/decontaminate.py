@@ -21,8 +21,9 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import blocks
 
-Q = 6
-EDIT_SHARE = 0.12
+Q = 8
+EDIT_SHARE = 0.1
+STRETCH = 512
 BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 22
 
@@ -112,6 +113,20 @@ def banded_distance(item: np.ndarray, region: np.ndarray, budget: int) -> int |
     return least if least <= budget else None
 
 
+def _dense(spot: np.ndarray, item: np.ndarray, size: int, items: Items) -> np.ndarray:
+    """Which hits lie where an item has enough of them in neighbouring stretches of text.
+
+    A stretch is longer than any region of its item, so a region lies in two neighbours.
+    """
+    many = len(items.ids)
+    length = max(STRETCH, int((np.array([len(t) for t in items.texts]) + 2 * items.budgets + 1).max()))
+    cell = spot // length
+    counts = np.bincount(cell * many + item, minlength=(size // length + 1) * many).reshape(-1, many)
+    padded = np.vstack([np.zeros((1, many), counts.dtype), counts, np.zeros((1, many), counts.dtype)])
+    enough = np.maximum(padded[:-2], padded[2:]) + counts >= items.needed
+    return enough[cell, item]
+
+
 def matches(data: np.ndarray, offsets: np.ndarray, items: Items, q: int
             ) -> list[tuple[int, int, int]]:
     """(row, item index, edits) of the items found in each row of a block, best first."""
@@ -126,18 +141,19 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items, q: int
     entry = np.repeat(items.first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
     item = items.item[entry]
     spot = np.repeat(maybe, count)
-    diagonal = spot - items.place[entry] + 1_000_000
+    near = _dense(spot, item, len(points), items)
+    item, spot, place = item[near], spot[near], items.place[entry[near]]
+    diagonal = spot - place + 1_000_000
     row = np.searchsorted(firsts, spot, side="right") - 1
     step = items.budgets[item] + 1
     found: dict[tuple[int, int], int] = {}
     for half in (0, 1):
         band = (diagonal + half * step) // (2 * step)
-        key = np.stack([row, item, band])
-        order = np.lexsort(key[::-1])
-        key = key[:, order]
-        cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        # Every q-gram of the item counts once in a band.
+        key = np.unique(np.stack([row, item, band, place]), axis=1)[:3]
         if not key.shape[1]:
             break
+        cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
         many = np.diff(np.append(cut, key.shape[1])) >= items.needed[key[1, cut]]
         for r, i, b in key[:, cut[many]].T.tolist():
             if found.get((r, i)) == 0:
