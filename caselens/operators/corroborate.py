@@ -63,7 +63,9 @@ def corroborate(hits: DataFrame, events: DataFrame, sources: DataFrame,
         raise ValueError(f"window_seconds must be an integer in 1..{MAX_WINDOW_SECONDS}")
     half = window_seconds * 1_000_000
     widths = _levels(window_seconds)
-    named = sources.select("source_id", "case_id", "system")
+    # An empty system is none.
+    named = sources.select("source_id", "case_id", F.when(
+        F.trim("system") != "", F.col("system")).alias("system"))
     flat = events.select(
         "source_id", "line_no", F.unix_micros("ts_utc").alias("_t"),
         F.col(path).cast("string").alias("_path"), F.col(address).cast("string").alias("_addr"))
@@ -72,7 +74,7 @@ def corroborate(hits: DataFrame, events: DataFrame, sources: DataFrame,
     asked_lines = cut_lineage(hits.select("case_id", "source_id", "line_no").distinct())
     hit_lines = flat.join(
         broadcast_if_small(asked_lines.select("source_id", "line_no").distinct(), 200),
-        ["source_id", "line_no"])
+        ["source_id", "line_no"]).withColumn("_line_there", F.lit(True))
     anchors = (asked_lines.join(hit_lines, ["source_id", "line_no"], "left")
                .join(named.select("source_id", "system"), "source_id", "left"))
     system_size = named.where(F.col("system").isNotNull()).groupBy("case_id", "system").agg(
@@ -126,7 +128,7 @@ def corroborate(hits: DataFrame, events: DataFrame, sources: DataFrame,
         F.count(F.lit(1)).alias("_found"))
     status = (anchors.join(counted, ["case_id", "source_id", "line_no"], "left").select(
         "case_id", "source_id", "line_no",
-        F.when(F.col("_t").isNull(), "no_ts")
+        F.when(F.col("_line_there").isNull(), "dangling").when(F.col("_t").isNull(), "no_ts")
         .when(F.coalesce("_members", F.lit(0)) <= 1, "no_siblings")
         .when(F.col("_found") > 0, "ok").otherwise("none").alias("status"),
         F.coalesce("_found", F.lit(0)).alias("items")))

@@ -20,29 +20,36 @@ def entry_hash() -> Column:
 
 
 def chain_checks(audit_log: DataFrame) -> DataFrame:
-    """Every entry with its first failed check (gap, link, hash) or NULL.
+    """Every entry with its first failed check (duplicate, gap, link, hash) or NULL.
+
+    A missing hash is a failed check, and so is an id that is missing or occurs twice.
 
     The predecessor of an entry is found by its id, so the chain is checked by one
     equi-join instead of one global sort.
     """
-    before = audit_log.select((F.col("id") + 1).alias("id"), F.col("entry_hash").alias("_prev"))
+    before = audit_log.groupBy((F.col("id") + 1).alias("id")).agg(
+        F.min("entry_hash").alias("_prev"), F.lit(True).alias("_there"))
+    copies = audit_log.groupBy("id").agg(F.count(F.lit(1)).alias("_copies"))
     first = F.col("id") == 1
     failure = (
-        F.when(~first & F.col("_prev").isNull(), "gap")
-        .when(F.col("prev_hash") != F.when(first, F.lit(GENESIS)).otherwise(F.col("_prev")),
-              "link")
-        .when(F.col("entry_hash") != entry_hash(), "hash"))
-    return audit_log.join(before, "id", "left").withColumn("failure", failure).drop("_prev")
+        F.when(F.col("_copies").isNull() | (F.col("_copies") > 1), "duplicate")
+        .when(~first & F.col("_there").isNull(), "gap")
+        .when(~F.col("prev_hash").eqNullSafe(
+            F.when(first, F.lit(GENESIS)).otherwise(F.col("_prev"))), "link")
+        .when(F.col("prev_hash").isNull(), "link")
+        .when(~F.col("entry_hash").eqNullSafe(entry_hash()), "hash"))
+    return audit_log.join(before, "id", "left").join(copies, "id", "left").withColumn(
+        "failure", failure).drop("_prev", "_there", "_copies")
 
 
 def verify_chain(audit_log: DataFrame) -> DataFrame:
     """One row: ok, entries, and the first failing id with its kind."""
     failed = F.col("failure").isNotNull()
     return chain_checks(audit_log).agg(
-        F.count(F.lit(1)).alias("entries"),
-        F.min(F.when(failed, F.col("id"))).alias("first_bad_id"),
-        F.min_by("failure", F.when(failed, F.col("id"))).alias("failure"),
-    ).select(F.col("first_bad_id").isNull().alias("ok"), "entries", "first_bad_id", "failure")
+        F.count(F.lit(1)).alias("entries"), F.count_if(failed).alias("_failed"),
+        F.min(F.when(failed, F.struct("id", "failure"))).alias("_first"),
+    ).select((F.col("_failed") == 0).alias("ok"), "entries",
+             F.col("_first.id").alias("first_bad_id"), F.col("_first.failure").alias("failure"))
 
 
 def manifest_sources(sources: DataFrame, events: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -92,11 +99,11 @@ def verify_manifest(cases: DataFrame, sources: DataFrame, audit_log: DataFrame,
     ``cases`` carries the recorded audit count and last hash; ``inventory`` has the actual
     hashes. Links that point outside the export are counted and are no failure.
     """
-    entry = audit_log.withColumn("_bad", F.col("entry_hash") != entry_hash())
+    entry = audit_log.withColumn("_bad", ~F.col("entry_hash").eqNullSafe(entry_hash()))
     # The exported predecessor of an entry is the entry before it in its own case.
     linked = carry_forward(entry, ["case_id"], "id", F.col("entry_hash"), "_before",
                            strict=True).withColumn(
-        "_outside", F.col("prev_hash") != F.coalesce("_before", F.lit(GENESIS)))
+        "_outside", ~F.col("prev_hash").eqNullSafe(F.coalesce("_before", F.lit(GENESIS))))
     chain = linked.groupBy("case_id").agg(
         F.count_if("_bad").alias("_bad"), F.count_if("_outside").alias("_external"),
         F.count(F.lit(1)).alias("_entries"), F.max_by("entry_hash", "id").alias("_last"))

@@ -2,44 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 DAMPING = 0.85
 ROUNDS = 20
-MAX_ENTITIES = 5000
-MAX_EVENTS_PER_ENTITY = 200
 CHECKPOINT_EVERY = 5
 
 
-def incidence(entities: DataFrame, max_entities: int = MAX_ENTITIES,
-              max_df: int = MAX_EVENTS_PER_ENTITY) -> DataFrame:
-    """Entity-event pairs of the rarest entities: key, event, ln(1 + frequency), 1 / df.
+def incidence(entities: DataFrame, max_entities: int | None = None,
+              max_df: int | None = None) -> DataFrame:
+    """Entity-event pairs of shared entities: key, event, ln(1 + frequency), 1 / df.
 
-    At most ``max_entities * max_df`` rows, whatever the input: this is what makes the
-    rank computation after it bounded.
+    All entities of two or more events take part. A caller who asks for less names the
+    largest df, or the number of rarest entities.
     """
-    pairs = entities.groupBy("canonical_key", "source_id", "line_no").agg(
-        F.count(F.lit(1)).alias("_freq"))
-    rare = (pairs.groupBy("canonical_key").agg(F.count(F.lit(1)).alias("df"))
-            .where(F.col("df").between(2, max_df))
-            .orderBy("df", "canonical_key").limit(max_entities))
-    return pairs.join(F.broadcast(rare), "canonical_key").select(
+    # Most keys occur once; they go before anything is grouped by event.
+    often = entities.groupBy("canonical_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    pairs = entities.join(often.select("canonical_key"), "canonical_key", "left_semi").groupBy(
+        "canonical_key", "source_id", "line_no").agg(F.count(F.lit(1)).alias("_freq"))
+    shared = pairs.groupBy("canonical_key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    if max_df is not None:
+        shared = shared.where(F.col("df") <= max_df)
+    if max_entities is not None:
+        shared = shared.orderBy("df", "canonical_key").limit(max_entities)
+    return pairs.join(shared, "canonical_key").select(
         "canonical_key", "source_id", "line_no",
         F.log1p(F.col("_freq").cast("double")).alias("l"), (F.lit(1.0) / F.col("df")).alias("w"))
 
 
 def entity_linkage(entities: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
-                   max_entities: int = MAX_ENTITIES,
-                   max_df: int = MAX_EVENTS_PER_ENTITY) -> DataFrame:
+                   max_entities: int | None = None, max_df: int | None = None) -> DataFrame:
     """Weighted PageRank over events that share an entity: source_id, line_no, score.
 
     An edge between two events of entity k weighs (1/df) * ln(1 + frequency at its end).
     Edges are never listed: what an event receives through k is the sum over all events of
-    k minus its own part. The rank lives on the incidence rows, so a round is one window
-    per entity (at most ``max_df`` rows) and one per event.
+    k minus its own part. A round is a sum per entity and a sum per event, both combined
+    before they are shuffled, so an entity of any number of events is no single task.
     """
     event = ["source_id", "line_no"]
     pairs = cut_lineage(incidence(entities, max_entities, max_df))
@@ -48,27 +49,26 @@ def entity_linkage(entities: DataFrame, damping: float = DAMPING, rounds: int =
         "_e", F.monotonically_increasing_id()))
     keys = cut_lineage(pairs.select("canonical_key").distinct().withColumn(
         "_k", F.monotonically_increasing_id()))
-    nodes = events.count()
-    per_key, per_event = Window.partitionBy("_k"), Window.partitionBy("_e")
-    # At most max_entities keys.
-    base = pairs.join(F.broadcast(keys), "canonical_key").join(events, event).select(
-        "_k", "_e", "l", "w")
-    state = cut_lineage(
-        base.withColumn("_o", F.col("w") * (F.sum("l").over(per_key) - F.col("l")))
-        .withColumn("out", F.sum("_o").over(per_event)).drop("_o")
-        .withColumn("score", F.lit(1.0 / max(nodes, 1))))
+    base = cut_lineage(pairs.join(keys, "canonical_key").join(events, event).select(
+        "_k", "_e", "l", "w"))
+    nodes = max(events.count(), 1)
+    of_key = base.groupBy("_k").agg(F.sum("l").alias("_s"))
+    state = cut_lineage(base.join(of_key, "_k").groupBy("_e").agg(
+        F.sum(F.col("w") * (F.col("_s") - F.col("l"))).alias("out"),
+        F.sum(F.col("w") * F.col("l")).alias("own")).withColumn("score", F.lit(1.0 / nodes)))
+    # An event without outgoing weight passes nothing on.
+    share = F.when(F.col("out") > 0, F.col("score") / F.col("out")).otherwise(F.lit(0.0))
     for round_no in range(1, rounds + 1):
-        # An event without outgoing weight passes nothing on.
-        share = F.when(F.col("out") > 0, F.col("score") / F.col("out")).otherwise(F.lit(0.0))
-        received = state.select("*", (F.col("w") * F.col("l") * (
-            F.sum(share).over(per_key) - share)).alias("_in"))
-        state = received.select("_k", "_e", "l", "w", "out", (
-            F.lit((1.0 - damping) / max(nodes, 1))
-            + F.lit(damping) * F.sum("_in").over(per_event)).alias("score"))
+        passed = base.join(state.select("_e", share.alias("_share")), "_e").groupBy("_k").agg(
+            F.sum("_share").alias("_t"))
+        received = base.join(passed, "_k").groupBy("_e").agg(
+            F.sum(F.col("w") * F.col("l") * F.col("_t")).alias("_in"))
+        state = state.join(received, "_e").select("_e", "out", "own", (
+            F.lit((1.0 - damping) / nodes)
+            + F.lit(damping) * (F.col("_in") - share * F.col("own"))).alias("score"))
         if round_no % CHECKPOINT_EVERY == 0 or round_no == rounds:
             state = cut_lineage(state)
-    scores = state.groupBy("_e").agg(F.first("score").alias("score"))
-    return events.join(scores, "_e").select(*event, "score")
+    return events.join(state, "_e").select(*event, "score")
 
 
 def attach_linkage(hits: DataFrame, scores: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from ..session import broadcast_if_small, cut_lineage
 # An estimate of one listed range in memory.
 _RANGE_BYTES = 200
 TIME_SLICE_MAX = 500
-LOOKUP_MAX = 500
 
 
 def parse_bound(text: str | None) -> datetime | None:
@@ -129,12 +128,16 @@ def time_slice(events: DataFrame, source_id: str, line_no: int, before: int = 10
 
 
 def entity_lookup(entities: DataFrame, value: str, cross_source: bool = False,
-                  limit: int = LOOKUP_MAX) -> DataFrame:
-    """Occurrences of an entity by raw value or canonical key, first ones in line order."""
+                  limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Occurrences of an entity by raw value or canonical key, in line order.
+
+    All of them, or a page when ``limit`` asks for one; ``count()`` without it is the total.
+    """
     out = entities.where((F.col("raw_value") == value) | (F.col("canonical_key") == value))
     if cross_source:
         out = out.where(F.col("qualifier") == "global")
-    return out.orderBy("source_id", "line_no").limit(limit)
+    ordered = out.orderBy("source_id", "line_no").offset(offset)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def list_hits(hits: DataFrame, status: str | None = None, severity: str | None = None,

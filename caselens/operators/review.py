@@ -39,7 +39,8 @@ def apply_reviews(hits: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataF
 def build_clues(decided: DataFrame, sources: DataFrame, titles: dict[str, str]) -> DataFrame:
     """Clues from accepted hits: title, text and anchor with the hash of the source.
 
-    ``titles`` is the rule configuration; an unknown rule is titled by its id.
+    ``titles`` is the rule configuration; an unknown rule is titled by its id. A hit of a
+    source that is not registered stays a clue, marked by ``source_missing``.
     """
     title = F.col("rule_id")
     if titles:
@@ -51,11 +52,13 @@ def build_clues(decided: DataFrame, sources: DataFrame, titles: dict[str, str])
             "[rule hit] %s\nrule: %s (severity=%s)\nmatch: %s contains \"%s\"\ntext: %s\n"
             "anchor: source %s line %d sha256=%s",
             F.col("title"), "rule_id", "severity", "matched_field", "matched_value", "snippet",
-            "source_id", "line_no", "sha256"),
+            "source_id", "line_no", F.coalesce("sha256", F.lit("unknown"))),
         F.when(note != "", F.concat(F.lit("\nreview note: "), note)).otherwise(F.lit("")))
     return (decided.where(F.col("status") == "accepted")
-            .join(sources.select("source_id", "sha256"), "source_id")
+            .join(sources.select("source_id", "sha256", F.lit(True).alias("_known")), "source_id",
+                  "left")
             .withColumn("title", title)
             .select("case_id", "title", body.alias("body"), "source_id", "line_no", "sha256",
                     "rule_id", F.col("reviewed_at").alias("created_at"),
-                    F.col("reviewer").alias("created_by")))
+                    F.col("reviewer").alias("created_by"),
+                    F.col("_known").isNull().alias("source_missing")))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values
 from ..functions.columns import iso
 from ..rules import CROSS_SOURCE_RULE, TIME_OPERATORS, builtin_rules, hit_cap, select_rules
 from ..schema import HIT_KEY, HITS, flatten
-from ..session import broadcast_if_small, cut_lineage
+from ..session import broadcast_if_small, cut_lineage, delete_folder, escape_partition
 from .cross_source import cross_source_entities
 from .hunts import cross_key_same_value, rate_spike, same_key_divergence, size_outlier
 from .linkage import attach_linkage, entity_linkage
@@ -181,9 +181,8 @@ def apply_budget(candidates: DataFrame, caps: dict[str, int],
                  order: tuple[str, ...] = ("source_id", "line_no")) -> DataFrame:
     """The first hits of each rule up to its cap; rules without a cap keep all.
 
-    The hit budget is part of a scan: what exceeds it is counted by ``budget_report``. The
-    literal bound of the filter lets every task drop rows beyond the largest cap before
-    the shuffle.
+    For callers that ask for the first hits. The literal bound of the filter lets every
+    task drop rows beyond the largest cap before the shuffle.
     """
     free = candidates.where(~F.col("rule_id").isin(list(caps)))
     capped = candidates.where(F.col("rule_id").isin(list(caps)))
@@ -196,6 +195,20 @@ def apply_budget(candidates: DataFrame, caps: dict[str, int],
     return kept.unionByName(free)
 
 
+def mark_budget(candidates: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """All candidates with ``within_budget``: whether a rule's cap reaches as far.
+
+    The budget orders what is read first; it removes nothing. The last hit inside the cap
+    of each rule is found by a bounded top-k and compared with every candidate.
+    """
+    place = F.struct("source_id", "line_no")
+    edge = apply_budget(candidates.where(F.col("rule_id").isin(list(caps))), caps).groupBy(
+        F.col("rule_id").alias("_rule")).agg(F.max(place).alias("_edge"))
+    # One row per rule.
+    return candidates.join(F.broadcast(edge), F.col("rule_id") == F.col("_rule"), "left").withColumn(
+        "within_budget", F.col("_edge").isNull() | (place <= F.col("_edge"))).drop("_rule", "_edge")
+
+
 def budget_report(candidates: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Per rule: hits within the budget (duplicates included) and truncated ones.
 
@@ -239,6 +252,7 @@ def run_scan(events: DataFrame, entities: DataFrame, sources: DataFrame, case_id
     """One scan of a case: ``hits`` to append, ``report`` per rule, ``skipped`` sources,
     ``summary``.
 
+    Every hit is returned; ``within_budget`` marks those inside the cap of their rule.
     Unknown rule ids stop the scan before anything runs.
     """
     if signatures is None or stats is None:
@@ -265,11 +279,11 @@ def run_scan(events: DataFrame, entities: DataFrame, sources: DataFrame, case_id
     # Counted, budgeted and merged from one evaluation.
     candidates = cut_lineage(reduce(DataFrame.unionByName, parts))
     caps = {r["id"]: hit_cap(r) for r in [*signatures, *stats]}
-    fresh = merge_hits(apply_budget(candidates, caps), stored)
+    fresh = merge_hits(mark_budget(candidates, caps), stored)
     hits = fresh.select(
         F.lit(case_id).alias("case_id"), "source_id", "line_no", "rule_id", "severity",
         "matched_field", "matched_value", "snippet", "ts_utc", F.lit("pending").alias("status"),
-        "detail", F.lit(round_no).alias("round_no")).select(*HITS.fieldNames())
+        "detail", F.lit(round_no).alias("round_no"), "within_budget").select(*HITS.fieldNames())
     report = budget_report(candidates, caps)
     tally = lambda df, name, value: df.agg(value.alias("value")).select(
         F.lit(name).alias("measure"), "value")
@@ -280,7 +294,21 @@ def run_scan(events: DataFrame, entities: DataFrame, sources: DataFrame, case_id
             "skipped": skipped_sources(events, stats)}
 
 
-def append_hits(hits: DataFrame, path: str) -> None:
-    """Store a round in its own partition; a failed round is written again as a whole."""
+def append_hits(hits: DataFrame, path: str, case_id: str | None = None,
+                round_no: int | None = None) -> None:
+    """Store rounds, each in the partition of its case and number.
+
+    Rounds count per case, so both columns name a partition. A failed round is written
+    again as a whole; ``case_id`` and ``round_no`` name the round that is written, so that
+    its old rows go also when it has no hits any more.
+    """
     (hits.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("round_no").parquet(path))
+     .partitionBy("case_id", "round_no").parquet(path))
+    if case_id is not None and round_no is not None and hits.isEmpty():
+        delete_folder(hits.sparkSession, f"{path}/case_id={escape_partition(case_id)}/"
+                                         f"round_no={int(round_no)}")
+
+
+def stored_hits(spark: SparkSession, path: str) -> DataFrame:
+    """Stored hits with the types they were written with, whatever their ids look like."""
+    return spark.read.schema(HITS).parquet(path).select(*HITS.fieldNames())

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import custody, findings, journal, review, scan, signatures, windows
 from ..operators.retrieve import list_hits
-from ..session import cut_lineage
+from ..schema import HITS
+from ..session import cut_lineage, new_folder
 from ..sources.access_logs import parse_nginx_combined
 from ..sources.normalize import build_events, extract_entities
 from ..sources.tables import case_overview
@@ -89,6 +90,32 @@ def apply_budget(spark, d):
     return scan.apply_budget(_event_hits(spark, d), _CAPS).select("rule_id", "source_id", "line_no")
 
 
+@query("mark_budget", f"""
+WITH {_EVENT_HITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY source_id, line_no) AS n FROM h)
+SELECT rule_id, source_id, line_no, n <= CASE rule_id WHEN 'large' THEN 40 ELSE 25 END AS within_budget FROM r""")
+def mark_budget(spark, d):
+    return scan.mark_budget(_event_hits(spark, d), _CAPS).select(
+        "rule_id", "source_id", "line_no", "within_budget")
+
+
+@query("append_hits_two_cases", f"""
+WITH {_EVENT_HITS_SQL} SELECT 'a' AS case_id, 1 AS round_no, rule_id, count(*) AS n FROM h GROUP BY rule_id
+UNION ALL SELECT 'b', 1, rule_id, count(*) FROM h WHERE rule_id = 'large' GROUP BY rule_id""")
+def append_hits_two_cases(spark, d):
+    """Round 1 of a second case leaves round 1 of the first; a round without hits goes."""
+    folder = new_folder(spark, "hits")
+    hits = _event_hits(spark, d).select("*", F.lit("pending").alias("status"),
+                                        F.lit(True).alias("within_budget"))
+    named = lambda case, no: hits.withColumns(
+        {"case_id": F.lit(case), "round_no": F.lit(no)}).select(*HITS.fieldNames())
+    scan.append_hits(named("a", 1), folder)
+    scan.append_hits(named("b", 1).where(F.col("rule_id") == "large"), folder)
+    scan.append_hits(named("a", 2), folder)
+    scan.append_hits(named("a", 2).limit(0), folder, "a", 2)
+    return scan.stored_hits(spark, folder).groupBy("case_id", "round_no", "rule_id").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query("budget_report", f"""
 WITH {_EVENT_HITS_SQL}, c AS (SELECT 'large' AS rule_id, 40 AS cap UNION ALL SELECT 'seven', 25
   UNION ALL SELECT 'silent', 10)
@@ -344,7 +371,7 @@ def _ledgers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     talk = table(spark, d, "conversations")
     notes = talk.select(
         case(F.col("conv_id")), F.format_string("%d-%d", "conv_id", "turn").alias("note_id"),
-        F.substring("text", 1, 40).alias("body"), F.lit(None).cast("string").alias("anchor_kind"),
+        F.col("text").alias("body"), F.lit(None).cast("string").alias("anchor_kind"),
         F.lit(None).cast("string").alias("anchor_ref"), F.col("role").alias("author"),
         F.lit("2024-01-15").alias("created_at"))
     return rounds, runs, notes
@@ -358,7 +385,7 @@ WITH j AS (
       CASE WHEN o_orderkey % 4 > 0 THEN ' | truncated ' || o_orderkey % 4 ELSE '' END END AS body FROM orders
   UNION ALL SELECT 'case' || user_id % 3, 'ai', strftime(ts, '%Y-%m-%d'), 2, 'run' || event_id,
     CASE WHEN event_type = 'error' THEN 'done | error: failed' ELSE 'done | anchors 2 | windows 1 | findings 0' END FROM events
-  UNION ALL SELECT 'case' || conv_id % 3, 'note', '2024-01-15', 0, NULL, substr(text, 1, 40) FROM conversations)
+  UNION ALL SELECT 'case' || conv_id % 3, 'note', '2024-01-15', 0, NULL, text FROM conversations)
 SELECT kind, ts, anchor_ref, body FROM j WHERE case_id = 'case1'
 ORDER BY ts DESC, r, anchor_ref, body LIMIT 700 OFFSET 100""")
 def journal_page(spark, d):
@@ -437,11 +464,35 @@ def chain_checks(spark, d):
 
 
 @query("verify_chain", f"""
-WITH {_AUDIT_SQL} SELECT false AS ok, count(*) AS entries, 3 AS first_bad_id, 'link' AS failure FROM log""")
+WITH {_AUDIT_SQL}, f AS (SELECT a.id, CASE WHEN a.id > 1 AND b.id IS NULL THEN 'gap'
+  WHEN a.id > 1 AND a.prev_hash <> b.entry_hash THEN 'link' WHEN a.entry_hash = 'altered' THEN 'hash' END AS failure
+  FROM log a LEFT JOIN log b ON b.id + 1 = a.id)
+SELECT count(failure) = 0 AS ok, count(*) AS entries, min(id) FILTER (failure IS NOT NULL) AS first_bad_id,
+  arg_min(failure, id) FILTER (failure IS NOT NULL) AS failure FROM f""")
 def verify_chain(spark, d):
     return custody.verify_chain(_audit(spark, d))
 
 
+@query("chain_tampering", f"""
+WITH {_AUDIT_SQL}, o AS (SELECT * FROM oddh WHERE id % 100 <> 51),
+t AS (SELECT id, CASE WHEN id % 6 = 1 THEN 'hash' WHEN id % 6 = 3 THEN 'duplicate' END AS bad FROM o)
+SELECT id, CASE WHEN bad = 'duplicate' THEN bad WHEN id > 1 THEN 'gap' ELSE bad END AS failure FROM t
+UNION ALL SELECT id, CASE WHEN bad = 'duplicate' THEN bad WHEN id > 1 THEN 'gap' ELSE bad END FROM t WHERE bad = 'duplicate'""")
+def chain_tampering(spark, d):
+    """Missing hashes and repeated ids never pass; only odd ids are left, so links are gaps."""
+    log = _audit(spark, d).where(F.col("id") % 2 == 1)
+    torn = log.withColumn("entry_hash", F.when(F.col("id") % 6 != 1, F.col("entry_hash")))
+    return custody.chain_checks(torn.unionByName(torn.where(F.col("id") % 6 == 3))).select("id", "failure")
+
+
+@query("chain_intact", """
+SELECT true AS ok, count(*) AS entries, CAST(NULL AS BIGINT) AS first_bad_id, CAST(NULL AS VARCHAR) AS failure
+FROM orders WHERE o_orderkey = 0""")
+def chain_intact(spark, d):
+    """A chain of one entry that holds, hash and genesis link included."""
+    return custody.verify_chain(_audit(spark, d).where(F.col("id") == 1))
+
+
 def _exported(spark: SparkSession, d: str):
     ev = events(spark, d)
     cases = _audit(spark, d).select("case_id").distinct()

@@ -153,7 +153,7 @@ def extract_document_entities(spark, d):
 @query("entity_lookup", f"""
 WITH {_PUBLIC}, pick AS (SELECT min(ip) AS ip FROM sc)
 SELECT source_id, line_no, sc.ip AS raw_value FROM sc, pick WHERE sc.ip = pick.ip
-ORDER BY source_id, line_no LIMIT 500""")
+ORDER BY source_id, line_no""")
 def entity_lookup(spark, d):
     from ..operators.retrieve import entity_lookup as lookup
     entities = _document_entities(spark, d)
@@ -180,39 +180,53 @@ def _event_entities(spark, d):
         "canonical_key")).where(F.col("canonical_key").isNotNull())
 
 
-def _linkage_sql(rounds: int) -> str:
-    parts = ["""
+def _linkage_sql(rounds: int, result: str, rare: str = "HAVING count(*) > 1") -> str:
+    """PageRank by sums per entity; ``result`` is selected from rank (e, pr, n)."""
+    parts = [f"""
 WITH ent AS MATERIALIZED (
   SELECT 'account:' || user_id AS key, event_id + 1 AS e FROM events
   UNION ALL SELECT 'k:' || json_extract_string(props, '$.k'), event_id + 1 FROM events),
-freq AS MATERIALIZED (SELECT key, e, count(*) AS f FROM ent WHERE key IS NOT NULL GROUP BY ALL),
-rare AS MATERIALIZED (SELECT key, count(*) AS df FROM freq GROUP BY key
-  HAVING count(*) BETWEEN 2 AND 200 ORDER BY df, key LIMIT 5000),
-edge AS MATERIALIZED (SELECT a.e AS src, b.e AS dst, sum(ln(1 + b.f) / df) AS w
-  FROM rare JOIN freq a USING (key) JOIN freq b USING (key) WHERE a.e <> b.e GROUP BY ALL),
-node AS MATERIALIZED (SELECT e, 1.0 / count(*) OVER () AS pr, count(*) OVER () AS n
-  FROM (SELECT DISTINCT e FROM rare JOIN freq USING (key))),
-outw AS MATERIALIZED (SELECT src, sum(w) AS o FROM edge GROUP BY src),
-norm AS MATERIALIZED (SELECT src, dst, w / o AS p FROM edge JOIN outw USING (src)),
-r0 AS MATERIALIZED (SELECT e, CAST(pr AS DOUBLE) AS pr, n FROM node)"""]
+freq AS MATERIALIZED (SELECT key, e, ln(1 + count(*)) AS l FROM ent WHERE key IS NOT NULL GROUP BY ALL),
+rare AS MATERIALIZED (SELECT key, count(*) AS df, sum(l) AS s FROM freq GROUP BY key {rare}),
+inc AS MATERIALIZED (SELECT key, e, l, 1.0::DOUBLE / df AS w, s FROM rare JOIN freq USING (key)),
+node AS MATERIALIZED (SELECT e, sum(w * (s - l)) AS o, sum(w * l) AS own, count(*) OVER () AS n FROM inc GROUP BY e),
+r0 AS MATERIALIZED (SELECT e, 1.0::DOUBLE / n AS pr FROM node)"""]
     for i in range(1, rounds + 1):
         parts.append(f"""
-r{i} AS MATERIALIZED (SELECT r.e, 0.15 / r.n + 0.85 * coalesce(g.s, 0) AS pr, r.n FROM r{i - 1} r
-  LEFT JOIN (SELECT dst, sum(p * pr) AS s FROM norm JOIN r{i - 1} ON src = e GROUP BY dst) g ON g.dst = r.e)""")
-    return ",".join(parts) + f" SELECT e AS line_no, round(pr * n, 6) AS relative_score FROM r{rounds}"
+s{i} AS MATERIALIZED (SELECT e, CASE WHEN o > 0 THEN pr / o ELSE 0 END AS share, own, n FROM r{i - 1} JOIN node USING (e)),
+t{i} AS MATERIALIZED (SELECT key, sum(share) AS t FROM inc JOIN s{i} USING (e) GROUP BY key),
+r{i} AS MATERIALIZED (SELECT e, 0.15 / any_value(n) + 0.85 * (sum(w * l * t) - any_value(share * own)) AS pr
+  FROM inc JOIN t{i} USING (key) JOIN s{i} USING (e) GROUP BY e)""")
+    parts.append(f" rank AS (SELECT e, pr, n FROM r{rounds} JOIN node USING (e))")
+    return ",".join(parts) + result
 
 
-@query("entity_linkage", _linkage_sql(20))
-def linkage(spark, d):
-    scores = entity_linkage(_event_entities(spark, d))
+_RELATIVE = " SELECT e AS line_no, round(pr * n, 6) AS relative_score FROM rank"
+
+
+def _relative(scores):
     nodes = scores.agg(F.count(F.lit(1)).alias("n")).first()[0]
     return scores.select("line_no", F.round(F.col("score") * nodes, 6).alias("relative_score"))
 
 
-@query("attach_linkage")
+@query("entity_linkage", _linkage_sql(20, _RELATIVE))
+def linkage(spark, d):
+    return _relative(entity_linkage(_event_entities(spark, d)))
+
+
+@query("entity_linkage_rarest", _linkage_sql(
+    20, _RELATIVE, "HAVING count(*) BETWEEN 2 AND 100 ORDER BY df, key LIMIT 60"))
+def linkage_of_rarest(spark, d):
+    return _relative(entity_linkage(_event_entities(spark, d), max_entities=60, max_df=100))
+
+
+@query("attach_linkage", _linkage_sql(20, """
+SELECT event_id + 1 AS line_no, coalesce(round(pr, 6), 0) AS linkage_score FROM events
+LEFT JOIN rank ON e = event_id + 1 WHERE value > 200"""))
 def linkage_of_hits(spark, d):
     hits = one_source(spark, d).where(F.col("value") > 200).select("source_id", "line_no")
-    return attach_linkage(hits, entity_linkage(_event_entities(spark, d)))
+    return attach_linkage(hits, entity_linkage(_event_entities(spark, d))).select(
+        "line_no", "linkage_score")
 
 
 def _corroboration(spark, d):

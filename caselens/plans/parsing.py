@@ -9,7 +9,7 @@ from ..session import new_folder, spread
 from ..sources import access_logs, descriptors, detect, event_xml, files, iis_logs, multiline
 from ..sources import lines as text_lines
 from ..sources.normalize import build_events, extract_entities
-from ..sources.tables import list_sources, write_entities, write_events
+from ..sources.tables import list_sources, read_stored, write_entities, write_events
 from .registry import DOC_LINES_SQL, document_lines, query, table
 
 
@@ -175,6 +175,39 @@ def write_and_read(spark, d):
     return count("events").join(count("entities"), "source_id")
 
 
+@query("reparse_replaces", f"""
+WITH {_ACCESS_SQL} SELECT CASE event_type WHEN 'click' THEN '007' ELSE '7' END AS source_id, count(*) AS events
+FROM l WHERE kind = 'event' AND event_type IN ('click', 'purchase') GROUP BY event_type""")
+def reparse_replaces(spark, d):
+    """Ids 007 and 7 stay apart, and a source parsed to nothing loses its old events."""
+    folder = new_folder(spark, "reparsed")
+    named = F.when(F.col("source_id") == "click", "007").when(
+        F.col("source_id") == "purchase", "7").otherwise(F.col("source_id"))
+    parsed = _log_events(spark, d).withColumn("source_id", named)
+    sources = parsed.select("source_id").distinct()
+    write_events(parsed, folder, sources)
+    write_events(parsed.where(F.col("source_id").isin("007", "7")), folder, sources)
+    return read_stored(spark, folder, parsed.schema).groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("events"))
+
+
+@query("unregistered_files", """
+SELECT 'r' || r_regionkey AS source_id, 1 AS lines FROM region WHERE r_regionkey > 0
+UNION ALL SELECT 'unregistered', 1""")
+def unregistered(spark, d):
+    """One file per region; region 0 is not registered and the rest in another spelling."""
+    folder = new_folder(spark, "regions")
+    rows = table(spark, d, "region").select(F.col("r_name").alias("value"), "r_regionkey")
+    rows.write.partitionBy("r_regionkey").text(folder)
+    key = F.regexp_extract("path", r"r_regionkey=(\d+)", 1)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
+        F.regexp_replace("path", "^file:/+", "file:///").alias("path"),
+        F.concat(F.lit("r"), key).alias("source_id")).where(F.col("source_id") != "r0")
+    lines = text_lines.read_log_lines(spark, [folder], listed)
+    name = F.when(F.col("source_id").contains("/"), "unregistered").otherwise(F.col("source_id"))
+    return lines.groupBy(name.alias("source_id")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def iis_lines(spark: SparkSession, d: str) -> DataFrame:
     """W3C lines whose column order changes along the file."""
     ev = spread(table(spark, d, "events"))
@@ -374,13 +407,42 @@ def read_lines(spark, d):
         .alias("in_order"))
 
 
-@query("file_inventory")
+@query("file_inventory", """
+SELECT n_nationkey, sha256(n_name || chr(10)) AS actual,
+  CASE n_nationkey WHEN 3 THEN 'mismatch' ELSE 'ok' END AS state
+FROM nation WHERE n_nationkey <> 5 UNION ALL SELECT 99, NULL, 'missing'""")
 def inventory(spark, d):
-    """Hashes of the given files themselves; compared with hashlib in the tests."""
-    return files.verify_files(
-        files.file_inventory(spark, d),
-        files.file_inventory(spark, d).select("path", "sha256")).select(
-        F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "sha256", "state")
+    """One text file per nation; the registry has an altered hash and a lost file, and lacks one."""
+    folder = new_folder(spark, "nations")
+    table(spark, d, "nation").select(F.col("n_name").alias("value"), "n_nationkey").write.partitionBy(
+        "n_nationkey").text(folder)
+    found = files.file_inventory(spark, folder)
+    key = F.regexp_extract("path", r"n_nationkey=(\d+)", 1)
+    gone = spark.range(1).select(F.lit(f"{folder}/n_nationkey=99/part").alias("path"), F.lit("0").alias("sha256"))
+    registry = found.where(key != "5").select("path", F.when(key == "3", "0").otherwise(
+        F.col("sha256")).alias("sha256")).unionByName(gone)
+    return files.verify_files(found, registry).select(
+        key.cast("int").alias("n_nationkey"), "actual", "state")
+
+
+@query("distinct_contents", """
+SELECT sha256(n_regionkey || chr(10)) AS sha256, count(*) AS copies FROM nation GROUP BY n_regionkey""")
+def contents(spark, d):
+    """One file per nation that holds its region's number: five contents."""
+    folder = new_folder(spark, "contents")
+    table(spark, d, "nation").select(
+        F.col("n_regionkey").cast("string").alias("value"), "n_nationkey").write.partitionBy(
+        "n_nationkey").text(folder)
+    return files.distinct_contents(files.file_inventory(spark, folder)).select("sha256", "copies")
+
+
+@query("malformed_bytes", """
+SELECT doc_id, text || chr(65533) AS raw FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^ -~]')""")
+def malformed_bytes(spark, d):
+    """GBK lines that end in half a character: it becomes U+FFFD and the line stays."""
+    docs = table(spark, d, "documents").where((F.col("lang") == "en") & ~F.col("text").rlike("[^ -~]"))
+    data = F.concat(F.col("text").cast("binary"), F.lit(bytearray([0x81])))
+    return docs.select("doc_id", text_lines.decode(data, "gbk").alias("raw"))
 
 
 @query("detect_formats", f"""

@@ -130,15 +130,17 @@ def ts_coverage(spark, d):
 
 
 @query("event_order", f"""
-WITH {EVENTS_SQL} SELECT "user", line_no, row_number() OVER (ORDER BY "user", ts_utc, line_no) AS pos
-FROM ev QUALIFY pos <= 500""")
+WITH {EVENTS_SQL} SELECT "user", line_no,
+  row_number() OVER (PARTITION BY "user" ORDER BY ts_utc, line_no) AS pos FROM ev""")
 def event_order(spark, d):
-    from ..operators.motifs import event_series
-    first = event_series(one_source(spark, d), ["user"]).limit(500)
+    """Positions inside each key, read off the rows in the order in which they come."""
     from pyspark.sql import Window
-    # The page is 500 rows; numbering it is only for the comparison.
-    return first.select("user", "line_no", F.row_number().over(
-        Window.orderBy("user", "ts_utc", "line_no")).cast("bigint").alias("pos"))
+
+    from ..operators.motifs import event_series
+    placed = event_series(one_source(spark, d), ["user"]).withColumn(
+        "_at", F.monotonically_increasing_id())
+    return placed.select("user", "line_no", F.row_number().over(
+        Window.partitionBy("user").orderBy("_at")).cast("bigint").alias("pos"))
 
 
 @query("viewer_lines", f"""

@@ -84,6 +84,7 @@ HITS = T.StructType([
     T.StructField("status", T.StringType()),
     T.StructField("detail", T.StringType()),          # JSON object
     T.StructField("round_no", T.IntegerType()),
+    T.StructField("within_budget", T.BooleanType()),
 ])
 HIT_KEY = ["source_id", "line_no", "rule_id"]
 

@@ -21,9 +21,13 @@ SETTINGS = {
     # costs the aggregate one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Source ids such as 007 are texts, also as names of partitions.
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Declared encodings such as GBK are decoded on the JVM.
     "spark.sql.legacy.javaCharsets": "true",
+    # Malformed bytes become U+FFFD instead of ending the job.
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 
@@ -71,6 +75,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def escape_partition(value: str | None) -> str:
+    """The folder name Spark gives to a partition value."""
+    if value is None or value == "":
+        return "__HIVE_DEFAULT_PARTITION__"
+    special = set('"#%\'*/:=?\\\x7f{[]^') | {chr(i) for i in range(1, 32)}
+    return "".join(f"%{ord(c):02X}" if c in special else c for c in value)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system Spark can reach, if it exists."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and continue from there."""
     spark = df.sparkSession

@@ -31,7 +31,8 @@ def read_log_lines(spark: SparkSession, paths: list[str] | str,
     id of its split plus the lines of the splits before it. Only the split table (one row
     per split) is aggregated; the text itself is not shuffled. ``sources`` with columns
     ``path, source_id`` and optionally ``encoding`` names the files and says how to decode
-    them; without it the path is the source id and the text is UTF-8.
+    them; a file it does not name, or any file without it, has its path as source id and is
+    read as UTF-8.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not spark.conf.get(_MIN_PARTITIONS, None):
@@ -48,7 +49,8 @@ def read_log_lines(spark: SparkSession, paths: list[str] | str,
         .join(broadcast_if_small(splits, _SPLIT_ROW_BYTES), ["path", "_start"], "left")
         # A split that the counting pass did not see means the files changed meanwhile.
         .withColumn("line_no", F.when(
-            F.col("_first").isNotNull(),
+            # Both passes must have given the split the same place, or row ids do not compare.
+            F.shiftright("_row", 33) == F.shiftright("_first", 33),
             F.col("_row") - F.col("_first") + F.col("_before") + 1).otherwise(
                 F.raise_error(F.concat(F.lit("input changed while reading: "), F.col("path")))
                 .cast("bigint"))))
@@ -61,7 +63,23 @@ def read_log_lines(spark: SparkSession, paths: list[str] | str,
         # The source list is a small dimension table; its distinct encodings are a handful.
         for row in sources.select(declared.alias("e")).distinct().collect():
             raw = F.when(declared == row.e, decode(F.col("_bytes"), row.e)).otherwise(raw)
-    return numbered.join(sources, "path").select("source_id", "line_no", raw.alias("raw"))
+    # The source list is small next to the lines; a file that is not in it stays readable.
+    named = sources.withColumn("_path", plain_path("path")).drop("path")
+    return numbered.withColumn("_path", plain_path("path")).join(named, "_path", "left").select(
+        F.coalesce("source_id", "path").alias("source_id"), "line_no", raw.alias("raw"))
+
+
+def plain_path(path: str) -> Column:
+    """One spelling for file:/x, file:///x and /x; other schemes as they are."""
+    return F.regexp_replace(F.col(path), "^(?:file:)?/+", "/")
+
+
+def unregistered_files(spark: SparkSession, paths: list[str] | str, sources: DataFrame) -> DataFrame:
+    """Files under ``paths`` that no source names: their lines have the path as source id."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(
+        "path", "length")
+    return files.withColumn("_path", plain_path("path")).join(
+        sources.select(plain_path("path").alias("_path")), "_path", "left_anti").drop("_path")
 
 
 def decode(data: Column, encoding: str) -> Column:
