@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from . import blocks
 from .components import components
+from .storage import small_or_not, stored
 
 COUNTING_PARTS = 4
 _CHECK = np.uint64(0xA0761D6478BD642F)
@@ -149,7 +149,7 @@ def _fragments(k: int):
 
 def _token_pieces(pairs: DataFrame, texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    rows = sets.join(wanted, "set_id").select("rid", "set_id")
+    rows = small_or_not(stored(sets.join(wanted, "set_id").select("rid", "set_id"), "wanted"))
     # A repeated id can bring one set twice; the copies are equal, one is enough.
     return texts.select("rid", "text").join(rows, "rid").mapInArrow(
         _fragments(k), "set_id long, part int, grams array<long>").dropDuplicates(
@@ -176,7 +176,7 @@ def _class_difference(n: Column, num: int, den: int) -> Column:
         F.size(F.filter(F.array(*[F.lit(low) for low, _, _ in classes]), lambda low: low <= n)))
 
 
-def _unsettled(members: DataFrame, lead: DataFrame, grouped: DataFrame, counted: DataFrame,
+def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
                pieces: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that share a piece and can still be linked.
 
@@ -187,32 +187,37 @@ def _unsettled(members: DataFrame, lead: DataFrame, grouped: DataFrame, counted:
     pair that can be linked also agrees in more pieces than its class's largest difference
     less its own; it meets once per piece, so the pieces are counted.
     """
-    labelled = cut_lineage(members.join(
-        grouped.withColumnRenamed("node", "set_id"), "set_id", "left").join(lead, "key").select(
-        "key", "set_id", "b", F.coalesce("component", "set_id").alias("component")))
+    labelled = led.join(small_or_not(grouped.withColumnRenamed("node", "set_id")), "set_id",
+                        "left").select(
+        "key", "set_id", "b", F.coalesce("component", "set_id").alias("component"))
+    # Both uses of a key meet in one exchange.
+    labelled = labelled.repartition("key")
     mixed = labelled.groupBy("key").agg(
         F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p < _q")
-    left = cut_lineage(labelled.where("set_id != b").join(mixed.select("key"), "key"))
+    left = stored(labelled.where("set_id != b").join(mixed.select("key"), "key"), "left")
     if left.isEmpty():
         return left.select(F.col("set_id").alias("a"), "b").limit(0)
     single = pieces.select("set_id", F.explode("grams").alias("_g")).groupBy("_g").agg(
         F.count("*").alias("_m"), F.min("set_id").alias("set_id")).where("_m = 1").groupBy(
         "set_id").agg(F.count("*").alias("s"))
+    single = small_or_not(stored(single, "single"))
     far = counted.select(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y"),
                          (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("u"))
+    sized = small_or_not(stored(sets.select("set_id", "n").join(
+        left.select("set_id").distinct(), "set_id"), "sized"))
     known = left.withColumns({"_x": F.least("set_id", "b"), "_y": F.greatest("set_id", "b")}).join(
-        far, ["_x", "_y"]).join(sets.select("set_id", "n"), "set_id").join(
+        small_or_not(stored(far, "far")), ["_x", "_y"]).join(sized, "set_id").join(
         single, "set_id", "left").select(
         "key", "set_id", "component", "n", "u",
         (2 * F.coalesce("s", F.lit(0)) - F.col("u")).alias("v"))
-    known = cut_lineage(known)
+    known = stored(known, "known")
     # The largest partner of a set has den / num of its size.
     most = F.floor(F.col("n") * (1 + den / num) * (den - num) / (den + num) + 1e-6)
     fit = known.join(known.groupBy("key").agg(F.min("v").alias("_v")), "key").where(
         F.col("u") + F.col("_v") <= most).drop("_v")
     still = fit.groupBy("key").agg(
         F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p < _q")
-    fit = cut_lineage(fit.join(still.select("key"), "key"))
+    fit = stored(fit.join(still.select("key"), "key"), "fit")
     x, y = fit.alias("x"), fit.alias("y")
     limit = (F.col("x.n") + F.col("y.n")) * (den - num)
     return x.join(y, (F.col("x.key") == F.col("y.key"))
@@ -243,34 +248,38 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     rid: Column = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text")))
     texts = source.select("id", rid.alias("rid"), "text")
     kind = source.schema["id"].dataType.simpleString()
-    described = cut_lineage(texts.mapInArrow(
-        _describe(k), f"id {kind}, rid long, n long, set_id long, proof long"))
-    sets = cut_lineage(described.where("n > 0").groupBy("set_id").agg(
+    described = stored(texts.mapInArrow(
+        _describe(k), f"id {kind}, rid long, n long, set_id long, proof long"), "described")
+    sets = stored(described.where("n > 0").groupBy("set_id").agg(
         F.min("n").alias("n"), F.min("rid").alias("rid"), F.min("id").alias("least"),
         F.min("proof").alias("_p"), F.max("proof").alias("_q")).select(
         "set_id", "rid", "least", F.when(F.col("_p") == F.col("_q"), F.col("n")).otherwise(
-            F.raise_error(F.lit("two gram sets share a hash")).cast("bigint")).alias("n")))
-
-    keyed = texts.select("text").mapInArrow(_pieces(k, num, den), "key long, set_id long")
-    shared = keyed.groupBy("key").agg(F.min("set_id").alias("_p"), F.max("set_id").alias("_q"))
-    members = cut_lineage(keyed.join(shared.where("_p < _q").select("key"), "key").distinct())
-
-    weight = members.join(members.groupBy("key").agg(F.count("*").alias("_m")), "key").groupBy(
-        "set_id").agg(F.sum("_m").alias("_m"))
-    lead = cut_lineage(members.join(weight, "set_id").groupBy("key").agg(
-        F.max(F.struct("_m", "set_id")).getField("set_id").alias("b")))
-    first = members.withColumnRenamed("set_id", "a").join(lead, "key").where("a != b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = cut_lineage(first)
-    pieces = cut_lineage(_token_pieces(first, texts, sets, k))
-    counted = cut_lineage(_counted(first, pieces, sets))
+            F.raise_error(F.lit("two gram sets share a hash")).cast("bigint")).alias("n")), "sets")
+
+    # One exchange serves both sides: keys of one set only go, others meet their sets. Rows
+    # are two numbers and stream through, so a large group costs its task time, not memory.
+    keyed = texts.select("text").mapInArrow(
+        _pieces(k, num, den), "key long, set_id long").repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("set_id").alias("_p"), F.max("set_id").alias("_q"),
+                                      F.count("*").alias("_m")).where("_p < _q")
+    members = stored(keyed.join(shared.select("key", "_m"), "key").distinct(), "members")
+    weight = small_or_not(stored(members.groupBy("set_id").agg(
+        F.sum("_m").alias("weight")), "weight"))
+    weighed = members.join(weight, "set_id").select("key", "set_id", "weight").repartition("key")
+    led = stored(weighed.join(weighed.groupBy("key").agg(
+        F.max(F.struct("weight", "set_id")).getField("set_id").alias("b")), "key").select(
+        "key", "set_id", "b"), "led")
+    first = stored(led.where("set_id != b").select(
+        F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct(), "first")
+    pieces = stored(_token_pieces(first, texts, sets, k), "pieces")
+    counted = stored(_counted(first, pieces, sets), "counted")
     similar = F.col("shared") * (den + num) >= (F.col("na") + F.col("nb")) * num
     links = counted.where(similar).select("a", "b")
     grouped = components(links)
-    rest = cut_lineage(_unsettled(members, lead, grouped, counted, pieces, sets, num, den).join(
-        first, ["a", "b"], "left_anti"))
+    rest = stored(_unsettled(led, grouped, counted, pieces, sets, num, den).join(
+        first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = cut_lineage(_counted(rest, pieces, sets).where(similar).select("a", "b"))
+        more = stored(_counted(rest, pieces, sets).where(similar).select("a", "b"), "more")
         grouped = components(links.union(more))
 
     named = sets.join(grouped.withColumnRenamed("node", "set_id"), "set_id", "left").select(
