@@ -121,8 +121,14 @@ def _pieces(k: int, num: int, den: int):
     return run
 
 
-def _fragments(k: int):
-    """Token pieces in the wide fragments, for rows whose text has the wanted set."""
+def _fragments(k: int, whole: bool):
+    """Token pieces in the wide fragments, for rows whose text has the wanted set.
+
+    Tokens are whole hashes, or the 32 bits that follow those that name the fragment.
+    """
+    shift, kind = (np.uint64(0), np.int64) if whole else (
+        np.uint64(32 - COUNTING_PARTS.bit_length() + 1), np.int32)
+
     def run(batches):
         for batch in batches:
             wanted = batch.column("set_id").to_pylist()
@@ -137,7 +143,7 @@ def _fragments(k: int):
                     if len(piece):
                         sets.append(wanted[row])
                         parts.append(part)
-                        grams_of.append(piece.astype(np.int64))
+                        grams_of.append((piece >> shift).astype(kind))
             if sets:
                 ends = np.cumsum([0, *map(len, grams_of)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -147,18 +153,20 @@ def _fragments(k: int):
     return run
 
 
-def _token_pieces(pairs: DataFrame, texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+def _token_pieces(pairs: DataFrame, texts: DataFrame, sets: DataFrame, k: int,
+                  whole: bool = False) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     rows = small_or_not(stored(sets.join(wanted, "set_id").select("rid", "set_id"), "wanted"))
     # A repeated id can bring one set twice; the copies are equal, one is enough.
     return texts.select("rid", "text").join(rows, "rid").mapInArrow(
-        _fragments(k), "set_id long, part int, grams array<long>").dropDuplicates(
+        _fragments(k, whole),
+        f"set_id long, part int, grams array<{'long' if whole else 'int'}>").dropDuplicates(
         ["set_id", "part"])
 
 
 def _counted(pairs: DataFrame, pieces: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, shared): the overlap of each pair, summed over the wide fragments."""
-    partial = pairs.join(pieces.select(F.col("set_id").alias("a"), "part", "grams"), "a").join(
+    partial = small_or_not(pairs).join(pieces.select(F.col("set_id").alias("a"), "part", "grams"), "a").join(
         pieces.select(F.col("set_id").alias("b"), "part", F.col("grams").alias("_other")),
         ["b", "part"]).select(
         "a", "b", F.size(F.array_intersect("grams", "_other")).cast("long").alias("shared"))
@@ -168,6 +176,23 @@ def _counted(pairs: DataFrame, pieces: DataFrame, sets: DataFrame) -> DataFrame:
         sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
 
 
+def _links(counted: DataFrame, texts: DataFrame, sets: DataFrame, k: int, num: int, den: int
+           ) -> DataFrame:
+    """The counted pairs at the similarity or above.
+
+    Equal short tokens of different grams make a count too high or too low by one, once in
+    many thousand pairs. Pairs near the similarity, by two grams below it to four above, are
+    therefore counted again with whole hashes.
+    """
+    over = F.col("shared") * (den + num) - (F.col("na") + F.col("nb")) * num
+    near = stored(counted.where((over >= -2 * (den + num)) & (over < 4 * (den + num))).select("a", "b"), "near")
+    sure = counted.where(over >= 4 * (den + num)).select("a", "b")
+    if near.isEmpty():
+        return sure
+    pieces = stored(_token_pieces(near, texts, sets, k, whole=True), "pieces")
+    return sure.union(_counted(near, pieces, sets).where(over >= 0).select("a", "b"))
+
+
 def _class_difference(n: Column, num: int, den: int) -> Column:
     """The largest difference of linked pairs in the size class of ``n``."""
     classes = _classes(num, den)
@@ -197,7 +222,9 @@ def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
     left = stored(labelled.where("set_id != b").join(mixed.select("key"), "key"), "left")
     if left.isEmpty():
         return left.select(F.col("set_id").alias("a"), "b").limit(0)
-    single = pieces.select("set_id", F.explode("grams").alias("_g")).groupBy("_g").agg(
+    single = pieces.join(small_or_not(stored(left.select("set_id").distinct(), "open")), "set_id",
+                         "left_semi").select(
+        "set_id", "part", F.explode("grams").alias("_g")).groupBy("part", "_g").agg(
         F.count("*").alias("_m"), F.min("set_id").alias("set_id")).where("_m = 1").groupBy(
         "set_id").agg(F.count("*").alias("s"))
     single = small_or_not(stored(single, "single"))
@@ -273,14 +300,13 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
         F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct(), "first")
     pieces = stored(_token_pieces(first, texts, sets, k), "pieces")
     counted = stored(_counted(first, pieces, sets), "counted")
-    similar = F.col("shared") * (den + num) >= (F.col("na") + F.col("nb")) * num
-    links = counted.where(similar).select("a", "b")
+    links = stored(_links(counted, texts, sets, k, num, den), "links")
     grouped = components(links)
     rest = stored(_unsettled(led, grouped, counted, pieces, sets, num, den).join(
         first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = stored(_counted(rest, pieces, sets).where(similar).select("a", "b"), "more")
-        grouped = components(links.union(more))
+        more = stored(_counted(rest, pieces, sets), "more")
+        grouped = components(links.union(_links(more, texts, sets, k, num, den)))
 
     named = sets.join(grouped.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "set_id", "least", F.coalesce("component", "set_id").alias("_c"))
