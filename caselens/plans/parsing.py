@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder, spread
-from ..sources import access_logs, descriptors, detect, event_xml, files, iis_logs, multiline
+from ..sources import (
+    access_logs, case_parse, descriptors, detect, event_xml, files, iis_logs, multiline,
+)
 from ..sources import lines as text_lines
 from ..sources.normalize import build_events, extract_entities
 from ..sources.tables import list_sources, read_stored, write_entities, write_events
@@ -445,6 +447,48 @@ def malformed_bytes(spark, d):
     return docs.select("doc_id", text_lines.decode(data, "gbk").alias("raw"))
 
 
+@query("parse_case", f"""
+WITH {_ACCESS_SQL}, c AS (SELECT event_type AS source_id, count(*) AS total_lines,
+    sum((kind = 'event')::INT)::BIGINT AS parsed FROM l WHERE event_type IN ('click', 'error') GROUP BY 1)
+SELECT source_id, 'parsed' AS status, NULL AS reason, total_lines, parsed, parsed AS stored FROM c
+UNION ALL SELECT 'view', 'parsed', NULL, count(*), sum((event_id % 101 <> 0)::INT)::BIGINT,
+  sum((event_id % 101 <> 0)::INT)::BIGINT FROM events WHERE event_type = 'view'
+UNION ALL SELECT 'signup', 'parsed', NULL, count(*), count(*), count(*) FROM events WHERE event_type = 'signup'
+UNION ALL SELECT 'purchase', 'failed', 'file altered', NULL, NULL, 0
+UNION ALL SELECT 'gone', 'failed', 'file missing', NULL, NULL, 0""")
+def parse_case(spark, d):
+    """Files of four formats, one altered and one lost file; events are stored and counted."""
+    folder = new_folder(spark, "case")
+    ev = table(spark, d, "events")
+    kind = F.col("source_id")
+    rows = access_lines(spark, d).where(kind.isin("click", "purchase", "view")).unionByName(
+        access_lines(spark, d, combined=False).where(kind == "error")).unionByName(
+        ev.where(F.col("event_type") == "signup").select(
+            F.col("event_type").alias("source_id"), (F.col("event_id") + 1).alias("line_no"),
+            F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"),
+                               F.col("user_id").cast("string").alias("u"))).alias("raw")))
+    rows.repartition(8, "source_id").sortWithinPartitions("source_id", "line_no").select(
+        F.col("raw").alias("value"), "source_id").write.partitionBy("source_id").text(f"{folder}/raw")
+    found = files.file_inventory(spark, f"{folder}/raw").select("path", "sha256").withColumn(
+        "source_id", F.regexp_extract("path", r"source_id=([^/]+)/", 1))
+    lost = found.limit(1).select(F.concat("path", F.lit(".gone")).alias("path"), "sha256",
+                                 F.lit("gone").alias("source_id"))
+    named = found.unionByName(lost).select(
+        "path", "source_id", F.when(F.col("source_id") == "purchase", "0").otherwise(
+            F.col("sha256")).alias("sha256"), F.lit("UTC").alias("tz_declared"),
+        F.when(F.col("source_id") == "error", "apache_common").when(
+            F.col("source_id") == "view", "raw").when(
+            F.col("source_id") == "signup", "own-json").otherwise("nginx_combined").alias("format_id"))
+    own = {"own-json": {"name": "own-json", "kind": "json", "ts_field": "t",
+                        "ts_formats": ["%Y-%m-%d %H:%M:%S"], "field_map": {"t": "ts_raw"}}}
+    report = case_parse.parse_case(spark, named, f"{folder}/stored", own)
+    stored = spark.read.parquet(f"{folder}/stored/events").groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("stored"))
+    return report.join(stored, "source_id", "left").select(
+        "source_id", "status", "reason", "total_lines", "parsed",
+        F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
 @query("detect_formats", f"""
 WITH {_ACCESS_SQL}, head AS (SELECT kind FROM l WHERE kind <> 'skip' ORDER BY line_no LIMIT 50)
 SELECT 'nginx' AS source_id, 1 AS rank, 'nginx_combined' AS format_id,

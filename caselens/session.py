@@ -63,7 +63,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = os.path.join(tempfile.mkdtemp(prefix="caselens-"), "checkpoints")
     spark.sparkContext.setCheckpointDir(folder)

@@ -36,7 +36,8 @@ def _utc(text: str | None) -> datetime | None:
         value = datetime.fromisoformat((text or "").replace("Z", "+00:00"))
     except ValueError:
         return None
-    return value.astimezone(timezone.utc)
+    # System times without a zone are UTC; the executor's own zone has no say.
+    return value.astimezone(timezone.utc) if value.tzinfo else value.replace(tzinfo=timezone.utc)
 
 
 def _data_items(root) -> list[tuple[str | None, str]]:
