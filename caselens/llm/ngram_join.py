@@ -37,42 +37,51 @@ _CHECK = np.uint64(0xA0761D6478BD642F)
 
 
 @lru_cache(maxsize=8)
-def _classes(num: int, den: int) -> tuple[tuple[int, int, int], ...]:
-    """Size classes as (least size, fragments, largest difference of a linked pair)."""
+def _classes(num: int, den: int) -> tuple[tuple[int, int, int, int], ...]:
+    """Size classes as (least size, fragments, usual empty fragments, pieces that agree
+    beyond a pair's difference).
+
+    A linked pair that differs in d grams has ``fragments - d`` equal pieces, all but the
+    empty ones with a key: at least the last number less d.
+    """
     out, low = [], 1
     while low < 1 << 40:
         high = max(low + 1, low * 3 // 2)
         most = 2 * (high - 1) * (den - num) // (den + num)
-        count = 1 if not most else most + 1 + 2 + most // 16
-        out.append((low, count, most))
+        empty = 0 if not most else 2 + most // 6
+        agree = most + 1 + (0 if not most else 1 + most // 4)
+        out.append((low, agree + empty, empty, agree))
         low = high
     return tuple(out)
 
 
-def piece_keys(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the pieces by which a sorted set is found.
+def piece_keys(grams: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pieces by which a sorted set is found, and for each its class and the
+    number of keys that a linked set shares with it there (in the low 20 bits).
 
     A set works in its size class and in the next one when it can be linked into it. Empty
     pieces give no key; in the rare set that has too many of them for the argument above,
     they do.
     """
-    n, classes, out = len(grams), _classes(num, den), []
+    n, classes, out, needs = len(grams), _classes(num, den), [], []
+    widest = n * (num + den) * (den - num) // (num * (den + num))
     at = next(i for i in range(len(classes)) if classes[i + 1][0] > n)
     running = np.zeros(n + 1, np.uint64)
     np.cumsum(blocks.mix(grams ^ _CHECK), out=running[1:])
     high_bits = grams >> np.uint64(32)
     while True:
-        _, count, most = classes[at]
+        _, count, empty, agree = classes[at]
         order = (high_bits * np.uint64(count)) >> np.uint64(32)
         cuts = np.searchsorted(order, np.arange(count + 1, dtype=np.uint64))
         sums = running[cuts[1:]] - running[cuts[:-1]]
         places = np.arange(count, dtype=np.uint64) + np.uint64(at << 40)
         keys = blocks.mix(sums + blocks.mix(places + np.uint64(1)))
         full = cuts[1:] > cuts[:-1]
-        out.append(keys if count - full.sum() > count - most - 1 else keys[full])
+        out.append(keys if count - full.sum() > empty else keys[full])
+        needs.append(np.full(len(out[-1]), at << 20 | max(1, agree - widest)))
         at += 1
         if n * den < num * classes[at][0]:
-            return np.concatenate(out)
+            return np.concatenate(out), np.concatenate(needs)
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -109,15 +118,17 @@ def _describe(k: int):
 def _pieces(k: int, num: int, den: int):
     def run(batches):
         for batch in batches:
-            keys, sets = [], []
+            keys, sets, needs = [], [], []
             for _, grams in _sets(batch, k):
                 if len(grams):
-                    keys.append(piece_keys(grams, num, den).astype(np.int64))
-                    sets.append(np.full(len(keys[-1]), _set_id(grams)[0]))
+                    key, need = piece_keys(grams, num, den)
+                    keys.append(key.astype(np.int64))
+                    needs.append(need.astype(np.int32))
+                    sets.append(np.full(len(key), _set_id(grams)[0]))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(sets))],
-                    ["key", "set_id"])
+                    [pa.array(np.concatenate(c)) for c in (keys, sets, needs)],
+                    ["key", "set_id", "need"])
     return run
 
 
@@ -193,12 +204,12 @@ def _links(counted: DataFrame, texts: DataFrame, sets: DataFrame, k: int, num: i
     return sure.union(_counted(near, pieces, sets).where(over >= 0).select("a", "b"))
 
 
-def _class_difference(n: Column, num: int, den: int) -> Column:
-    """The largest difference of linked pairs in the size class of ``n``."""
+def _class_agreement(n: Column, num: int, den: int) -> Column:
+    """Keys a linked pair shares beyond its difference, in the size class of ``n``."""
     classes = _classes(num, den)
     return F.element_at(
-        F.array(*[F.lit(most) for _, _, most in classes]),
-        F.size(F.filter(F.array(*[F.lit(low) for low, _, _ in classes]), lambda low: low <= n)))
+        F.array(*[F.lit(agree) for *_, agree in classes]),
+        F.size(F.filter(F.array(*[F.lit(low) for low, *_ in classes]), lambda low: low <= n)))
 
 
 def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
@@ -209,8 +220,8 @@ def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
     other set has, two sets of the group differ in at least
     max(|Dx| - |Dy| + 2 sy, |Dy| - |Dx| + 2 sx) grams: own grams are in no other
     difference. Copies edited on their own are settled by this without being paired. A
-    pair that can be linked also agrees in more pieces than its class's largest difference
-    less its own; it meets once per piece, so the pieces are counted.
+    pair that can be linked also shares as many keys as its class asks for less its
+    difference; it meets once per key, so the keys are counted.
     """
     labelled = led.join(small_or_not(grouped.withColumnRenamed("node", "set_id")), "set_id",
                         "left").select(
@@ -256,7 +267,7 @@ def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
         F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(
         F.count("*").alias("_same"), F.first(F.col("x.n") + F.col("y.n")).alias("_n"),
         F.first(F.greatest("x.n", "y.n")).alias("_larger")).where(
-        F.col("_same") > _class_difference(F.col("_larger"), num, den)
+        F.col("_same") >= _class_agreement(F.col("_larger"), num, den)
         - F.floor(F.col("_n") * (den - num) / (den + num) + 1e-6)).select("a", "b")
 
 
@@ -286,10 +297,17 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     # One exchange serves both sides: keys of one set only go, others meet their sets. Rows
     # are two numbers and stream through, so a large group costs its task time, not memory.
     keyed = texts.select("text").mapInArrow(
-        _pieces(k, num, den), "key long, set_id long").repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("set_id").alias("_p"), F.max("set_id").alias("_q"),
-                                      F.count("*").alias("_m")).where("_p < _q")
-    members = stored(keyed.join(shared.select("key", "_m"), "key").distinct(), "members")
+        _pieces(k, num, den), "key long, set_id long, need int").repartition("key")
+    shared = keyed.groupBy("key").agg(
+        F.min("set_id").alias("_p"), F.max("set_id").alias("_q")).where("_p < _q")
+    met = stored(keyed.join(shared.select("key"), "key").distinct(), "met")
+    # A set that shares fewer keys than a linked set would share with it links with none:
+    # texts that have a passage or some lines in common go here.
+    able = small_or_not(stored(met.groupBy("set_id", "need").agg(F.count("*").alias("_n")).where(
+        F.col("_n") >= F.col("need").bitwiseAND(0xFFFFF)).select("set_id", "need"), "able"))
+    met = met.join(able, ["set_id", "need"]).select("key", "set_id").repartition("key")
+    members = stored(met.join(met.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1"),
+                              "key"), "members")
     weight = small_or_not(stored(members.groupBy("set_id").agg(
         F.sum("_m").alias("weight")), "weight"))
     weighed = members.join(weight, "set_id").select("key", "set_id", "weight").repartition("key")
