@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import custody, findings, journal, review, scan, signatures, windows
 from ..operators.retrieve import list_hits
 from ..schema import HITS
-from ..session import cut_lineage, new_folder
+from ..session import new_folder
 from ..sources.access_logs import parse_nginx_combined
 from ..sources.normalize import build_events, extract_entities
 from ..sources.tables import case_overview
@@ -155,8 +155,10 @@ def skipped_sources(spark, d):
 
 def _scan(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     zones = _zones(spark, d)
-    # A scan reads the event table many times; parsing happens once, before it.
-    parsed = cut_lineage(build_events(parse_nginx_combined(access_lines(spark, d)), zones))
+    # A scan reads the event table many times: parsed once, stored, read by columns.
+    folder = new_folder(spark, "scanned")
+    build_events(parse_nginx_combined(access_lines(spark, d)), zones).write.parquet(folder)
+    parsed = spark.read.parquet(folder)
     sources = zones.select("source_id", F.lit("c").alias("case_id"), F.lit("web").alias("log_type"),
                            "sha256")
     return scan.run_scan(parsed, extract_entities(parsed), sources, "c")

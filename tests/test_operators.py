@@ -344,13 +344,15 @@ def test_scan_is_idempotent_and_budgeted(spark):
     first = scan.run_scan(ev, entities, sources, "c", signatures, stats)
     hits = first["hits"].cache()
     by_rule = {r.rule_id: r["count"] for r in hits.groupBy("rule_id").count().collect()}
-    assert by_rule == {"cmd-exec-params": 5, "path-traversal": 3, "periodic-beacon": 1, "cross-source-entity": 2}
+    assert by_rule == {"cmd-exec-params": 12, "path-traversal": 3, "periodic-beacon": 1, "cross-source-entity": 2}
+    inside = {r.rule_id: r["count"] for r in hits.where("within_budget").groupBy("rule_id").count().collect()}
+    assert inside == by_rule | {"cmd-exec-params": 5}
     report = {r.rule_id: (r.hits, r.truncated) for r in first["report"].collect()}
     assert report["cmd-exec-params"] == (5, 7) and report["scanner-ua"] == (0, 0)
     assert {(r.rule_id, r.source_id) for r in first["skipped"].collect()} == {
         (i, "t") for i in ("auth-bruteforce-success", "ip-rate-spike", "periodic-beacon")}
     assert {r.measure: r.value for r in first["summary"].collect()} == {
-        "scanned": 15, "hits_new": 11, "truncated": 7}
+        "scanned": 15, "hits_new": 18, "truncated": 7}
     again = scan.run_scan(ev, entities, sources, "c", signatures, stats, stored=hits, round_no=2)
     assert again["hits"].count() == 0
     subset = scan.run_scan(ev, entities, sources, "c", signatures, stats, rule_ids=["path-traversal"],
@@ -423,6 +425,10 @@ def test_chain_finds_the_first_tampered_entry(spark):
     assert verdict(edited) == (False, 30, 12, "hash")
     assert verdict([r for r in rows if r[0] != 7]) == (False, 29, 8, "gap")
     assert verdict([r for r in rows if r[0] != 1]) == (False, 29, 2, "gap")
+    assert verdict([*rows, rows[3]]) == (False, 31, 4, "duplicate")
+    for gone in (7, 8):  # a missing link, a missing hash
+        torn = [r if r[0] != 9 else (*r[:gone], None, *r[gone + 1:]) for r in rows]
+        assert verdict(torn)[0] is False and verdict(torn)[2] == 9
     relinked = [r if r[0] != 5 else (*r[:7], "odd", r[8]) for r in rows]
     assert verdict(relinked) == (False, 30, 5, "link")
 
