@@ -298,8 +298,11 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     # are two numbers and stream through, so a large group costs its task time, not memory.
     keyed = texts.select("text").mapInArrow(
         _pieces(k, num, den), "key long, set_id long, need int").repartition("key")
+    # All columns are used on both sides, else they would be pruned on one and the exchange
+    # could not be shared.
     shared = keyed.groupBy("key").agg(
-        F.min("set_id").alias("_p"), F.max("set_id").alias("_q")).where("_p < _q")
+        F.min("set_id").alias("_p"), F.max("set_id").alias("_q"),
+        F.min("need").alias("_r")).where("_p < _q and _r >= 0")
     met = stored(keyed.join(shared.select("key"), "key").distinct(), "met")
     # A set that shares fewer keys than a linked set would share with it links with none:
     # texts that have a passage or some lines in common go here.
