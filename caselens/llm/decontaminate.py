@@ -3,7 +3,8 @@
 A text region within e edits of an item of m characters shares at least m - q + 1 - q * e
 of its q-grams, all inside a diagonal band as wide as the edits. Shared q-grams are counted
 in bands that overlap by half, so that such a region lies wholly in one of them; bands that
-reach the bound are aligned, and those within the edit budget are kept.
+reach the bound are aligned, and those within the edit budget are kept. Short items have shorter
+q-grams, so that the bound is at least one q-gram for every item at its full budget.
 
 The item table goes to the tasks in blocks of a fixed number of characters, one pass over
 the documents for each block; a usual benchmark is one block.
@@ -12,6 +13,7 @@ the documents for each block; a usual benchmark is one block.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +23,22 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import blocks
 
-Q = 8
-EDIT_SHARE = 0.1
+Q = 7
+EDIT_SHARE = 0.12
+LEAST_CHARS = 6
 STRETCH = 512
 BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 22
 
 
-def plain(data: np.ndarray) -> np.ndarray:
-    """Bytes with A-Z lowered and any ASCII white space as a blank."""
-    data = blocks.LOWER[data]
-    return np.where(blocks.SPACE[data], np.uint8(32), data)
-
-
-def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of a UTF-8 block and the row offsets among them."""
-    before = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
-    text = data.tobytes().decode("utf-8", "replace")
-    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), before[offsets]
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Case-folded code points of a UTF-8 block, any ASCII white space as a blank, and the
+    row offsets among them."""
+    raw = data.tobytes()
+    rows = [raw[a:b].decode("utf-8", "replace").casefold() for a, b in pairwise(offsets.tolist())]
+    points = np.frombuffer("".join(rows).encode("utf-32-le", "replace"), np.uint32)
+    return (np.where(blocks.SPACE[np.minimum(points, 255)], np.uint32(32), points),
+            np.cumsum([0, *map(len, rows)]))
 
 
 def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
@@ -52,8 +51,9 @@ def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """The q-grams of one block of benchmark items, ready for lookups."""
+    """The q-grams of benchmark items with one q, ready for lookups."""
 
+    q: int
     ids: np.ndarray
     texts: list[np.ndarray]
     budgets: np.ndarray
@@ -65,13 +65,27 @@ class Items:
     filter: np.ndarray
 
 
-def prepare(rows: list[tuple[int, str]], q: int, share: float) -> Items:
-    texts = []
-    for _, text in rows:
-        data = plain(np.frombuffer(text.strip().encode(), np.uint8))
-        texts.append(characters(data, np.array([0, len(data)]))[0])
+def prepare(rows: list[tuple[int, str]], q: int, share: float) -> list[Items]:
+    """The items of ``LEAST_CHARS`` or more characters, in one table for each length of grams.
+
+    An item of m characters and e edits has grams of ``q`` characters or of m // (e + 1), the
+    longest of which e edits cannot touch all.
+    """
+    tables: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+    for i, text in rows:
+        data = np.frombuffer(text.strip().encode(), np.uint8)
+        points = folded(data, np.array([0, len(data)]))[0]
+        if len(points) >= LEAST_CHARS:
+            budget = int(len(points) * share + 1e-9)
+            tables.setdefault(max(1, min(q, len(points) // (budget + 1))), []).append(
+                (i, points, budget))
+    return [_table(q, entries) for q, entries in sorted(tables.items())]
+
+
+def _table(q: int, entries: list[tuple[int, np.ndarray, int]]) -> Items:
+    texts = [t for _, t, _ in entries]
     sizes = np.array([len(t) for t in texts], np.int64)
-    budgets = np.maximum(0, np.minimum((sizes * share).astype(np.int64), (sizes - q) // q))
+    budgets = np.array([e for *_, e in entries], np.int64)
     hashes = [gram_hashes(t, q) for t in texts]
     item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
     place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in hashes]])
@@ -80,7 +94,7 @@ def prepare(rows: list[tuple[int, str]], q: int, share: float) -> Items:
     grams, first = np.unique(every[order], return_index=True)
     bits = np.zeros(1 << _FILTER_BITS, bool)
     bits[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Items(np.array([i for i, _ in rows], np.int64), texts, budgets,
+    return Items(q, np.array([i for i, *_ in entries], np.int64), texts, budgets,
                  np.maximum(1, sizes - q + 1 - q * budgets), grams,
                  np.append(first, len(every)), item[order], place[order], bits)
 
@@ -127,11 +141,9 @@ def _dense(spot: np.ndarray, item: np.ndarray, size: int, items: Items) -> np.nd
     return enough[cell, item]
 
 
-def matches(data: np.ndarray, offsets: np.ndarray, items: Items, q: int
-            ) -> list[tuple[int, int, int]]:
+def matches(points: np.ndarray, firsts: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     """(row, item index, edits) of the items found in each row of a block, best first."""
-    points, firsts = characters(plain(data), offsets)
-    grams = gram_hashes(points, q)
+    grams = gram_hashes(points, items.q)
     maybe = np.flatnonzero(items.filter[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
     at = np.searchsorted(items.grams, grams[maybe])
     known = at < len(items.grams)
@@ -150,9 +162,10 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items, q: int
     for half in (0, 1):
         band = (diagonal + half * step) // (2 * step)
         # Every q-gram of the item counts once in a band.
-        key = np.unique(np.stack([row, item, band, place]), axis=1)[:3]
+        key = np.stack([row, item, band, place])[:, np.lexsort((place, band, item, row))]
         if not key.shape[1]:
             break
+        key = key[:3, np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))]
         cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
         many = np.diff(np.append(cut, key.shape[1])) >= items.needed[key[1, cut]]
         for r, i, b in key[:, cut[many]].T.tolist():
@@ -175,7 +188,7 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items, q: int
 def _blocks_of_items(benchmark: DataFrame, item_id: str, text: str):
     part, size = [], 0
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where(
-        F.length(F.trim("t")) >= Q)
+        F.length(F.trim("t")) > 0)
     for row in rows.toLocalIterator():
         part.append((row["i"], row["t"]))
         size += len(row["t"])
@@ -191,25 +204,27 @@ def find_benchmark_items(docs: DataFrame, benchmark: DataFrame, q: int = Q,
     """All columns of ``docs`` plus ``_items``: sorted (item_id, edits) found in the text.
 
     An item is found where a stretch of the text is within ``share`` of the item's length
-    in edits, A-Z lowered and every white space as a blank. A null or empty text holds
-    nothing, an item shorter than ``q`` characters or without text is not looked for, equal
-    items are all reported, and an empty benchmark leaves every list empty.
+    in edits, both case-folded and every white space as a blank. A null or empty text holds
+    nothing, an item shorter than ``LEAST_CHARS`` characters or without text is not looked
+    for, equal items are all reported, and an empty benchmark leaves every list empty.
     """
     kind = ArrayType(StructType([StructField("item_id", LongType()),
                                  StructField("edits", LongType())]))
     out = docs.withColumn("_items", F.array().cast(kind))
     names = docs.columns
     for rows in _blocks_of_items(benchmark, "item_id", "text"):
-        items = prepare(rows, q, share)
+        tables = prepare(rows, q, share)
 
-        def run(batches, items=items):
+        def run(batches, tables=tables):
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text"))
                 lists = []
                 for low, high, data, offsets in blocks.text_blocks(texts):
                     here = [[] for _ in range(low, high)]
-                    for r, i, e in matches(data, offsets, items, q):
-                        here[r].append({"item_id": int(items.ids[i]), "edits": e})
+                    points, firsts = folded(data, offsets)
+                    for items in tables:
+                        for r, i, e in matches(points, firsts, items):
+                            here[r].append({"item_id": int(items.ids[i]), "edits": e})
                     lists += here
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(lists, pa.list_(pa.struct(

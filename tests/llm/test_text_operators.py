@@ -154,6 +154,30 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert found.count() == len(edge_texts()) and set(edge_docs.columns) < set(found.columns)
 
 
+def test_decontamination_keeps_the_budget_at_every_length_and_folds_case(spark):
+    rng = random.Random(8)
+    items, rows = [], []
+    for size in [*range(6, 45), 81, 100, 201]:
+        text = "".join(rng.choice("bcdfghjklm") for _ in range(size))
+        own, edits = list(text), int(0.12 * size)
+        for n in range(edits):  # evenly spread: no gram longer than the bound's is left whole
+            own[(n + 1) * size // (edits + 1)] = "#"
+        items.append((size, text))
+        rows.append((size, "xyz " * 30 + "".join(own) + " zyx" * 30))
+    greek, cyrillic, sharp = "Το φως της αυγής έπεσε στη θάλασσα", "Съешь ещё этих мягких булок", "große Straße am weißen Fluß"
+    items += [(1001, greek), (1002, cyrillic), (1003, sharp)]
+    rows += [(i, "ab\n" + t.upper() + "\tcd") for i, t in items[-3:]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {x.item_id: x.edits for x in r["_items"]} for r in
+           decontaminate.find_benchmark_items(docs, bench).collect()}
+    folded = {i: t.casefold() for i, t in items}
+    for doc, text in rows:
+        want = {i: plain_distance(t, re.sub(r"\s", " ", text.casefold())) for i, t in folded.items()}
+        assert got[doc] == {i: e for i, e in want.items() if e <= int(0.12 * len(folded[i]) + 1e-9)}
+        assert got[doc][doc] == (0 if doc > 1000 else int(0.12 * doc))
+
+
 def test_license_words_and_labels(spark, edge_docs, no_docs):
     texts = ["Licensed under the Apache License, Version 2.0.", "MIT-License mit  license x", None, "",
              "SPDX-License-Identifier: GPL-3.0-only", "cc by-nc 4.0 and CC BY", "gnu general public license s"]
