@@ -194,6 +194,54 @@ def test_license_words_and_labels(spark, edge_docs, no_docs):
     assert len(inside) == 1 and inside[0][0] == "mit"
 
 
+def sample(nodes, rng):
+    """A text that the parsed pattern matches; zero-width parts are left out."""
+    out = ""
+    for op, arg in nodes:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind in ("NOT_LITERAL", "ANY"):
+            out += "q"
+        elif kind == "IN":
+            op, arg = rng.choice(arg) if str(arg[0][0]) != "NEGATE" else ("LITERAL", ord("7"))
+            out += (chr(arg) if str(op) == "LITERAL" else chr(rng.randint(*arg)) if str(op) == "RANGE"
+                    else rng.choice(" \n\u00a0") if "SPACE" in str(arg) and "NOT" not in str(arg) else "u")
+        elif kind == "SUBPATTERN":
+            out += sample(arg[-1], rng)
+        elif kind == "BRANCH":
+            out += sample(rng.choice(arg[1]), rng)
+        elif "REPEAT" in kind:
+            low, high, item = arg
+            out += "".join(sample(item, rng) for _ in range(rng.randint(low, min(int(high), low + 1))))
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT", "AT"), kind
+    return out
+
+
+def test_license_gates_lose_no_match():
+    rng, scanner = random.Random(6), licenses.Scanner()
+    every = frozenset().union(*[r.gate for r in scanner.rules])
+    texts = ["licensed under the LGPLv3", "Licensed under LGPLv2.1 or", "covered by the AGPLv3", "GPLv1",
+             "released under the General Public License, version 2", "do what the fork you want to",
+             "llama2 community license", "see elastic.co/licensing", "cecill.info", "fdlv1 gnu fdlv1.3",
+             "huggingface.co/a/b/license", "joinup.ec.europa.eu/x/eupl", "public domain dedication and license"]
+    for rule in scanner.rules:
+        parsed = re._parser.parse(rule.pattern.pattern)
+        for before, after in itertools.product(("", "x", "\u00e9", "7"), ("", "s", "2", "\u00e9")):
+            texts.append(before + sample(parsed, rng) + after)
+    found = 0
+    for text in texts:
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        want = licenses.detections(lowered, every, scanner.rules)
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = scanner.scan(data, np.array([0, len(data)]))[0]
+        assert set(got[5].split(",")) - {""} == {w[0] for w in want} | (set(got[4].split(",")) - {""}), text
+        assert got[6] == max([w[3] for w in want] + [0.6] * bool(got[4]), default=0.0), text
+        found += bool(want)
+    assert found > 0.6 * len(texts)
+
+
 def plain_spans(t):
     out = [(m.start(), m.end(), "email") for m in re.finditer(
         r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
