@@ -216,10 +216,10 @@ def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
                pieces: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that share a piece and can still be linked.
 
-    With D the difference of a set to the lead of its group, and s the number of grams no
-    other set has, two sets of the group differ in at least
+    With D the difference of a set to the lead of its group, and s the number of grams that
+    neither another open set nor a lead has, two sets of the group differ in at least
     max(|Dx| - |Dy| + 2 sy, |Dy| - |Dx| + 2 sx) grams: own grams are in no other
-    difference. Copies edited on their own are settled by this without being paired. A
+    difference, as the lead lacks them too. Copies edited on their own are settled by this without being paired. A
     pair that can be linked also shares as many keys as its class asks for less its
     difference; it meets once per key, so the keys are counted.
     """
@@ -233,8 +233,8 @@ def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
     left = stored(labelled.where("set_id != b").join(mixed.select("key"), "key"), "left")
     if left.isEmpty():
         return left.select(F.col("set_id").alias("a"), "b").limit(0)
-    single = pieces.join(small_or_not(stored(left.select("set_id").distinct(), "open")), "set_id",
-                         "left_semi").select(
+    both = left.select("set_id").union(left.select("b")).distinct()
+    single = pieces.join(small_or_not(stored(both, "open")), "set_id", "left_semi").select(
         "set_id", "part", F.explode("grams").alias("_g")).groupBy("part", "_g").agg(
         F.count("*").alias("_m"), F.min("set_id").alias("set_id")).where("_m = 1").groupBy(
         "set_id").agg(F.count("*").alias("s"))

@@ -112,6 +112,16 @@ def test_ngram_join_equals_all_pairs(spark, k, num, den):
                    ) == plain_groups(rows, k, num, den)
 
 
+def test_ngram_join_keeps_chains_under_every_lead(spark):
+    rows = []
+    for chain in range(300):
+        p = [f"w{chain}x{i}" for i in range(27)]
+        x = [*p[:-1], f"last{chain}"]
+        rows += [(3 * chain + i, " ".join(t)) for i, t in enumerate((p, x, [f"first{chain}", *x[1:]]))]
+    got = ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i // 3 * 3 for i in range(900)}
+
+
 def test_ngram_join_edges(edge_docs, no_docs):
     assert ngram_join.ngram_groups(no_docs).count() == 0
     got = {r.doc_id: r for r in ngram_join.ngram_groups(edge_docs).collect()}
