@@ -13,9 +13,11 @@ on pieces:
 
 Equal sets are one node from the start. In a group that shares a piece, every set is first
 compared with one set of the group, that with the most shared pieces (usually the text all
-others were copied from). Then only pairs that are still in different components remain,
-and all of those are compared: no link that could join components is left out, and a group
-of copies costs about one comparison per member.
+others were copied from). What remains are pairs in different components. They are found
+again by the same means in the differences to that lead: sets whose differences have too few
+grams in common with others go, the others meet by their rarest difference. No link that
+could join components is left out, and a group of copies costs about one comparison per
+member.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -132,14 +134,8 @@ def _pieces(k: int, num: int, den: int):
     return run
 
 
-def _fragments(k: int, whole: bool):
-    """Token pieces in the wide fragments, for rows whose text has the wanted set.
-
-    Tokens are whole hashes, or the 32 bits that follow those that name the fragment.
-    """
-    shift, kind = (np.uint64(0), np.int64) if whole else (
-        np.uint64(32 - COUNTING_PARTS.bit_length() + 1), np.int32)
-
+def _fragments(k: int):
+    """Token pieces in the wide fragments, for rows whose text has the wanted set."""
     def run(batches):
         for batch in batches:
             wanted = batch.column("set_id").to_pylist()
@@ -151,10 +147,9 @@ def _fragments(k: int, whole: bool):
                     grams, np.arange(1, COUNTING_PARTS, dtype=np.uint64)
                     * np.uint64((1 << 64) // COUNTING_PARTS))
                 for part, piece in enumerate(np.split(grams, cuts)):
-                    if len(piece):
-                        sets.append(wanted[row])
-                        parts.append(part)
-                        grams_of.append((piece >> shift).astype(kind))
+                    sets.append(wanted[row])
+                    parts.append(part)
+                    grams_of.append(piece.astype(np.int64))
             if sets:
                 ends = np.cumsum([0, *map(len, grams_of)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -164,22 +159,25 @@ def _fragments(k: int, whole: bool):
     return run
 
 
-def _token_pieces(pairs: DataFrame, texts: DataFrame, sets: DataFrame, k: int,
-                  whole: bool = False) -> DataFrame:
+def _token_pieces(pairs: DataFrame, texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """(set_id, part, grams) of the sets of ``pairs``; every part is there, also an empty one."""
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     rows = small_or_not(stored(sets.join(wanted, "set_id").select("rid", "set_id"), "wanted"))
     # A repeated id can bring one set twice; the copies are equal, one is enough.
     return texts.select("rid", "text").join(rows, "rid").mapInArrow(
-        _fragments(k, whole),
-        f"set_id long, part int, grams array<{'long' if whole else 'int'}>").dropDuplicates(
-        ["set_id", "part"])
+        _fragments(k), "set_id long, part int, grams array<long>").dropDuplicates(["set_id", "part"])
+
+
+def _side_by_side(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Both pieces of each pair (a, b) in each part: ``grams`` and ``_other``."""
+    return small_or_not(pairs).join(
+        pieces.select(F.col("set_id").alias("a"), "part", "grams"), "a").join(
+        pieces.select(F.col("set_id").alias("b"), "part", F.col("grams").alias("_other")), ["b", "part"])
 
 
 def _counted(pairs: DataFrame, pieces: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, shared): the overlap of each pair, summed over the wide fragments."""
-    partial = small_or_not(pairs).join(pieces.select(F.col("set_id").alias("a"), "part", "grams"), "a").join(
-        pieces.select(F.col("set_id").alias("b"), "part", F.col("grams").alias("_other")),
-        ["b", "part"]).select(
+    partial = _side_by_side(pairs, pieces).select(
         "a", "b", F.size(F.array_intersect("grams", "_other")).cast("long").alias("shared"))
     sizes = sets.select("set_id", "n")
     return partial.groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(
@@ -187,41 +185,41 @@ def _counted(pairs: DataFrame, pieces: DataFrame, sets: DataFrame) -> DataFrame:
         sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
 
 
-def _links(counted: DataFrame, texts: DataFrame, sets: DataFrame, k: int, num: int, den: int
-           ) -> DataFrame:
-    """The counted pairs at the similarity or above.
+def _links(counted: DataFrame, num: int, den: int) -> DataFrame:
+    """The counted pairs at the similarity or above."""
+    return counted.where(F.col("shared") * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
 
-    Equal short tokens of different grams make a count too high or too low by one, once in
-    many thousand pairs. Pairs near the similarity, by two grams below it to four above, are
-    therefore counted again with whole hashes.
-    """
-    over = F.col("shared") * (den + num) - (F.col("na") + F.col("nb")) * num
-    near = stored(counted.where((over >= -2 * (den + num)) & (over < 4 * (den + num))).select("a", "b"), "near")
-    sure = counted.where(over >= 4 * (den + num)).select("a", "b")
-    if near.isEmpty():
-        return sure
-    pieces = stored(_token_pieces(near, texts, sets, k, whole=True), "pieces")
-    return sure.union(_counted(near, pieces, sets).where(over >= 0).select("a", "b"))
 
+def _outside(rows: DataFrame, value: str, lowest: bool, name: str) -> DataFrame:
+    """Adds the least (or greatest) ``value`` of the other components in the row's group ``b``.
 
-def _class_agreement(n: Column, num: int, den: int) -> Column:
-    """Keys a linked pair shares beyond its difference, in the size class of ``n``."""
-    classes = _classes(num, den)
-    return F.element_at(
-        F.array(*[F.lit(agree) for *_, agree in classes]),
-        F.size(F.filter(F.array(*[F.lit(low) for low, *_ in classes]), lambda low: low <= n)))
+    A group needs two numbers for that: the best one, and the best one of another component
+    than the best. Rows of groups of one component go.
+    """
+    pick = F.min if lowest else F.max
+    best = rows.groupBy("b", "component").agg(pick(value).alias("_v"))
+    first = best.groupBy("b").agg(pick(F.struct("_v", "component")).alias("_f"))
+    second = best.join(first, "b").where(F.col("component") != F.col("_f.component")).groupBy("b").agg(
+        F.first("_f").alias("_f"), pick("_v").alias("_s"))
+    return rows.join(small_or_not(stored(second, "outside")), "b").withColumn(
+        name, F.when(F.col("component") == F.col("_f.component"), F.col("_s")).otherwise(
+            F.col("_f._v"))).drop("_f", "_s")
 
 
 def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
                pieces: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that share a piece and can still be linked.
 
-    With D the difference of a set to the lead of its group, and s the number of grams that
-    neither another open set nor a lead has, two sets of the group differ in at least
-    max(|Dx| - |Dy| + 2 sy, |Dy| - |Dx| + 2 sx) grams: own grams are in no other
-    difference, as the lead lacks them too. Copies edited on their own are settled by this without being paired. A
-    pair that can be linked also shares as many keys as its class asks for less its
-    difference; it meets once per key, so the keys are counted.
+    Everything is measured from the lead b of a group. With Dx the difference of x to b,
+    ex = (den + num) |Dx| - (den - num) |x|, two sets are linked when
+    2 (den + num) |Dx and Dy| >= ex + ey. So
+
+    * x needs as many grams in Dx that other members have too as its easiest partner asks for.
+      Grams of Dx that no other open set or lead has are no use; most copies that were edited
+      on their own go by this, without being paired.
+    * Of what is left, a pair that shares t grams shares one among each side's rarest
+      |Dx| - t + 1. Only these are joined, so a group falls apart into sets that differ from
+      the lead by the same rare grams.
     """
     labelled = led.join(small_or_not(grouped.withColumnRenamed("node", "set_id")), "set_id",
                         "left").select(
@@ -230,7 +228,8 @@ def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
     labelled = labelled.repartition("key")
     mixed = labelled.groupBy("key").agg(
         F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p < _q")
-    left = stored(labelled.where("set_id != b").join(mixed.select("key"), "key"), "left")
+    left = stored(labelled.where("set_id != b").join(mixed.select("key"), "key").select(
+        "set_id", "b", "component").distinct(), "left")
     if left.isEmpty():
         return left.select(F.col("set_id").alias("a"), "b").limit(0)
     both = left.select("set_id").union(left.select("b")).distinct()
@@ -239,36 +238,45 @@ def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
         F.count("*").alias("_m"), F.min("set_id").alias("set_id")).where("_m = 1").groupBy(
         "set_id").agg(F.count("*").alias("s"))
     single = small_or_not(stored(single, "single"))
-    far = counted.select(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y"),
+    far = counted.select(F.col("a").alias("_x"), F.col("b").alias("_y"),
                          (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("u"))
     sized = small_or_not(stored(sets.select("set_id", "n").join(
         left.select("set_id").distinct(), "set_id"), "sized"))
+    both_sides, twice = den + num, 2 * (den + num)
     known = left.withColumns({"_x": F.least("set_id", "b"), "_y": F.greatest("set_id", "b")}).join(
         small_or_not(stored(far, "far")), ["_x", "_y"]).join(sized, "set_id").join(
         single, "set_id", "left").select(
-        "key", "set_id", "component", "n", "u",
-        (2 * F.coalesce("s", F.lit(0)) - F.col("u")).alias("v"))
-    known = stored(known, "known")
-    # The largest partner of a set has den / num of its size.
-    most = F.floor(F.col("n") * (1 + den / num) * (den - num) / (den + num) + 1e-6)
-    fit = known.join(known.groupBy("key").agg(F.min("v").alias("_v")), "key").where(
-        F.col("u") + F.col("_v") <= most).drop("_v")
-    still = fit.groupBy("key").agg(
-        F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p < _q")
-    fit = stored(fit.join(still.select("key"), "key"), "fit")
-    x, y = fit.alias("x"), fit.alias("y")
-    limit = (F.col("x.n") + F.col("y.n")) * (den - num)
-    return x.join(y, (F.col("x.key") == F.col("y.key"))
+        "b", "set_id", "component", "n", "u", (F.col("u") - F.coalesce("s", F.lit(0))).alias("held"),
+        (both_sides * F.col("u") - (den - num) * F.col("n")).alias("e"))
+    known = stored(known.withColumn("g", twice * F.col("held") - F.col("e")), "known")
+    # A partner has e <= g of this one and g >= e of this one.
+    for _ in range(2):
+        known = _outside(_outside(known, "e", True, "_e"), "g", False, "_g")
+        known = stored(known.where("_e <= g and e <= _g").drop("_e", "_g"), "known")
+    apart = _side_by_side(stored(known.select(F.col("set_id").alias("a"), "b"), "apart"), pieces).select(
+        F.col("a").alias("set_id"), "b", F.explode(F.concat(
+            F.array_except("grams", "_other"), F.array_except("_other", "grams"))).alias("gram"))
+    apart = stored(apart, "differences").repartition("b", "gram")
+    shared = apart.groupBy("b", "gram").agg(F.count("*").alias("_f"), F.min("set_id").alias("_p")).where(
+        "_f > 1").select("b", "gram", "_f")
+    shared = stored(apart.join(shared, ["b", "gram"]), "shared")
+    held = shared.groupBy("b", "set_id").agg(F.count("*").alias("held"))
+    fit = known.drop("held", "g").join(small_or_not(stored(held, "held")), ["b", "set_id"]).withColumn(
+        "g", twice * F.col("held") - F.col("e"))
+    fit = _outside(_outside(fit, "e", True, "_e"), "g", False, "_g").where("_e <= g and e <= _g")
+    fit = stored(fit.withColumn("_most", F.col("held") + 1 - F.greatest(
+        F.lit(1), F.ceil((F.col("e") + F.col("_e")) / twice))).drop("_e", "_g"), "fit")
+    rarest = Window.partitionBy("b", "set_id").orderBy("_f", "gram")
+    rare = stored(shared.join(small_or_not(fit), ["b", "set_id"]).withColumn(
+        "_r", F.row_number().over(rarest)).where("_r <= _most").select(
+        "b", "gram", "set_id", "component", "n", "e", "g"), "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    return x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.gram") == F.col("y.gram"))
                   & (F.col("x.set_id") < F.col("y.set_id"))
                   & (F.col("x.component") != F.col("y.component"))
                   & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-                  & (F.greatest(F.col("x.u") + F.col("y.v"), F.col("y.u") + F.col("x.v"))
-                     * (den + num) <= limit)).groupBy(
-        F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(
-        F.count("*").alias("_same"), F.first(F.col("x.n") + F.col("y.n")).alias("_n"),
-        F.first(F.greatest("x.n", "y.n")).alias("_larger")).where(
-        F.col("_same") >= _class_agreement(F.col("_larger"), num, den)
-        - F.floor(F.col("_n") * (den - num) / (den + num) + 1e-6)).select("a", "b")
+                  & (F.col("x.e") <= F.col("y.g")) & (F.col("y.e") <= F.col("x.g"))).select(
+        F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
 
 
 def ngram_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
@@ -305,12 +313,17 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
         F.min("need").alias("_r")).where("_p < _q and _r >= 0")
     met = stored(keyed.join(shared.select("key"), "key").distinct(), "met")
     # A set that shares fewer keys than a linked set would share with it links with none:
-    # texts that have a passage or some lines in common go here.
-    able = small_or_not(stored(met.groupBy("set_id", "need").agg(F.count("*").alias("_n")).where(
-        F.col("_n") >= F.col("need").bitwiseAND(0xFFFFF)).select("set_id", "need"), "able"))
-    met = met.join(able, ["set_id", "need"]).select("key", "set_id").repartition("key")
-    members = stored(met.join(met.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1"),
-                              "key"), "members")
+    # texts that have a passage or some lines in common go here. Of the others, a linked pair
+    # still meets when each set leaves out its most frequent keys, one less than they share.
+    able = small_or_not(stored(met.groupBy("set_id", "need").agg(F.count("*").alias("_n")).withColumn(
+        "_most", F.col("_n") + 1 - F.col("need").bitwiseAND(0xFFFFF)).where("_most > 0").drop("_n"), "able"))
+    met = met.join(able, ["set_id", "need"]).repartition("key")
+    counts = met.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1")
+    rarest = Window.partitionBy("set_id", "need").orderBy("_m", "key")
+    kept = met.join(counts, "key").withColumn("_r", F.row_number().over(rarest)).where(
+        F.col("_r") <= F.col("_most")).select("key", "set_id").repartition("key")
+    members = stored(kept.join(kept.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1"),
+                               "key"), "members")
     weight = small_or_not(stored(members.groupBy("set_id").agg(
         F.sum("_m").alias("weight")), "weight"))
     weighed = members.join(weight, "set_id").select("key", "set_id", "weight").repartition("key")
@@ -321,13 +334,13 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
         F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct(), "first")
     pieces = stored(_token_pieces(first, texts, sets, k), "pieces")
     counted = stored(_counted(first, pieces, sets), "counted")
-    links = stored(_links(counted, texts, sets, k, num, den), "links")
+    links = stored(_links(counted, num, den), "links")
     grouped = components(links)
     rest = stored(_unsettled(led, grouped, counted, pieces, sets, num, den).join(
         first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = stored(_counted(rest, pieces, sets), "more")
-        grouped = components(links.union(_links(more, texts, sets, k, num, den)))
+        grouped = components(links.union(_links(more, num, den)))
 
     named = sets.join(grouped.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "set_id", "least", F.coalesce("component", "set_id").alias("_c"))

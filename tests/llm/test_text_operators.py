@@ -122,6 +122,24 @@ def test_ngram_join_keeps_chains_under_every_lead(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: i // 3 * 3 for i in range(900)}
 
 
+@pytest.mark.parametrize(("k", "num", "den", "most"), [(3, 90, 100, 7), (5, 8, 10, 8)])
+def test_ngram_join_of_one_group_of_many_near_copies(spark, k, num, den, most):
+    """Edits around the similarity: some copies link with the text, some only with another copy."""
+    rng, base = random.Random(k), prose(77, 150).split()
+    rows = []
+    for i in range(2000):
+        own = list(base)
+        for _ in range(rng.randint(0, most)):
+            at = rng.randrange(len(own))
+            own[at:at + 1] = rng.choice([[], [f"e{rng.randint(0, 30)}"], [own[at], f"e{rng.randint(0, 30)}"]])
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = ngram_join.ngram_groups(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+    want = plain_groups(rows, k, num, den)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert 2 < len({c for _, _, c in want}) < 1500
+
+
 def test_ngram_join_edges(edge_docs, no_docs):
     assert ngram_join.ngram_groups(no_docs).count() == 0
     got = {r.doc_id: r for r in ngram_join.ngram_groups(edge_docs).collect()}
