@@ -19,10 +19,11 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import blocks
 
-WINDOW, STRIDE = 16, 12
+WINDOW, STRIDE = 16, 8
 BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 14, 12, 8, 8
 GRAMS = (3, 4, 5, 6)
-CHUNK = 1024
+CHUNK = 2048
+FOLDS, MOST_FLAGGED = 2, 0.03
 BATCH = 64
 
 _WORD = np.ones(256, bool)
@@ -224,47 +225,65 @@ def _bucket_odds(parts: list[Words], toxic: np.ndarray, kept_out: np.ndarray
     return out
 
 
-def train(texts: list[str], toxic: np.ndarray, threshold: float = 0.3, steps: int = 240,
-          seed: int = 7) -> Network:
-    """Fit by multiple instances: a document teaches through its currently worst window.
-
-    The first worst windows and one input column come from smoothed log-odds of the buckets.
-    Every fifth document is kept out to place the threshold, at which F(0.5), precision
-    above recall, is best, on the score ``threshold``.
+@dataclass
+class Sample:
+    """Windows of the sample: positions in one small table of words; blocks stay for scoring."""
+
+    parts: list[Words]
+    places: list[np.ndarray]
+    rows: np.ndarray
+    toxic: np.ndarray
+
+    def __post_init__(self):
+        before = np.cumsum([0, *[len(w.at) for w in self.parts]])
+        shift = np.cumsum([0, *[len(w.word) for w in self.parts]])
+        self.place = np.concatenate([
+            np.where(p >= 0, p + n, -1) for p, n in zip(self.places, before, strict=False)])
+        self.word_at = np.concatenate([
+            w.at + n for w, n in zip(self.parts, shift, strict=False)]).astype(np.int32)
+        self.word = np.concatenate([w.word for w in self.parts]).astype(np.uint16)
+        self.grams = np.concatenate([w.grams for w in self.parts])
+        self.gram_count = np.concatenate([
+            np.bincount(w.gram_of, minlength=len(w.word)) for w in self.parts])
+        self.gram_first = np.cumsum(self.gram_count) - self.gram_count
+
+    def batch(self, part: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+        """The words of some windows, where they stand (steps first), the mask, gram owners."""
+        used, at = np.unique(self.word_at[np.maximum(self.place[part], 0)], return_inverse=True)
+        counts = self.gram_count[used]
+        of = np.repeat(np.arange(len(used)), counts)
+        own = self.grams[np.repeat(self.gram_first[used] - np.cumsum(counts) + counts, counts)
+                         + np.arange(counts.sum())].astype(np.int64)
+        return (Words(self.word[used].astype(np.int64), own, of, at, None),
+                at.reshape(len(part), WINDOW).T, (self.place[part].T >= 0).astype(np.float32), counts)
+
+    def logits(self, of_part) -> np.ndarray:
+        return np.concatenate([of_part(w, p) for w, p in zip(self.parts, self.places, strict=True) if len(p)])
+
+    def worst(self, logits: np.ndarray) -> np.ndarray:
+        """The highest window logit of each text."""
+        top = np.full(len(self.toxic), -30.0)
+        np.maximum.at(top, self.rows, logits)
+        return top
+
+
+def _fit(sample: Sample, kept_out: np.ndarray, steps: int, seed: int) -> tuple[Network, np.ndarray]:
+    """A network from the rows not kept out, and its window logits for all rows.
+
+    A document teaches through its currently worst window. The first worst windows and one
+    input column come from smoothed log-odds of the buckets.
     """
     net, rng = Network(seed), np.random.default_rng(seed)
-    if not len(texts) or len(set(toxic.tolist())) < 2:
-        net.shift = np.float32(10)
-        return net
-    parts, places, row_parts = [], [], []
-    for low, _, data, offsets in blocks.text_blocks(pa.array(texts, pa.large_string())):
-        parts.append(read_words(data, offsets))
-        place, rows = windows(parts[-1].firsts)
-        places.append(place)
-        row_parts.append(rows + low)
-    kept_out = np.arange(len(texts)) % 5 == 4
-    odds = _bucket_odds(parts, toxic, kept_out)
+    toxic, rows = sample.toxic, sample.rows
+    odds = _bucket_odds(sample.parts, toxic, kept_out)
     for name in odds:
         net.p[name][:, 0] = 0.25 * odds[name]
-    logits = np.concatenate([np.where(place >= 0, (odds["word"][w.word] + 2 * _gram_means(
-        odds["gram"][:, None].astype(np.float32), w, len(w.word))[:, 0])[w.at[place]], -9).max(axis=1)
-        for w, place in zip(parts, places, strict=True) if len(place)])
-
-    # One small table of all words for the batches; blocks stay apart for scoring.
-    rows = np.concatenate(row_parts)
-    before = np.cumsum([0, *[len(w.at) for w in parts]])
-    shift = np.cumsum([0, *[len(w.word) for w in parts]])
-    place = np.concatenate([np.where(p >= 0, p + n, -1) for p, n in zip(places, before, strict=False)])
-    word_at = np.concatenate([w.at + n for w, n in zip(parts, shift, strict=False)]).astype(np.int32)
-    word = np.concatenate([w.word for w in parts]).astype(np.uint16)
-    grams = np.concatenate([w.grams for w in parts])
-    gram_count = np.concatenate([np.bincount(w.gram_of, minlength=len(w.word)) for w in parts])
-    gram_first = np.cumsum(gram_count) - gram_count
-
+    logits = sample.logits(lambda w, place: np.where(place >= 0, (
+        odds["word"][w.word] + 2 * _gram_means(odds["gram"][:, None].astype(np.float32), w, len(w.word))[:, 0]
+        )[w.at[place]], -9).max(axis=1))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    epochs = max(6, min(20, steps * BATCH // (len(texts) + 1)))
-    for _ in range(epochs):
+    for _ in range(max(6, min(20, steps * BATCH // (len(toxic) + 1)))):
         order = np.lexsort((-logits, rows))
         worst = order[np.unique(rows[order], return_index=True)[1]]
         also = rng.permutation(len(rows))
@@ -273,22 +292,15 @@ def train(texts: list[str], toxic: np.ndarray, threshold: float = 0.3, steps: in
         chosen = rng.permutation(chosen[~kept_out[rows[chosen]]])
         for low in range(0, len(chosen), BATCH):
             part = chosen[low:low + BATCH]
-            used, at = np.unique(word_at[np.maximum(place[part], 0)], return_inverse=True)
-            counts = gram_count[used]
-            of = np.repeat(np.arange(len(used)), counts)
-            own = grams[np.repeat(gram_first[used] - np.cumsum(counts) + counts, counts)
-                        + np.arange(counts.sum())].astype(np.int64)
-            small = Words(word[used].astype(np.int64), own, of, at, None)
-            at = at.reshape(len(part), WINDOW).T
-            grad, d_x = net.backward(net.inputs(small)[at],
-                                     (place[part].T >= 0).astype(np.float32),
-                                     toxic[rows[part]].astype(np.float32))
-            d_used = np.zeros((len(used), WIDTH), np.float32)
+            small, at, mask, counts = sample.batch(part)
+            grad, d_x = net.backward(net.inputs(small)[at], mask, toxic[rows[part]].astype(np.float32))
+            d_used = np.zeros((len(counts), WIDTH), np.float32)
             np.add.at(d_used, at, d_x)
             grad["word"] = np.zeros_like(net.p["word"])
             np.add.at(grad["word"], small.word, d_used)
             grad["gram"] = np.zeros_like(net.p["gram"])
-            np.add.at(grad["gram"], own, (d_used / np.maximum(1, counts)[:, None])[of])
+            np.add.at(grad["gram"], small.grams,
+                      (d_used / np.maximum(1, counts)[:, None])[small.gram_of])
             step += 1
             for k, v in grad.items():
                 m, s = moments[k]
@@ -297,18 +309,63 @@ def train(texts: list[str], toxic: np.ndarray, threshold: float = 0.3, steps: in
                 s *= 0.99
                 s += 0.01 * v * v
                 net.p[k] -= 0.01 * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-6)
-        logits = np.concatenate([net.window_logits(w, p)
-                                 for w, p in zip(parts, places, strict=True) if len(p)])
-    top = np.full(len(texts), -30.0)
-    np.maximum.at(top, rows, logits)
-    held = kept_out if len(set(toxic[kept_out].tolist())) == 2 else np.ones(len(texts), bool)
-    value, yes = top[held], toxic[held] == 1
+        logits = sample.logits(net.window_logits)
+    return net, logits
+
+
+def upper_share(hits: np.ndarray, n: int, z: float = 1.64) -> np.ndarray:
+    """Wilson's upper bound of a share, from ``hits`` of ``n``."""
+    if not n:
+        return np.ones(np.shape(hits))
+    p = np.asarray(hits) / n
+    return (p + z * z / (2 * n) + z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def place_cut(value: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut with the best F(1) among those that let few clean rows
+    through with confidence; with too few rows for that, one that lets none through."""
+    clean = value[toxic == 0]
+    above = lambda of: np.searchsorted(np.sort(-of), -cuts, side="right")
     cuts = np.unique(value)
-    f = [(yes & (value >= c)).sum() / (0.2 * yes.sum() + 0.8 * (value >= c).sum()) for c in cuts]
-    best = int(np.argmax(f))
-    below = value[value < cuts[best]]
-    cut = (cuts[best] + below.max()) / 2 if len(below) else cuts[best]
-    net.shift = np.float32(cut - np.log(threshold / (1 - threshold)))
+    hits, wrong = above(value[toxic == 1]), above(clean)
+    score = np.where(upper_share(wrong, len(clean)) <= MOST_FLAGGED,
+                     2 * hits / (max(1, (toxic == 1).sum()) + hits + wrong), 0)
+    best = int(np.argmax(score)) if len(cuts) else 0
+    if not len(cuts) or score[best] <= 0:
+        return float(clean.max(initial=0) + 0.5)
+    below = cuts[best - 1] if best else cuts[best]
+    return float((cuts[best] + below) / 2)
+
+
+def train(texts: list[str], toxic: np.ndarray, threshold: float = 0.3, steps: int = 240,
+          seed: int = 7) -> Network:
+    """Fit by multiple instances and place the threshold on the score ``threshold``.
+
+    The network learns from all rows. The cut is placed by scores that networks of FOLDS parts
+    gave to the rows they had not seen, so it is as strict as new rows ask for, and it lets at
+    most MOST_FLAGGED of the clean rows through.
+    """
+    net = Network(seed)
+    if not len(texts) or len(set(toxic.tolist())) < 2:
+        net.shift = np.float32(10)
+        return net
+    parts, places, row_parts = [], [], []
+    for low, _, data, offsets in blocks.text_blocks(pa.array(texts, pa.large_string())):
+        parts.append(read_words(data, offsets))
+        place, rows = windows(parts[-1].firsts)
+        places.append(place)
+        row_parts.append(rows + low)
+    sample = Sample(parts, places, np.concatenate(row_parts), toxic)
+    none = np.zeros(len(toxic), bool)
+    net, logits = _fit(sample, none, steps, seed)
+    value = sample.worst(logits)
+    fold = np.zeros(len(toxic), np.int64)
+    for v in (0, 1):  # every part has its share of both labels
+        fold[toxic == v] = np.arange((toxic == v).sum()) % FOLDS
+    for f in range(FOLDS):
+        if len(set(toxic[fold != f].tolist())) == 2:
+            value[fold == f] = sample.worst(_fit(sample, fold == f, steps, seed)[1])[fold == f]
+    net.shift = np.float32(place_cut(value, toxic) - np.log(threshold / (1 - threshold)))
     return net
 
 

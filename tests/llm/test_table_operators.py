@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caselens.llm import kmeans_tree, mixing, queries, sharding
+from caselens.llm import kmeans_tree, mixing, queries, sharding, toxicity
 
 from .conftest import edge_texts, prose
 
@@ -128,6 +128,23 @@ def test_stages_keep_columns_and_clean_rows(spark, edge_docs):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, labels).count() == docs.count()
 
 
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+def test_toxicity_leaves_clean_rows_alone(spark, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 0").select("doc_id")
+    out = queries.op10_toxicity(spark, folder).join(labels, "doc_id")
+    flagged, rows = out.agg(F.sum("predicted"), F.count("*")).first()
+    assert rows > 50 and flagged <= 0.05 * rows
+
+
+def test_toxicity_cut():
+    clean, bad = np.linspace(-8, -1, 1000), np.linspace(0, 5, 100)
+    value, toxic = np.append(clean, bad), np.append(np.zeros(1000, int), np.ones(100, int))
+    assert -1 < toxicity.place_cut(value, toxic) < 0
+    few = np.append(np.zeros(20, int), np.ones(5, int))  # too few rows to trust any cut between
+    assert toxicity.place_cut(np.append(clean[-20:], bad[:5]), few) == pytest.approx(-0.5)
+    assert toxicity.place_cut(np.zeros(0), np.zeros(0, int)) == 0.5
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.count() > 100 and out.select("shard").distinct().count() == 24
