@@ -459,6 +459,21 @@ UNION ALL SELECT 'gone', 'failed', 'file missing', NULL, NULL, 0""")
 def parse_case(spark, d):
     """Files of four formats, one altered and one lost file; events are stored and counted."""
     folder = new_folder(spark, "case")
+    named = _case_files(spark, d, folder)
+    lost = named.limit(1).withColumns({"path": F.concat("path", F.lit(".gone")), "source_id": F.lit("gone")})
+    altered = named.withColumn("sha256", F.when(
+        F.col("source_id") == "purchase", "0").otherwise(F.col("sha256")))
+    report = case_parse.parse_case(spark, altered.unionByName(lost), f"{folder}/stored", _OWN_JSON)
+    return _with_stored(spark, report, folder).select(
+        "source_id", "status", "reason", "total_lines", "parsed", "stored")
+
+
+_OWN_JSON = {"own-json": {"name": "own-json", "kind": "json", "ts_field": "t",
+                          "ts_formats": ["%Y-%m-%d %H:%M:%S"], "field_map": {"t": "ts_raw"}}}
+
+
+def _case_files(spark, d, folder):
+    """The sources of a case, written from the events table: one file of each event type."""
     ev = table(spark, d, "events")
     kind = F.col("source_id")
     rows = access_lines(spark, d).where(kind.isin("click", "purchase", "view")).unionByName(
@@ -471,22 +486,39 @@ def parse_case(spark, d):
         F.col("raw").alias("value"), "source_id").write.partitionBy("source_id").text(f"{folder}/raw")
     found = files.file_inventory(spark, f"{folder}/raw").select("path", "sha256").withColumn(
         "source_id", F.regexp_extract("path", r"source_id=([^/]+)/", 1))
-    lost = found.limit(1).select(F.concat("path", F.lit(".gone")).alias("path"), "sha256",
-                                 F.lit("gone").alias("source_id"))
-    named = found.unionByName(lost).select(
-        "path", "source_id", F.when(F.col("source_id") == "purchase", "0").otherwise(
-            F.col("sha256")).alias("sha256"), F.lit("UTC").alias("tz_declared"),
+    return found.select(
+        "path", "source_id", "sha256", F.lit("UTC").alias("tz_declared"),
         F.when(F.col("source_id") == "error", "apache_common").when(
             F.col("source_id") == "view", "raw").when(
             F.col("source_id") == "signup", "own-json").otherwise("nginx_combined").alias("format_id"))
-    own = {"own-json": {"name": "own-json", "kind": "json", "ts_field": "t",
-                        "ts_formats": ["%Y-%m-%d %H:%M:%S"], "field_map": {"t": "ts_raw"}}}
-    report = case_parse.parse_case(spark, named, f"{folder}/stored", own)
+
+
+def _with_stored(spark, report, folder):
     stored = spark.read.parquet(f"{folder}/stored/events").groupBy("source_id").agg(
         F.count(F.lit(1)).alias("stored"))
-    return report.join(stored, "source_id", "left").select(
-        "source_id", "status", "reason", "total_lines", "parsed",
-        F.coalesce("stored", F.lit(0)).alias("stored"))
+    return report.join(stored, "source_id", "left").withColumn("stored", F.coalesce("stored", F.lit(0)))
+
+
+@query("reparse_altered_keeps", f"""
+WITH {_ACCESS_SQL}, c AS (SELECT event_type AS source_id, sum((kind = 'event')::INT)::BIGINT AS stored
+    FROM l WHERE event_type IN ('click', 'error', 'purchase') GROUP BY 1
+  UNION ALL SELECT 'view', sum((event_id % 101 <> 0)::INT)::BIGINT FROM events WHERE event_type = 'view'
+  UNION ALL SELECT 'signup', count(*) FROM events WHERE event_type = 'signup')
+SELECT source_id, CASE WHEN source_id IN ('purchase', 'view', 'signup') THEN 'failed' ELSE 'parsed' END AS status,
+  CASE source_id WHEN 'purchase' THEN 'file altered' WHEN 'view' THEN 'file missing'
+    WHEN 'signup' THEN 'unknown format' END AS reason, stored
+FROM c""")
+def reparse_altered_keeps(spark, d):
+    """A case parsed twice: what the second parse refuses keeps the rows of the first."""
+    folder = new_folder(spark, "case")
+    named = _case_files(spark, d, folder)
+    case_parse.parse_case(spark, named, f"{folder}/stored", _OWN_JSON)
+    kind = F.col("source_id")
+    later = named.withColumns({
+        "sha256": F.when(kind == "purchase", "0").otherwise(F.col("sha256")),
+        "path": F.when(kind == "view", F.concat("path", F.lit(".gone"))).otherwise(F.col("path"))})
+    report = case_parse.parse_case(spark, later, f"{folder}/stored")
+    return _with_stored(spark, report, folder).select("source_id", "status", "reason", "stored")
 
 
 @query("detect_formats", f"""

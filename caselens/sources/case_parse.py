@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage, new_folder
 from .descriptors import parse_descriptor
 from .detect import PARSERS, parse_report
 from .files import file_inventory, verify_files
@@ -24,7 +24,7 @@ def verify_sources(spark: SparkSession, sources: DataFrame) -> DataFrame:
     paths = sources.select(plain_path("path").alias("path"), "sha256")
     roots = [r["root"] for r in sources.select(
         F.regexp_replace("path", "/[^/]*$", "").alias("root")).distinct().collect()]
-    found = file_inventory(spark, roots).withColumn("path", plain_path("path"))
+    found = file_inventory(spark, roots, paths).withColumn("path", plain_path("path"))
     states = verify_files(found, paths).select(F.col("path").alias("_path"), "state").distinct()
     return sources.withColumn("_path", plain_path("path")).join(states, "_path", "left").drop("_path")
 
@@ -54,8 +54,10 @@ def parse_case(spark: SparkSession, sources: DataFrame, folder: str,
 
     ``sources``: path, source_id, sha256, format_id, tz_declared and optionally encoding.
     Returns the report, one row per source. A file that is missing or altered is not read,
-    and neither is one of an unknown format; both are reported as failed with the reason,
-    and a source that gives no event loses what an earlier parse has stored.
+    and neither is one of an unknown format; both are reported as failed with the reason, and
+    what an earlier parse of them has stored stays. A source that was read replaces its rows,
+    also by none. Lines are parsed once; events, entities and the report come from the stored
+    parse.
     """
     known = sorted({*PARSERS, *(descriptors or {})})
     checked = cut_lineage(verify_sources(spark, sources).withColumn("reason", F.when(
@@ -68,11 +70,14 @@ def parse_case(spark: SparkSession, sources: DataFrame, folder: str,
         "source_id", F.lit("failed").alias("status"), "reason")
     if not paths:
         return refused
-    parsed = parse_lines(read_log_lines(spark, paths, good), good, descriptors or {})
+    work = new_folder(spark, "parsed")
+    parse_lines(read_log_lines(spark, paths, good), good, descriptors or {}).write.parquet(work)
+    parsed = spark.read.parquet(work)
     events = build_events(parsed, good)
-    write_events(events, f"{folder}/events", sources)
-    stored = read_stored(spark, f"{folder}/events", events.schema)
-    write_entities(extract_entities(stored), f"{folder}/entities", sources)
+    write_events(events, f"{folder}/events", good)
+    stored = read_stored(spark, f"{folder}/events", events.schema).join(
+        broadcast_if_small(good.select("source_id"), 100), "source_id", "left_semi").select(*events.columns)
+    write_entities(extract_entities(stored), f"{folder}/entities", good)
     report = parse_report(parsed, stored)
     empty = good.select("source_id").join(report.select("source_id"), "source_id", "left_anti").select(
         "source_id", F.lit("parsed").alias("status"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import plain_path
+
 _CHUNK = 8 * 1024 * 1024
 HEAD_BYTES = 512 * 1024
 
@@ -31,8 +33,12 @@ def _listing(spark: SparkSession, paths: list[str] | str) -> DataFrame:
             .load(paths).select("path", "length"))
 
 
-def file_inventory(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """path, length, sha256 per file; files are hashed in parallel, each as a stream."""
+def file_inventory(spark: SparkSession, paths: list[str] | str,
+                   only: DataFrame | None = None) -> DataFrame:
+    """path, length, sha256 per file; files are hashed in parallel, each as a stream.
+
+    ``only`` (path) names the files to hash among those found; the others are not opened.
+    """
     def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             digests = []
@@ -44,7 +50,11 @@ def file_inventory(spark: SparkSession, paths: list[str] | str) -> DataFrame:
                 digests.append(digest.hexdigest())
             yield frame.assign(sha256=digests)
 
-    return _listing(spark, paths).mapInPandas(hashes, "path string, length long, sha256 string")
+    listed = _listing(spark, paths)
+    if only is not None:
+        listed = listed.withColumn("_path", plain_path("path")).join(
+            only.select(plain_path("path").alias("_path")).distinct(), "_path", "left_semi").drop("_path")
+    return listed.mapInPandas(hashes, "path string, length long, sha256 string")
 
 
 def distinct_contents(inventory: DataFrame) -> DataFrame:

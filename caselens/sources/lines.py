@@ -6,54 +6,57 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_blank
-from ..session import broadcast_if_small, cut_lineage
+from ..session import broadcast_if_small, cut_lineage, new_folder
 
-# Split planning must not depend on how many executors are up at the moment: the
-# counting pass and the reading pass have to see the same splits.
-_MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
 # One row of the split table: path, offset, first row id, lines before.
 _SPLIT_ROW_BYTES = 400
 
 
-def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.text(paths).select(
+def _snapshot(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The lines of ``paths``, read once: path, start of the split, row id, bytes.
+
+    Row ids grow by one inside a split. They are stored with the lines, so later readings do
+    not depend on how files would be split then, nor on files that change meanwhile.
+    """
+    folder = new_folder(spark, "lines")
+    spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
-        F.col("value").cast("binary").alias("_bytes"))
+        F.col("value").cast("binary").alias("_bytes")).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _refuse_repeated(sources: DataFrame) -> None:
+    again = sources.groupBy(plain_path("path").alias("path")).count().where("count > 1").first()
+    if again:
+        raise ValueError(f"{again['path']} is named by {again['count']} sources")
 
 
 def read_log_lines(spark: SparkSession, paths: list[str] | str,
                    sources: DataFrame | None = None) -> DataFrame:
     """Every physical line of ``paths``: path, line_no (from 1), raw.
 
-    Row ids grow by one inside a split, so a line number is the row id minus the first
-    id of its split plus the lines of the splits before it. Only the split table (one row
-    per split) is aggregated; the text itself is not shuffled. ``sources`` with columns
-    ``path, source_id`` and optionally ``encoding`` names the files and says how to decode
-    them; a file it does not name, or any file without it, has its path as source id and is
-    read as UTF-8.
+    The files are read once, into a columnar copy in the shared folder. A line number is the
+    row id minus the first id of its split plus the lines of the splits before it. Only the
+    split table (one row per split) is aggregated; the text itself is not shuffled. ``sources``
+    with columns ``path, source_id`` and optionally ``encoding`` names the files and says how
+    to decode them; a file it does not name, or any file without it, has its path as source id
+    and is read as UTF-8. A path that two sources name is an error.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if not spark.conf.get(_MIN_PARTITIONS, None):
-        spark.conf.set(_MIN_PARTITIONS, str(spark.sparkContext.defaultParallelism))
-    per_split = _scan(spark, paths).groupBy("path", "_start").agg(
+    if sources is not None:
+        _refuse_repeated(sources)
+    lines = _snapshot(spark, paths)
+    per_split = lines.groupBy("path", "_start").agg(
         F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("path").orderBy("_start").rowsBetween(
         Window.unboundedPreceding, -1)
     splits = cut_lineage(per_split.select(
         "path", "_start", "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    numbered = (
-        _scan(spark, paths)
-        .join(broadcast_if_small(splits, _SPLIT_ROW_BYTES), ["path", "_start"], "left")
-        # A split that the counting pass did not see means the files changed meanwhile.
-        .withColumn("line_no", F.when(
-            # Both passes must have given the split the same place, or row ids do not compare.
-            F.shiftright("_row", 33) == F.shiftright("_first", 33),
-            F.col("_row") - F.col("_first") + F.col("_before") + 1).otherwise(
-                F.raise_error(F.concat(F.lit("input changed while reading: "), F.col("path")))
-                .cast("bigint"))))
+    numbered = lines.join(broadcast_if_small(splits, _SPLIT_ROW_BYTES), ["path", "_start"]).withColumn(
+        "line_no", F.col("_row") - F.col("_first") + F.col("_before") + 1)
     if sources is None:
         return numbered.select(F.col("path").alias("source_id"), "line_no",
                                decode(F.col("_bytes"), "utf-8").alias("raw"))

@@ -211,6 +211,32 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
     assert [r.raw for r in tail_lines(only_b, 1, "OK").collect()] == ["ok"]
 
 
+def test_lines_are_a_snapshot(spark, tmp_path):
+    log = tmp_path / "a.log"
+    log.write_text("".join(f"line {i}\n" for i in range(1, 2001)))
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get(
+        "spark.sql.files.minPartitionNum", None)
+    lines = read_log_lines(spark, str(tmp_path))
+    with log.open("a") as more:
+        more.write("appended later\n" * 50)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    got = sorted((r.line_no, r.raw) for r in lines.collect())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i, f"line {i}") for i in range(1, 2001)]
+    assert read_log_lines(spark, str(tmp_path)).count() == 2050
+    after = dict(spark.sparkContext.getConf().getAll()), spark.conf.get(
+        "spark.sql.files.minPartitionNum", None)
+    assert before == after  # reading does not change the session
+
+
+def test_a_path_of_two_sources_is_refused(spark, tmp_path):
+    (tmp_path / "a.log").write_text("x\n")
+    sources = spark.createDataFrame([(f"file:{tmp_path}/a.log", "1"), (f"{tmp_path}/a.log", "2")],
+                                    "path string, source_id string")
+    with pytest.raises(ValueError, match="2 sources"):
+        read_log_lines(spark, str(tmp_path), sources)
+
+
 def test_time_zones_and_entities(spark, tmp_path):
     names = ["Asia/Shanghai", "America/New_York", "asia/beijing", "UTC+3:30", "-0500", "UTC+99", "",
              None, "GMT+8", "nowhere"]
