@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import compute_once, is_blank
-from ..operators.ordered import carry_forward
+from ..operators.ordered import carry_sparse
 from ..schema import norm_struct
 
 # W3C field name → normalised field.
@@ -29,7 +29,7 @@ INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 def parse_iis_w3c(lines: DataFrame) -> DataFrame:
     raw = F.col("raw")
     directive = F.lower(raw).startswith("#fields:")
-    headed = carry_forward(
+    headed = carry_sparse(
         lines, ["source_id"], "line_no",
         F.when(directive, F.filter(F.split(
             F.substring(raw, F.lit(9), F.length(raw)), r"(?U)\s+"), lambda n: n != "")), "_names")

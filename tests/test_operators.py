@@ -90,6 +90,39 @@ def test_rate_spike_needs_both_gates(spark):
     assert not run([(k, f, v, None) for k, f, v, _ in rows])
 
 
+def test_sparse_values_are_carried_like_others(spark):
+    from caselens.operators.ordered import carry_forward, carry_sparse
+    rows = [(s, i, f"{s}{i}" if i in marks else None) for s, marks in
+            (("a", {3, 4, 17, 40}), ("b", set()), ("c", {1}), ("d", {60})) for i in range(1, 61)]
+    df = spark.createDataFrame(rows, "s string, i long, v string").repartition(4)
+    want = carry_forward(df, ["s"], "i", F.col("v"), "out")
+    for block in (1, 7, 1000):
+        got = carry_sparse(df, ["s"], "i", F.col("v"), "out", block_lines=block)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_medians_of_large_groups_without_a_window(spark):
+    import random
+    import statistics
+    rng = random.Random(4)
+    groups = {"hot": [rng.lognormvariate(0, 9) * rng.choice([-1, 1]) for _ in range(9000)],
+              "even": [float(rng.randint(0, 300)) for _ in range(1000)],
+              "ends": [0.0] * 400 + [float(i) for i in range(1, 500)] + [1e300],
+              "one": [3.5], "two": [1.0, 2.0], "flat": [7.0] * 50}
+    rows = [(k, "s", v) for k, values in groups.items() for v in values]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, source_id string, value double").repartition(5)
+    for most in (4096, 8, 1):
+        found = hunts.group_medians(df, ["key"], "value", "source_id", most_values=most)
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in text
+        got = {r.key: (r.median, r.group_events, r._min, r._max) for r in found.collect()}
+        assert got.keys() == groups.keys()
+        for k, values in groups.items():
+            assert got[k] == (statistics.median(values), len(values), min(values), max(values)) or abs(
+                got[k][0] - statistics.median(values)) < 1e-9, (k, most)
+
+
 def test_size_outliers_and_medians(spark):
     rows = [("k", "", 1000 + i, i) for i in range(25)] + [("k", "", 5000, 30), ("k", "", 60, 31)]
     run = lambda rows, n=20, r=3.0, m=3: sorted(x.line_no for x in hunts.size_outlier(

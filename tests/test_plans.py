@@ -49,3 +49,11 @@ def test_signature_scan_does_not_shuffle(spark):
     rule = {"id": "r", "severity": "low", "target": "any", "match": {"raw": ["x"]}}
     ev = events(spark, FOLDER).withColumn("log_type", F.lit("web"))
     assert "Exchange" not in plan(signature_scan(ev, None, [rule]))
+
+
+def test_iis_lines_are_not_moved(spark):
+    from caselens.sources.iis_logs import parse_iis_w3c
+    lines = spark.range(100).select(F.lit("s").alias("source_id"), F.col("id").alias("line_no"), F.when(
+        F.col("id") % 40 == 0, "#Fields: date time c-ip").otherwise("2024-01-01 00:00:00 1.2.3.4").alias("raw"))
+    text = plan(parse_iis_w3c(lines))
+    assert "Exchange hashpartitioning" not in text and "BroadcastHashJoin" in text
