@@ -140,15 +140,28 @@ def entity_lookup(entities: DataFrame, value: str, cross_source: bool = False,
     return ordered if limit is None else ordered.limit(limit)
 
 
-def list_hits(hits: DataFrame, status: str | None = None, severity: str | None = None,
-              q: str | None = None, round_no: str | None = None, limit: int = 50,
-              offset: int = 0) -> DataFrame:
-    """Page of the review list; the keyword is ASCII case-insensitive."""
+def hit_id(hits: DataFrame) -> DataFrame:
+    """``hits`` plus ``hit_id``, which follows from case, source, line and rule."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    sized = lambda c: F.concat(F.length(part(c)).cast("string"), F.lit(":"), part(c))
+    return hits.withColumn("hit_id", F.substring(F.sha2(F.concat(
+        *[sized(c) for c in ("case_id", "source_id", "line_no", "rule_id")]), 256), 1, 32))
+
+
+def filter_hits(hits: DataFrame, status: str | None = None, severity: str | None = None,
+                q: str | None = None, round_no: str | None = None, case_id: str | None = None,
+                hit: str | None = None) -> DataFrame:
+    """The hits of a review list; the keyword is ASCII case-insensitive.
+
+    ``hit`` is one ``hit_id``; ``hits`` carries case_id where a case or a hit is asked for.
+    """
     if status is not None and status not in HIT_STATUSES:
         raise ValueError(f"status must be one of {HIT_STATUSES}")
     if severity is not None and severity not in SEVERITIES:
         raise ValueError(f"severity must be one of {SEVERITIES}")
     out = hits
+    if case_id is not None:
+        out = out.where(F.col("case_id") == case_id)
     if status:
         out = out.where(F.col("status") == status)
     if severity:
@@ -168,9 +181,25 @@ def list_hits(hits: DataFrame, status: str | None = None, severity: str | None =
             | fold(F.col("matched_value")).contains(needle)
             | fold(F.col("snippet")).contains(needle)
             | F.col("line_no").cast("string").contains(q))
+    if hit:
+        out = (out if "hit_id" in out.columns else hit_id(out)).where(F.col("hit_id") == hit)
+        out = out.select(*hits.columns)
+    return out
+
+
+def list_hits(hits: DataFrame, status: str | None = None, severity: str | None = None,
+              q: str | None = None, round_no: str | None = None, limit: int = 50,
+              offset: int = 0, case_id: str | None = None, hit: str | None = None) -> DataFrame:
+    """One page of ``filter_hits``; ``hits_total`` counts all of it."""
+    out = filter_hits(hits, status, severity, q, round_no, case_id, hit)
     return out.orderBy("round_no", "rule_id", "source_id", "line_no").offset(offset).limit(limit)
 
 
+def hits_total(hits: DataFrame, **filters) -> DataFrame:
+    """total: how many hits ``list_hits`` pages through with the same filters."""
+    return filter_hits(hits, **filters).agg(F.count(F.lit(1)).alias("total"))
+
+
 def source_stats(events: DataFrame, source: str = "source_id", ts: str = "ts_utc") -> DataFrame:
     return events.groupBy(source).agg(
         F.count(F.lit(1)).alias("events"), F.min(ts).alias("ts_min"), F.max(ts).alias("ts_max"))

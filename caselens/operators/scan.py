@@ -253,7 +253,8 @@ def run_scan(events: DataFrame, entities: DataFrame, sources: DataFrame, case_id
     ``summary``.
 
     Every hit is returned; ``within_budget`` marks those inside the cap of their rule.
-    Unknown rule ids stop the scan before anything runs.
+    Unknown rule ids, a case without sources and a source of another case stop the scan before
+    anything runs.
     """
     if signatures is None or stats is None:
         builtin = builtin_rules()
@@ -261,8 +262,12 @@ def run_scan(events: DataFrame, entities: DataFrame, sources: DataFrame, case_id
         stats = builtin[1] if stats is None else stats
     signatures, stats, with_cross = select_rules(signatures, stats, rule_ids)
     scope = sources.where(F.col("case_id") == case_id)
+    if scope.isEmpty():
+        raise ValueError(f"no case {case_id!r}")
     if source_id is not None:
         scope = scope.where(F.col("source_id") == source_id)
+        if scope.isEmpty():
+            raise ValueError(f"source {source_id!r} is not of case {case_id!r}")
     # The source list is materialised and counted, so that joining it moves no event.
     scope = broadcast_if_small(cut_lineage(scope.select("source_id", "log_type")), 200)
     in_scope = lambda df: df.join(scope.select("source_id"), "source_id", "left_semi")

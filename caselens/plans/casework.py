@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import custody, findings, journal, review, scan, signatures, windows
-from ..operators.retrieve import list_hits
+from ..operators import custody, findings, journal, review, rounds, scan, signatures, windows
+from ..operators.retrieve import hit_id, hits_total, list_hits
 from ..schema import HITS
-from ..session import new_folder
+from ..session import cut_lineage, new_folder
 from ..sources.access_logs import parse_nginx_combined
 from ..sources.normalize import build_events, extract_entities
 from ..sources.tables import case_overview
@@ -145,6 +145,51 @@ def hits_page(spark, d):
         "rule_id", "source_id", "line_no", "matched_value")
 
 
+@query("list_hits_total", f"""
+WITH {_EVENT_HITS_SQL} SELECT 'page' AS measure, count(*) AS total FROM h WHERE severity = 'high'
+UNION ALL SELECT 'one', (SELECT count(*) FROM (SELECT 1 FROM h GROUP BY source_id, line_no, rule_id
+  ORDER BY rule_id, source_id, line_no LIMIT 1))
+UNION ALL SELECT 'other case', 0""")
+def hits_totals(spark, d):
+    """How many hits a page stands for; one hit found again by its id; another case has none."""
+    hits = _stored_hits(spark, d)
+    first = hit_id(hits).orderBy("rule_id", "source_id", "line_no").select("hit_id").first()
+    named = lambda name, df: df.select(F.lit(name).alias("measure"), "total")
+    return named("page", hits_total(hits, severity="high", case_id="c")).unionByName(
+        named("one", hits_total(hits.dropDuplicates(["source_id", "line_no", "rule_id"]),
+                                hit=first["hit_id"], case_id="c"))).unionByName(
+        named("other case", hits_total(hits, case_id="d")))
+
+
+@query("scan_rounds", f"""
+WITH {EVENTS_SQL}, s AS (SELECT contains(raw, '42')::INT AS a, contains(raw, '17')::INT AS b FROM ev
+  WHERE source_id IN ('click', 'error')),
+n AS (SELECT count(*) AS scanned, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM s)
+SELECT 1 AS round_no, 1 AS rule_count, scanned, a AS hits_new, a AS hits_total,
+  greatest(a - 500, 0) AS truncated, a AS visible FROM n
+UNION ALL SELECT 2, 2, scanned, b, a + b, greatest(a - 500, 0) + greatest(b - 500, 0), b FROM n
+UNION ALL SELECT 3, 1, scanned, 0, a + b, greatest(b - 500, 0), 0 FROM n""")
+def scan_rounds(spark, d):
+    """Three published rounds of a case and rows of one that failed, which nobody sees."""
+    folder = new_folder(spark, "rounds")
+    ev = events(spark, d)
+    case = F.when(F.col("source_id").isin("click", "error"), "c").otherwise("d")
+    sources = ev.select("source_id").distinct().withColumns({"case_id": case, "log_type": F.lit("web")})
+    rules = [{"id": f"k{token}", "title": token, "severity": "low", "target": "any",
+              "match": {"raw": [token]}} for token in ("42", "17")]
+    run = lambda ids: rounds.scan_case(
+        ev, ev, sources, folder, "c", rule_ids=ids, signatures=rules, stats=[])
+    run(["k42"])
+    run(["k42", "k17"])
+    run(["k17"])
+    failed = rounds.published_hits(spark, folder, "c").withColumn("round_no", F.lit(4))
+    scan.append_hits(cut_lineage(failed), f"{folder}/hits")
+    seen = rounds.published_hits(spark, folder).groupBy("round_no").agg(F.count(F.lit(1)).alias("visible"))
+    return rounds.published_rounds(spark, folder).join(seen, "round_no", "left").select(
+        "round_no", "rule_count", "scanned", "hits_new", "hits_total", "truncated",
+        F.coalesce("visible", F.lit(0)).alias("visible"))
+
+
 @query("skipped_sources", """
 SELECT 'spike' AS rule_id, 'error' AS source_id""")
 def skipped_sources(spark, d):

@@ -156,7 +156,7 @@ def validate_stat(rule, exclusions: dict | None = None) -> dict:
     return out
 
 
-def _unique(rules: list[dict]) -> list[dict]:
+def unique_rules(rules: list[dict]) -> list[dict]:
     ids = [r["id"] for r in rules]
     twice = sorted({i for i in ids if ids.count(i) > 1})
     if twice:
@@ -168,7 +168,7 @@ def builtin_rules() -> tuple[list[dict], list[dict]]:
     """The built-in signature and statistical rules."""
     signatures = [validate_signature(r) for r in fixed_values.SIGNATURE_RULES]
     stats = [validate_stat(r) for r in fixed_values.STAT_RULES]
-    _unique(signatures + stats)
+    unique_rules(signatures + stats)
     return signatures, stats
 
 
@@ -238,19 +238,31 @@ def load_rules(folder: str, exclusions: dict | None = None) -> tuple[list[dict],
             stats.append(validate_stat(rule, exclusions))
         else:
             signatures.append(validate_signature(rule))
-    _unique(signatures + stats)
+    unique_rules(signatures + stats)
     return signatures, stats
 
 
-def select_rules(signatures: list[dict], stats: list[dict],
-                 rule_ids: list[str] | None) -> tuple[list[dict], list[dict], bool]:
-    """The chosen subset and whether the cross-source step runs; unknown ids stop all."""
+def draft_ids(folder: str) -> set[str]:
+    """Ids of the rules in a folder that are not enabled."""
+    rules = [_read(path) for path in sorted(Path(folder).iterdir())]
+    return {r["id"] for r in rules if isinstance(r, dict) and "id" in r
+            and r.get("status", "draft") != "enable"}
+
+
+def select_rules(signatures: list[dict], stats: list[dict], rule_ids: list[str] | None,
+                 drafts: set[str] = frozenset()) -> tuple[list[dict], list[dict], bool]:
+    """The chosen subset and whether the cross-source step runs; unknown ids stop all, and so
+    do ids of ``drafts``, rules that are not enabled."""
     if rule_ids is None:
         return signatures, stats, True
     wanted = set(rule_ids)
-    unknown = sorted(wanted - {r["id"] for r in signatures + stats} - {CROSS_SOURCE_RULE_ID})
+    runnable = {r["id"] for r in signatures + stats} | {CROSS_SOURCE_RULE_ID}
+    unknown = sorted(wanted - runnable - drafts)
     if unknown:
         raise RuleError(f"unknown rule ids {unknown}")
+    blocked = sorted(wanted - runnable)
+    if blocked:
+        raise RuleError(f"rules that are not enabled {blocked}")
     keep = lambda rules: [r for r in rules if r["id"] in wanted]
     return keep(signatures), keep(stats), CROSS_SOURCE_RULE_ID in wanted
 

@@ -84,6 +84,12 @@ def escape_partition(value: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if c in special else c for c in value)
 
 
+def path_exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a file system Spark can reach has this path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of any file system Spark can reach, if it exists."""
     jvm = spark.sparkContext._jvm

@@ -395,6 +395,46 @@ def test_scan_is_idempotent_and_budgeted(spark):
     assert [r.line_no for r in page.collect()] == [1, 2]
 
 
+def test_rounds_are_published_last_and_scopes_are_checked(spark, tmp_path, monkeypatch):
+    from caselens.operators import rounds
+    ev = _norm_events(spark, [{"raw": "GET /a", "ts": T0}, {"raw": "GET /b", "ts": T0},
+                              {"source": "t", "raw": "GET /a", "ts": T0}]).cache()
+    sources = spark.createDataFrame([("s", "c", "web"), ("t", "d", "web")],
+                                    "source_id string, case_id string, log_type string")
+    own = tmp_path / "rules"
+    own.mkdir()
+    text = '{"id": "%s", "title": "t", "severity": "low", "target": "web", "match": {"raw": ["%s"]}, "status": "%s"}'
+    (own / "a.json").write_text(text % ("own-a", "/a", "enable"))
+    (own / "b.json").write_text(text % ("own-b", "/b", "review"))
+    folder = str(tmp_path / "case")
+    run = lambda case="c", **more: rounds.scan_case(
+        ev, ev, sources, folder, case, rules_folder=str(own), **more)
+    for wrong in ({"case": "x"}, {"source_id": "t"}, {"rule_ids": ["own-b"]}, {"rule_ids": ["none"]}):
+        with pytest.raises(ValueError):
+            run(**{"rule_ids": ["own-a"]} | wrong)
+    assert rounds.published_rounds(spark, folder).count() == 0
+
+    def fail(*args, **kwargs):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(rounds, "stored_hits", fail)  # after the hits are written, before the ledger row
+        run(rule_ids=["own-a"])
+    assert rounds.published_hits(spark, folder).count() == 0
+    first = run(rule_ids=["own-a"])
+    assert first["hits"].count() == 1 and first["round"].first().hits_new == 1
+    assert run("d", rule_ids=["own-a"])["round"].first().round_no == 1
+    again = run(rule_ids=["own-a"])["round"].first()
+    assert (again.round_no, again.hits_new, again.hits_total, again.signature_new) == (2, 0, 1, 0)
+    assert {(r.case_id, r.round_no) for r in rounds.published_hits(spark, folder).collect()} == {("c", 1), ("d", 1)}
+    from caselens.operators.retrieve import hit_id, hits_total
+    hits = hit_id(rounds.published_hits(spark, folder))
+    one = hits.where("case_id = 'd'").first()
+    assert hits_total(hits, hit=one.hit_id).first().total == 1
+    assert hits_total(hits, case_id="c", hit=one.hit_id).first().total == 0
+    assert list_hits(hits, case_id="d").first().hit_id == one.hit_id
+
+
 def test_filters_agree_with_search_total(spark):
     ev = _norm_events(spark, [{"ua": "a_b%c", "raw": "50% off", "ts": T0}, {"ua": "axbyc", "raw": "500 off"}])
     assert apply_filters(ev, q="0% o").count() == 1
