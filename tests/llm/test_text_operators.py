@@ -73,6 +73,13 @@ def gram_set(text, k):
 
 def plain_groups(rows, k, num, den):
     sets = [gram_set(t, k) for _, t in rows]
+    number = {g: i for i, g in enumerate(g for g, n in Counter(itertools.chain(*sets)).items() if n > 1)}
+    held = np.zeros((len(rows), len(number)), np.float32)
+    for i, grams in enumerate(sets):
+        held[i, [number[g] for g in grams if g in number]] = 1
+    common = held @ held.T
+    size = np.array([len(g) for g in sets])
+    linked = (den * common >= num * (size[:, None] + size - common)) & (common > 0)
     of = list(range(len(rows)))
 
     def root(i):
@@ -80,9 +87,8 @@ def plain_groups(rows, k, num, den):
             i = of[i]
         return i
 
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
-            of[root(j)] = root(i)
+    for i, j in np.argwhere(linked).tolist():
+        of[root(j)] = root(i)
     least = {}
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
