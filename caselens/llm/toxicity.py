@@ -332,7 +332,7 @@ def place_cut(value: np.ndarray, toxic: np.ndarray) -> float:
                      2 * hits / (max(1, (toxic == 1).sum()) + hits + wrong), 0)
     best = int(np.argmax(score)) if len(cuts) else 0
     if not len(cuts) or score[best] <= 0:
-        return float(clean.max(initial=0) + 0.5)
+        return float(clean.max() if len(clean) else 0) + 0.5
     below = cuts[best - 1] if best else cuts[best]
     return float((cuts[best] + below) / 2)
 
