@@ -2,80 +2,71 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FINDING_RULE_ID, SEVERITIES
-from .ordered import carry_forward
-
-_FENCE = re.compile(r"```(?:json)?\s*(\{.*\})\s*```", re.DOTALL)
-
-
-def _json_object(text: str | None) -> dict | None:
-    """The object in a reply: fenced, bare, or between the outermost braces."""
-    text = (text or "").strip()
-    fenced = _FENCE.search(text)
-    body = fenced[1] if fenced else text
-    for candidate in (body, body[body.find("{"):body.rfind("}") + 1]):
-        try:
-            value = json.loads(candidate)
-        except ValueError:
-            continue
-        return value if isinstance(value, dict) else None
-    return None
+from ..session import cut_lineage
 
-
-def _valid(item) -> bool:
-    return (isinstance(item, dict) and isinstance(item.get("summary"), str)
-            and bool(item["summary"].strip()) and item.get("suspicion") in SEVERITIES)
+# Fixed value: a JSON object inside a code fence.
+FENCED = r"(?s)```(?:json)?\s*(\{.*\})\s*```"
+_KEY = ["source_id", "line_from", "line_to"]
+# Earlier findings go first; the fields after ``seq`` only settle ties.
+_ORDER = ("line_from", "seq", "source_id", "line_to", "run_id", "severity", "summary", "line_refs")
 
 
-def _line_refs(item: dict) -> list[int]:
-    refs = item.get("line_refs")
-    return [r for r in refs if type(r) is int] if isinstance(refs, list) else []
+def _typed(value: Column, path: str, kind: str, target: str) -> Column:
+    """What ``value`` holds at ``path`` if it is of that JSON kind, else null."""
+    return F.when(F.schema_of_variant(F.variant_get(value, path, "variant")).startswith(kind),
+                  F.try_variant_get(value, path, target))
 
 
-_KEY = ["source_id", "line_from", "line_to"]
+def _finding(item: Column) -> Column:
+    """One finding with nulls where the reply does not hold what the field asks for."""
+    return F.struct(
+        _typed(item, "$.suspicion", "STRING", "string").alias("severity"),
+        F.trim(_typed(item, "$.summary", "STRING", "string")).alias("summary"),
+        F.transform(
+            F.filter(F.coalesce(_typed(item, "$.line_refs", "ARRAY", "array<variant>"),
+                                F.array().cast("array<variant>")),
+                     lambda ref: F.schema_of_variant(ref) == "BIGINT"),
+            lambda ref: F.variant_get(ref, "$", "bigint")).alias("line_refs"))
 
 
 def read_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reply status, valid findings).
 
-    ``replies``: run_id, source_id, line_from, line_to, first_anchor, content. A reply
-    without a JSON object is 'unreadable'; invalid findings are counted, not kept.
+    ``replies``: run_id, source_id, line_from, line_to, first_anchor, content. The object of a
+    reply stands in a code fence, alone, or between the outermost braces. A reply without one,
+    or one that repeats a key in it, is 'unreadable'; invalid findings are counted, not kept.
     """
     base = ["run_id", *_KEY, "first_anchor"]
-    out = ("run_id string, source_id string, line_from long, line_to long, first_anchor long, "
-           "status string, skipped int, window_note string, "
-           "findings array<struct<seq:int,severity:string,summary:string,line_refs:array<long>>>")
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text in frame["content"]:
-                value = _json_object(text)
-                items = (value or {}).get("findings") or []
-                is_list = isinstance(items, list)
-                good = [i for i in items if _valid(i)] if is_list else []
-                note = (value or {}).get("window_note")
-                rows.append({
-                    "status": "unreadable" if value is None else "read",
-                    "skipped": len(items) - len(good) if is_list else 1,
-                    "window_note": note if isinstance(note, str) else None,
-                    "findings": [{"seq": n, "severity": i["suspicion"],
-                                  "summary": i["summary"].strip(), "line_refs": _line_refs(i)}
-                                 for n, i in enumerate(good)]})
-            known = frame[base].astype(object).to_dict("records")
-            yield pd.DataFrame([a | b for a, b in zip(known, rows)], dtype=object)
-
-    read = replies.select(*base, "content").mapInPandas(batches, out)
-    findings = read.select(*base, F.explode("findings").alias("f")).select(*base, "f.*")
-    return read.drop("findings"), findings
+    fenced = F.regexp_extract("content", FENCED, 1)
+    body = replies.select(*base, F.when(fenced != "", fenced).otherwise(
+        F.trim("content")).alias("_body"))
+    parsed = body.select(*base, F.coalesce(
+        F.try_parse_json("_body"),
+        F.try_parse_json(F.regexp_extract("_body", r"(?s)\{.*\}", 0))).alias("_any"))
+    known = parsed.select(*base, F.when(
+        F.schema_of_variant("_any").startswith("OBJECT"), F.col("_any")).alias("_reply"))
+    listed = F.schema_of_variant(F.variant_get("_reply", "$.findings", "variant"))
+    items = known.select(
+        *base, F.when(F.col("_reply").isNull(), "unreadable").otherwise("read").alias("status"),
+        _typed(F.col("_reply"), "$.window_note", "STRING", "string").alias("window_note"),
+        # Anything but a list counts as one invalid finding, unless it is empty.
+        F.when(listed.isNull() | listed.startswith("ARRAY") | (listed == "VOID"), 0)
+        .otherwise(1).alias("_odd"),
+        F.coalesce(_typed(F.col("_reply"), "$.findings", "ARRAY", "array<variant>"),
+                   F.array().cast("array<variant>")).alias("_items"))
+    checked = items.withColumn("_good", F.filter(
+        F.transform("_items", _finding),
+        lambda f: f["severity"].isin(*SEVERITIES) & (f["summary"] != "")))
+    read = checked.select(
+        *base, "status", (F.col("_odd") + F.size("_items") - F.size("_good")).alias("skipped"),
+        "window_note")
+    findings = checked.select(*base, F.posexplode("_good").alias("seq", "_f")).select(
+        *base, "seq", "_f.*")
+    return read, findings
 
 
 def findings_to_hits(findings: DataFrame, hits: DataFrame) -> DataFrame:
@@ -83,48 +74,36 @@ def findings_to_hits(findings: DataFrame, hits: DataFrame) -> DataFrame:
 
     A finding takes the first free line among its references inside the window, then the
     anchor of the window; without a free line it adds nothing. Earlier findings go first.
-    Only windows that overlap can compete for a line, so the choice is made per run of
-    overlapping windows, not per source.
+
+    All findings bid at once for the first line they have not lost, every line keeps its
+    earliest bidder, and the others bid on. As all lines prefer earlier findings, the end is
+    the one of serving findings one by one. A round is one exchange of bids by line.
     """
-    placed = findings.withColumn("_refs", F.filter(
-        "line_refs", lambda r: r.between(F.col("line_from"), F.col("line_to"))))
-    starts = placed.groupBy("source_id", "line_from").agg(F.max("line_to").alias("_to"))
-    # Window ends grow with their starts, so the window before decides about an overlap.
-    linked = carry_forward(starts, ["source_id"], "line_from", F.col("_to"), "_before", strict=True)
-    opened = linked.withColumn("_open", F.when(
-        F.col("_before").isNull() | (F.col("_before") < F.col("line_from")), F.col("line_from")))
-    runs = carry_forward(opened, ["source_id"], "line_from", F.col("_open"), "_run").select(
-        "source_id", "line_from", "_run")
-    candidates = placed.join(runs, ["source_id", "line_from"])
-    wanted = candidates.select("source_id", F.explode(
-        F.concat("_refs", F.array("first_anchor"))).alias("line_no")).distinct()
-    used = hits.where(F.col("rule_id") == FINDING_RULE_ID).select("source_id", "line_no").join(
-        wanted, ["source_id", "line_no"], "left_semi").distinct()
-    taken = (candidates.select("source_id", "_run", F.explode(
-        F.concat("_refs", F.array("first_anchor"))).alias("line_no")).distinct()
-        .join(used, ["source_id", "line_no"])
-        .groupBy("source_id", "_run").agg(F.collect_set("line_no").alias("_taken")))
-    schema = ("run_id string, source_id string, line_from long, line_to long, line_no long, "
-              "severity string, summary string, line_refs array<long>, outside int")
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame["_taken"].iloc[0]
-        busy = set() if first is None else {int(x) for x in first}
-        rows = []
-        for item in frame.sort_values(["line_from", "seq"]).itertuples(index=False):
-            options = [int(r) for r in item.refs_in] + [int(item.first_anchor)]
-            line = next((o for o in options if o not in busy), None)
-            if line is None:
-                continue
-            busy.add(line)
-            refs = [int(r) for r in item.line_refs]
-            rows.append((item.run_id, item.source_id, item.line_from, item.line_to, line,
-                         item.severity, item.summary, refs, len(refs) - len(options) + 1))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
-
-    chosen = (candidates.join(taken, ["source_id", "_run"], "left")
-              .withColumnRenamed("_refs", "refs_in")
-              .groupBy("source_id", "_run").applyInPandas(choose, schema))
+    inside = F.filter("line_refs", lambda r: r.between(F.col("line_from"), F.col("line_to")))
+    placed = cut_lineage(findings.select(
+        *_ORDER, "first_anchor", (F.size("line_refs") - F.size(inside)).alias("outside"),
+        F.array_distinct(F.concat(inside, F.array("first_anchor"))).alias("_lines"))
+        .withColumn("_copy", F.row_number().over(
+            Window.partitionBy(*_ORDER).orderBy("first_anchor")))
+        .withColumn("_id", F.struct(*[c for c in _ORDER if c != "source_id"], "_copy")))
+    used = hits.where(F.col("rule_id") == FINDING_RULE_ID).select("source_id", "line_no").distinct()
+    options = placed.select("source_id", "_id", F.posexplode("_lines").alias("_nth", "line_no"))
+    open_bids = cut_lineage(options.join(used, ["source_id", "line_no"], "left_anti"))
+
+    def bids(rows: DataFrame) -> DataFrame:
+        """The line each finding asks for next, and the earliest finding that asks for it."""
+        asked = rows.groupBy("source_id", "_id").agg(F.min_by("line_no", "_nth").alias("line_no"))
+        first = asked.groupBy("source_id", "line_no").agg(F.min("_id").alias("_first"))
+        return asked.join(first, ["source_id", "line_no"])
+
+    while True:
+        asked = cut_lineage(bids(open_bids))
+        lost = asked.where(F.col("_id") != F.col("_first")).select("source_id", "line_no", "_id")
+        if lost.isEmpty():
+            break
+        open_bids = cut_lineage(open_bids.join(lost, ["source_id", "line_no", "_id"], "left_anti"))
+    chosen = placed.join(
+        asked.select("source_id", "_id", "line_no"), ["source_id", "_id"])
     detail = F.to_json(F.struct(
         F.lit("ai_finding").alias("kind"), "run_id",
         F.struct(F.col("line_from").alias("from"), F.col("line_to").alias("to")).alias("window"),

@@ -464,6 +464,42 @@ def test_findings_take_free_lines(spark):
     assert got == [(5, "a"), (9, "b"), (20, "a")]
 
 
+def test_findings_in_rounds_equal_one_by_one(spark):
+    rnd = random.Random(5)
+    rows = [("r", rnd.choice("ab"), w, w + 12, w + rnd.randint(0, 12), n, "low", f"t{w}",
+             [rnd.randint(w - 2, w + 14) for _ in range(rnd.randint(0, 4))])
+            for w in range(1, 60, 4) for n in range(7)]
+    rows += rows[:5]
+    found = spark.createDataFrame(
+        rows, "run_id string, source_id string, line_from long, line_to long, first_anchor long, "
+              "seq int, severity string, summary string, line_refs array<long>")
+    stored = [("a", 3), ("b", 9)]
+    want, busy = [], set(stored)
+    for r in sorted(rows, key=lambda r: (r[2], r[5], r[1], r[8], r[4])):
+        free = [x for x in [*(x for x in r[8] if r[2] <= x <= r[3]), r[4]] if (r[1], x) not in busy]
+        if free:
+            busy.add((r[1], free[0]))
+            want.append((r[1], free[0], r[7]))
+    hits = findings.findings_to_hits(found, spark.createDataFrame(
+        [(*s, "ai-l3-finding") for s in stored], "source_id string, line_no long, rule_id string"))
+    assert sorted((h.source_id, h.line_no, h.snippet) for h in hits.collect()) == sorted(want)
+    assert findings.findings_to_hits(found.limit(0), hits).count() == 0
+
+
+def test_replies_of_odd_shapes(spark):
+    texts = ['{"findings": {"a": 1}}', '{"findings": []}', '{"findings": null, "window_note": 3}',
+             'x {"window_note": "n"} y', "null", '"{}"', '{"a": 1', "",
+             '{"findings": [1, null, {"summary": " ", "suspicion": "low"}, {"summary": "\u00e9",'
+             ' "suspicion": "low", "line_refs": [1, 2.5, true, "3", 4]}]}']
+    read, found = findings.read_replies(spark.createDataFrame(
+        [("r", "s", i, i, i, t) for i, t in enumerate(texts)],
+        "run_id string, source_id string, line_from long, line_to long, first_anchor long, content string"))
+    assert [(r.status, r.skipped, r.window_note) for r in read.orderBy("line_from").collect()] == [
+        ("read", 1, None), ("read", 0, None), ("read", 0, None), ("read", 0, "n"),
+        *[("unreadable", 0, None)] * 4, ("read", 3, None)]
+    assert [(f.seq, f.summary, f.line_refs) for f in found.collect()] == [(0, "\u00e9", [1, 4])]
+
+
 def test_second_decision_is_refused(spark):
     hits = spark.createDataFrame([("s", 1, "r", "pending"), ("s", 2, "r", "accepted")],
                                  "source_id string, line_no long, rule_id string, status string")
