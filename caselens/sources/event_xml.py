@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from datetime import datetime, timezone
-from xml.etree import ElementTree
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EVENT_RECORD_FIELDS, norm_struct
@@ -17,112 +13,156 @@ from ..schema import EVENT_RECORD_FIELDS, norm_struct
 NO_ADDRESS = ["-", "", "0.0.0.0", "127.0.0.1", "::1", "::"]
 LIFTED = ["IpPort", "WorkstationName", "ProcessName", "TargetDomainName"]
 
-_FIELDS = ["src_ip", "user", "level", *EVENT_RECORD_FIELDS]
-_OUT = ("source_id string, line_no long, kind string, raw string, ts_raw string, "
-        "ts_direct timestamp, extras string, reason string, "
-        + ", ".join(f"f_{n} string" for n in _FIELDS))
-
-
-def _name(element) -> str:
-    return element.tag.rpartition("}")[2]
-
-
-def _text(element) -> str:
-    return (element.text or "").strip() if element is not None else ""
-
-
-def _utc(text: str | None) -> datetime | None:
-    try:
-        value = datetime.fromisoformat((text or "").replace("Z", "+00:00"))
-    except ValueError:
-        return None
-    # System times without a zone are UTC; the executor's own zone has no say.
-    return value.astimezone(timezone.utc) if value.tzinfo else value.replace(tzinfo=timezone.utc)
-
-
-def _data_items(root) -> list[tuple[str | None, str]]:
-    """(name, text) of every data element, unnamed ones with name None."""
-    items = []
-    for section in root:
-        kind = _name(section)
-        for item in section if kind in ("EventData", "UserData") else ():
-            if _name(item) == "Data":
-                items.append((item.get("Name") or None, _text(item)))
-            elif kind == "UserData" and _text(item):
-                items.append((_name(item), _text(item)))
-    return items
-
-
-def _record(xml: str | None) -> dict:
-    """Columns of one record; ``reason`` is set when it is no event."""
-    if not (xml or "").strip():
-        return {"reason": "record without XML"}
-    try:
-        root = ElementTree.fromstring(xml)
-    except ElementTree.ParseError as error:
-        return {"reason": f"malformed XML: {error}"}
-    sections = {}
-    for section in root:
-        sections.setdefault(_name(section), section)
-    if "System" not in sections:
-        return {"reason": "no System section"}
-    system = {}
-    for element in sections["System"]:
-        system.setdefault(_name(element), element)
-    try:
-        event_id = int(_text(system.get("EventID")))
-    except ValueError:
-        return {"reason": "EventID missing or not an integer"}
-    out = {"f_event_id": str(event_id)}
-    if "Channel" in system:
-        out["f_channel"] = _text(system["Channel"])
-    if "Provider" in system and system["Provider"].get("Name"):
-        out["f_provider"] = system["Provider"].get("Name")
-    if _text(system.get("Computer")):
-        out["f_computer"] = _text(system["Computer"])
-    if _text(system.get("Level")).lstrip("+-").isdigit():
-        out["f_level"] = str(int(_text(system["Level"])))
-    if "TimeCreated" in system:
-        out["ts_raw"] = system["TimeCreated"].get("SystemTime")
-        out["ts_direct"] = _utc(out["ts_raw"])
-    named, unnamed = {}, []
-    for name, text in _data_items(root):
-        if name:
-            named.setdefault(name, text)
-        elif text:
-            unnamed.append(text)
-    if named.get("IpAddress", "") not in NO_ADDRESS:
-        out["f_src_ip"] = named["IpAddress"]
-    if named.get("TargetUserName", "") not in ("", "-"):
-        out["f_user"] = named["TargetUserName"]
-    out |= {f"f_{n.lower()}": named[n] for n in LIFTED if named.get(n)}
-    extras = {"event_data": named, "event_data_unnamed": unnamed,
-              "event_record_id": _text(system.get("EventRecordID"))}
-    extras = {k: v for k, v in extras.items() if v}
-    out["extras"] = json.dumps(extras, ensure_ascii=False) if extras else None
-    return out
+# Elements are read as lists, because a record may repeat them; the first one counts.
+_TEXTS = "array<struct<_VALUE:string>>"
+_NAMED = "array<struct<_Name:string,_VALUE:string>>"
+_RECORD = (
+    "System array<struct<Provider:array<struct<_Name:string>>, "
+    "TimeCreated:array<struct<_SystemTime:string>>, "
+    + ", ".join(f"{name}:{_TEXTS}" for name in
+                ["EventID", "Level", "Channel", "Computer", "EventRecordID"])
+    + f">>, EventData array<struct<Data:{_NAMED}>>, "
+    f"UserData array<struct<Data:{_NAMED}>>, _bad string")
+_READ = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+# Own elements of user data are known by no schema. The variant reader makes numbers of texts
+# such as 007, so every text gets a mark in front while it is read.
+_MARKED = r"(<[^<>!?][^<>]*>)(?=[^<]|<!\[CDATA\[)"
+_BLANK = r"\A\s*\z"
+_INTEGER = r"\A[+-]?[0-9]+\z"
+_TIME = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?"
+_ZONE = r"(?:Z|[+-][0-9]{2}:?[0-9]{2})\z"
+
+
+def _first(values: Column) -> Column:
+    return F.get(values, F.lit(0))
+
+
+def _clean(text: Column) -> Column:
+    """Text without surrounding blanks, null if nothing is left."""
+    return F.nullif(F.regexp_replace(text, r"\A\s+|\s+\z", ""), F.lit(""))
+
+
+def _whole(text: Column) -> Column:
+    """An integer as text, without sign or zeros in front; null for other texts."""
+    return F.when(text.rlike(_INTEGER), text.try_cast("decimal(38,0)")).cast("string")
+
+
+def _utc(text: Column) -> Column:
+    """System times without a zone are UTC; the session's zone has no say."""
+    there = text.rlike(_TIME + r"\z") | text.rlike(_TIME + _ZONE)
+    zoned = F.when(text.rlike(_ZONE) & text.contains(":"), text).when(
+        F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z"))).otherwise(
+        F.concat(text, F.lit("Z")))
+    # Spark wants seconds before a zone and a colon inside it.
+    full = F.regexp_replace(zoned, r"\A(.{10}[T ][0-9]{2}:[0-9]{2})(?=[Z+-])", "$1:00")
+    full = F.regexp_replace(full, r"([+-][0-9]{2})([0-9]{2})\z", "$1:$2")
+    return F.when(there, full.try_cast("timestamp"))
+
+
+def _kind(value: Column, prefix: str) -> Column:
+    return F.schema_of_variant(value).startswith(prefix)
+
+
+def _inner(value: Column, prefix: str, path: str) -> Column:
+    return F.when(_kind(value, prefix), F.variant_get(value, path, "variant")).otherwise(value)
+
+
+def _own_text(value: Column) -> Column:
+    """The text of the first element of one name."""
+    value = _inner(_inner(_inner(value, "ARRAY", "$[0]"), "OBJECT", "$._VALUE"), "ARRAY", "$[0]")
+    text = F.when(~_kind(value, "OBJECT"), F.try_variant_get(value, "$", "string"))
+    return _clean(F.regexp_replace(text, r"\A=", ""))
+
+
+def _pairs() -> Column:
+    """(name, text) of named data: event data, then user data, then its own elements."""
+    def named(data: Column) -> Column:
+        return F.transform(
+            F.filter(data, lambda d: F.coalesce(d["_Name"], F.lit("")) != ""),
+            lambda d: F.struct(d["_Name"].alias("name"), F.coalesce(
+                _clean(d["_VALUE"]), F.lit("")).alias("text")))
+
+    own = F.filter(F.transform(F.map_entries("_own"), lambda e: F.struct(
+        e["key"].alias("name"), _own_text(e["value"]).alias("text"))),
+        lambda p: p["text"].isNotNull() & (p["name"] != "Data"))
+    none = F.array().cast("array<struct<name:string,text:string>>")
+    return F.concat(*[F.coalesce(part, none) for part in
+                      (named(F.col("_event")), named(F.col("_user")), own)])
+
+
+def _first_of_each(pairs: Column) -> Column:
+    """A map in which the first pair of a name counts."""
+    return F.map_from_entries(F.filter(pairs, lambda p, at: F.array_position(
+        F.transform(pairs, lambda q: q["name"]), p["name"]) == at + 1))
 
 
 def parse_event_xml(records: DataFrame) -> DataFrame:
-    """``records`` has source_id, line_no (record number) and raw (XML text)."""
-    columns = [c.split()[0] for c in _OUT.split(", ")]
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"kind": "event", **_record(x), "raw": x} for x in frame["raw"]]
-            for row, source, line_no in zip(rows, frame["source_id"], frame["line_no"]):
-                row |= {"source_id": source, "line_no": line_no}
-                if row.get("reason"):
-                    row["kind"] = "bad"
-            out = pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns,
-                               dtype=object)
-            out["ts_direct"] = pd.to_datetime(out["ts_direct"], utc=True)
-            yield out
-
-    out = records.select("source_id", "line_no", "raw").mapInPandas(batches, _OUT)
-    is_event = F.col("kind") == "event"
-    return out.select(
-        "source_id", "line_no", "kind", "raw", "ts_raw",
-        F.lit(None).cast("timestamp_ntz").alias("dt_local"), "ts_direct",
-        F.when(is_event, norm_struct({n: F.col(f"f_{n}") for n in _FIELDS})).alias("norm"),
-        "extras", "reason", F.lit(0).alias("continuation_lines"))
+    """``records`` has source_id, line_no (record number) and raw (XML text).
+
+    A record is an event when it is well-formed XML with a System section whose EventID is an
+    integer; otherwise it is bad and says why. A time that cannot be read leaves the event
+    without one. Of repeated elements and names the first counts; user data may hold own
+    elements beside Data, and their text outside of nested elements is kept by their names.
+    Each record is parsed by Spark's XML reader once, those with user data twice.
+    """
+    has_own = F.col("raw").contains("UserData>")
+    read = records.select(
+        "source_id", "line_no", "raw", F.from_xml("raw", _RECORD, _READ).alias("_x"),
+        F.when(has_own, F.from_xml(
+            F.regexp_replace("raw", _MARKED, "$1="), "UserData variant",
+            {"ignoreNamespace": "true"})["UserData"]).alias("_u"))
+    root = F.regexp_extract("raw", r"<([^\s<>/!?]+)", 1)
+    # The XML reader stops behind the root element; nothing but comments may follow it.
+    last = F.regexp_extract("raw", r"<(/?[^\s<>/!?]+)[^<>]*>\s*(?:<!--(?:[^-]|-[^-])*-->\s*)*\z", 1)
+    whole = F.col("_x._bad").isNull() & ((last == F.concat(F.lit("/"), root)) | (last == root))
+    system = _first(F.col("_x.System"))
+
+    def text(name: str) -> Column:
+        return _clean(_first(system[name])["_VALUE"])
+
+    rows = read.select(
+        "source_id", "line_no", "raw", whole.alias("_whole"), system.isNotNull().alias("_system"),
+        _whole(text("EventID")).alias("_id"),
+        _first(system["TimeCreated"])["_SystemTime"].alias("_time"),
+        F.nullif(_first(system["Provider"])["_Name"], F.lit("")).alias("_provider"),
+        F.when(_first(system["Channel"]).isNotNull(),
+               F.coalesce(text("Channel"), F.lit(""))).alias("_channel"),
+        text("Computer").alias("_computer"), _whole(text("Level")).alias("_level"),
+        text("EventRecordID").alias("_number"),
+        _first(F.col("_x.EventData"))["Data"].alias("_event"),
+        _first(F.col("_x.UserData"))["Data"].alias("_user"),
+        F.try_variant_get(_inner(F.col("_u"), "ARRAY", "$[0]"), "$",
+                          "map<string,variant>").alias("_own"))
+    rows = rows.withColumn("_pairs", _pairs()).withColumn("_data", _first_of_each(F.col("_pairs")))
+    rows = rows.withColumn("reason", F.when(
+        F.col("raw").isNull() | F.col("raw").rlike(_BLANK), "record without XML")
+        .when(~F.coalesce("_whole", F.lit(False)), "malformed XML")
+        .when(~F.col("_system"), "no System section")
+        .when(F.col("_id").isNull(), "EventID missing or not an integer"))
+    is_event = F.col("reason").isNull()
+    data = {name: F.nullif(F.element_at("_data", name), F.lit(""))
+            for name in [*LIFTED, "IpAddress", "TargetUserName"]}
+    address, user = data.pop("IpAddress"), data.pop("TargetUserName")
+    fields = {"src_ip": F.when(~address.isin(NO_ADDRESS), address),
+              "user": F.when(user != "-", user), "level": F.col("_level"),
+              "event_id": F.col("_id"), "channel": F.col("_channel"),
+              "provider": F.col("_provider"), "computer": F.col("_computer"),
+              **{name.lower(): value for name, value in data.items()}}
+    unnamed = F.filter(F.transform(
+        F.filter(F.concat(*[F.coalesce(c, F.array().cast(_NAMED)) for c in ("_event", "_user")]),
+                 lambda d: F.coalesce(d["_Name"], F.lit("")) == ""),
+        lambda d: _clean(d["_VALUE"])), lambda t: t.isNotNull())
+    extras = {"event_data": F.when(F.size("_data") > 0, F.col("_data")),
+              "event_data_unnamed": F.when(F.size(unnamed) > 0, unnamed),
+              "event_record_id": F.col("_number")}
+    any_extra = reduce(Column.__or__, [value.isNotNull() for value in extras.values()])
+    return rows.select(
+        "source_id", "line_no", F.when(is_event, "event").otherwise("bad").alias("kind"), "raw",
+        F.when(is_event, F.col("_time")).alias("ts_raw"),
+        F.lit(None).cast("timestamp_ntz").alias("dt_local"),
+        F.when(is_event, _utc(F.col("_time"))).alias("ts_direct"),
+        F.when(is_event, norm_struct({n: fields.get(n, F.lit(None).cast("string")) for n in [
+            "src_ip", "user", "level", *EVENT_RECORD_FIELDS]})).alias("norm"),
+        F.when(is_event & any_extra, F.to_json(F.struct(
+            *[value.alias(name) for name, value in extras.items()]))).alias("extras"),
+        "reason", F.lit(0).alias("continuation_lines"))

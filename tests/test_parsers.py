@@ -106,6 +106,35 @@ def test_event_records(spark):
     assert rows[2].norm.src_ip is None and rows[2].ts_direct is None and rows[2].ts_raw == "odd"
 
 
+def test_event_records_of_odd_shapes(spark):
+    ok = "<System><EventID>1</EventID></System>"
+    user = ("<e:Event xmlns:e='q'><e:System><EventID> +012 </EventID><EventID>5</EventID><Level>x</Level>"
+            "</e:System><System/><EventData><Data Name='Q'>e</Data></EventData><e:UserData>"
+            "<Data Name='Q'>w</Data><Data>z</Data><T>007</T><T>8</T><U a='1'> 1 &lt; 2 </U>"
+            "<V><N>in</N></V><X/><Y><![CDATA[05]]></Y></e:UserData></e:Event>\n<!-- end -->")
+    texts = [user, f"<Event>{ok}</Event> junk", f"<Event>{ok}</Event", None, "  \n", "no xml",
+             "<Event><System><EventID><b>3</b></EventID></System></Event>", f"<Event>{ok}</Event>\n",
+             "<?xml version='1.0'?><Event/>"]
+    rows = outcome(parse_event_xml(lines_df(spark, texts)))
+    assert [rows[i].reason for i in range(1, 10)] == [
+        None, "malformed XML", "malformed XML", "record without XML", "record without XML",
+        "malformed XML", "EventID missing or not an integer", None, "no System section"]
+    assert rows[1].norm.event_id == "12" and rows[1].norm.level is None
+    assert json.loads(rows[1].extras) == {"event_data": {"Q": "e", "T": "007", "U": "1 < 2", "Y": "05"},
+                                          "event_data_unnamed": ["z"]}
+    assert rows[8].extras is None and rows[8].ts_direct is None
+    times = ["2024-05-01T10:00:00Z", "2024-05-01 10:00:00.5", "2024-05-01T10:00+0200", "2024-05-01",
+             "2024-13-01T00:00:00Z", "10:00:00", "2024", "2024-05-01T10:00:00Z later", ""]
+    stamped = outcome(parse_event_xml(lines_df(spark, [
+        f"<Event><System><EventID>1</EventID><TimeCreated SystemTime='{t}'/></System></Event>"
+        for t in times])))
+    assert [stamped[i].ts_direct for i in range(1, 10)] == [
+        datetime(2024, 5, 1, 10), datetime(2024, 5, 1, 10, 0, 0, 500_000), datetime(2024, 5, 1, 8),
+        datetime(2024, 5, 1), None, None, None, None, None]
+    plan = parse_event_xml(lines_df(spark, texts))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "Exchange" not in plan
+
+
 REGEX = {"name": "app", "kind": "regex", "status": "enable",
          "line_regex": r"(?P<ts>\S+ \S+) (?P<level>\w+)(?: \[(?P<tag>\w+)\])? (?P<message>.*)",
          "field_map": {"ts": "ts_raw", "level": "level", "message": "message"},
