@@ -1,16 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block element. Lines of menus, adverts, forms and the
-like weigh nothing, other lines their text outside links. The weights are summed over
-sliding windows of lines; where the sum surges a stretch of text begins, where it dives to
-nothing the stretch ends, and the lines between are kept. A page that names its article
-adds a constant to the article's lines, so that the surge and the dive fall on its ends.
+Markup is stripped to lines, one per block element; lines of menus, adverts, forms, comments
+and the like go. The rest weigh their text, outside articles only if most of it is no link.
+The weights are summed over sliding windows of lines: where the sum surges a stretch of text
+begins, where it dives to nothing the stretch ends, and the lines between are kept, together
+with weighted lines that directly lead up to the surge, such as a title. The edges of a named
+article or main element end windows and stretches. Stretches inside and outside named
+articles are weighed against each other; the article loses only to far more text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +23,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 WINDOW = 3
 SURGE = 120
 LINK_SHARE = 0.5
+OUTSIDE_TIMES = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -40,6 +44,13 @@ DROPPED_WORDS = frozenset(
     "newsletter notice notices overlay pager pagination popup promo promotion recommended "
     "related replies reply respond search share sharing sidebar sidebars signup skip social "
     "sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
+# Words that may stand beside a dropped word in one class name.
+STRUCTURE_WORDS = frozenset(
+    "area bar block body bottom box button buttons container content group inner item items left "
+    "link links list main outer page panel right section site slot top wrap wrapper".split())
+# Parts that hold articles of their own, written by readers or pointing elsewhere.
+FOREIGN_WORDS = frozenset(
+    "comment comments commentlist discussion disqus recommended related replies reply respond".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main "
@@ -48,23 +59,32 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-def _unwanted(name: str, rest: str) -> bool:
+def _unwanted(name: str, rest: str) -> tuple[bool, bool]:
+    """(whether an element is dropped, whether articles inside it are dropped with it).
+
+    A class name counts as a whole: site-footer and ad-slot-2 are dropped, has-sidebar and
+    comments-open say something about a page and are not.
+    """
     if name in DROPPED:
-        return True
+        return True, False
     if name in ("html", "body", "main") or "=" not in rest:
-        return False
+        return False, False
     if re.search(r"\bhidden\b(?!\s*=)|aria-hidden\s*=\s*\"?true|display\s*:\s*none", rest, re.I):
-        return True
-    words = {w.lower() for m in _HINT.finditer(rest) for w in _PART.findall(
-        m[1] or m[2] or m[3] or "")}
-    return bool(words & DROPPED_WORDS)
+        return True, True
+    dropped, foreign = False, False
+    for m in _HINT.finditer(rest):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in _PART.findall(token) if not w.isdigit()}
+            if words & DROPPED_WORDS and words <= DROPPED_WORDS | STRUCTURE_WORDS:
+                dropped, foreign = True, foreign or bool(words & FOREIGN_WORDS)
+    return dropped, foreign
 
 
 class _Lines:
-    """Lines of a page: text, characters inside links, whether dropped, and in an article."""
+    """Lines of a page: text, characters inside links, and the article part they stand in."""
 
     def __init__(self):
-        self.rows: list[tuple[str, int, bool, bool]] = []
+        self.rows: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.linked = 0
 
@@ -72,16 +92,17 @@ class _Lines:
         self.text.append(piece)
         self.linked += len(piece.strip()) if link else 0
 
-    def end(self, dropped: bool, article: bool) -> None:
+    def end(self, dropped: bool, part: int) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(self.text))).strip()
-        if text:
-            self.rows.append((text, self.linked, dropped, article))
+        if text and not dropped:
+            self.rows.append((text, self.linked, part))
         self.text, self.linked = [], 0
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
+def page_lines(page: str) -> list[tuple[str, int, int]]:
+    """The lines that are not dropped, with odd parts inside named articles, even ones outside."""
     lines, at = _Lines(), 0
-    skip, depth, article, link = "", 0, 0, 0
+    skip, foreign, depth, article, link, part = "", False, 0, 0, 0, 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             lines.add(page[at:m.start()], link > 0)
@@ -93,53 +114,79 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             lines.add(" ", False)
             continue
         if name in BLOCKS:
-            lines.end(bool(skip), article > 0)
+            lines.end(bool(skip), part)
         if name in VOID:
             continue
         if name == "a":
             link = 0 if closes else 1
+        opens_article = name in ("article", "main") and not closes
+        unwanted, holds_foreign = (False, False) if closes else _unwanted(name, m["rest"])
+        if skip and opens_article and not foreign and not unwanted:
+            skip, depth = "", 0  # what holds an article is no menu, or was never closed
         if skip:
             if name == skip:
                 depth += -1 if closes else 1
                 skip = skip if depth else ""
-            elif name in ("article", "main") and not closes and not _unwanted(name, m["rest"]) \
-                    and skip in DROPPED:
-                skip, depth, article = "", 0, article + 1  # the dropped part was never closed
-        elif not closes and _unwanted(name, m["rest"]):
-            skip, depth = name, 1
+        elif unwanted and not (opens_article and not article):
+            skip, foreign, depth = name, holds_foreign, 1
         elif name in ("article", "main"):
             article = max(0, article + (-1 if closes else 1))
+            part += (part % 2) != (article > 0)
     if at < len(page):
         lines.add(page[at:], link > 0)
-    lines.end(bool(skip), article > 0)
+    lines.end(bool(skip), part)
     return lines.rows
 
 
+def stretches(lines: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """(begin, end) of the lines between a surge and the next dive, part by part."""
+    weights = [len(text) if part % 2 or linked <= LINK_SHARE * len(text) else 0
+               for text, linked, part in lines]
+    kept, low = [], 0
+    for _, group in groupby(lines, key=lambda line: line[2]):
+        high = low + len(list(group))
+        sums = [sum(weights[i:min(i + WINDOW, high)]) for i in range(low, high)]
+        i = low
+        while i < high:
+            if sums[i - low] < SURGE or not weights[i]:
+                i += 1
+                continue
+            begin = i
+            while begin > low and weights[begin - 1]:
+                begin -= 1
+            while i < high and sums[i - low]:
+                i += 1
+            kept.append((begin, i))
+        low = high
+    return [(b, e) for begin, end in kept for b, e in _weighted(weights, begin, end)]
+
+
+def _weighted(weights: list[int], begin: int, end: int) -> list[tuple[int, int]]:
+    """The runs of weighted lines between two places."""
+    runs, i = [], begin
+    for has, group in groupby(weights[begin:end], key=bool):
+        n = len(list(group))
+        if has:
+            runs.append((i, i + n))
+        i += n
+    return runs
+
+
 def main_text(page: str | None) -> str:
-    """The kept lines of a page in page order, joined by one space."""
+    """The kept lines of a page in page order, joined by one space.
+
+    Without a surge on the whole page its article is short: all its lines are kept, or all
+    lines of a page that names no article.
+    """
     lines = page_lines(page or "")
-    named = any(a and not d for _, _, d, a in lines)
-    weights = []
-    for text, linked, dropped, article in lines:
-        if dropped or (named and not article):
-            weights.append(0)
-        elif named:
-            weights.append(len(text) + SURGE)
-        else:
-            weights.append(0 if linked > LINK_SHARE * len(text) else len(text))
-    sums = [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
-    kept, i = [], 0
-    while i < len(weights):
-        if sums[i] < SURGE or not weights[i]:
-            i += 1
-            continue
-        begin = i
-        while i < len(weights) and sums[i]:
-            i += 1
-        kept.append((begin, i))
-    if not kept and any(weights):
-        kept = [(0, len(weights))]
-    return " ".join(lines[i][0] for low, high in kept for i in range(low, high) if weights[i])
+    inside: list[str] = []
+    outside: list[str] = []
+    for begin, end in stretches(lines):
+        (inside if lines[begin][2] % 2 else outside).extend(t for t, _, _ in lines[begin:end])
+    named = inside or [text for text, _, part in lines if part % 2]
+    if sum(map(len, outside)) > OUTSIDE_TIMES * sum(map(len, named)):
+        return " ".join(outside)
+    return " ".join(named or [text for text, linked, _ in lines if linked <= LINK_SHARE * len(text)])
 
 
 def extract_main_text(pages: DataFrame, column: str = "html") -> DataFrame:

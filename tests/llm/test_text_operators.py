@@ -1,12 +1,14 @@
 """Operators on texts against plain versions of themselves, and their edge cases."""
 
 import hashlib
+import html
 import itertools
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from caselens.llm import (
@@ -343,6 +345,37 @@ def test_main_text(spark):
     assert main_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+def tag_filter(page):
+    """The article of a given page by its tags alone; the given pages drop only class ad inside."""
+    page = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<div class=\"ad\">.*?</div>", "", page)
+    inside = "\n".join(re.findall(r"(?s)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)>", page))
+    inside = re.sub(r"(?s)<(nav|aside|footer|header|form)\b.*?</\1>", "", inside)
+    inside = re.sub(r"</?(?:h[1-6]|p|div|br|li|ul|ol|section|blockquote|pre|table|tr|td)\b[^>]*>", " ", inside)
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", inside)).split())
+
+
+def test_windows_alone_find_the_article():
+    """Without the article tags the windows choose the same lines, the tags confirm them."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    for page in pages:
+        found = main_text.main_text(page)
+        assert found == main_text.main_text(re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", page))
+        assert found == tag_filter(page)
+
+
+def test_class_names_of_main_text():
+    body = f"<h1>T</h1><p>{prose(1, 40)}</p>"
+    want = "T " + prose(1, 40)
+    for kept in ("<div class='site has-sidebar'>%s</div>", "<article class='post comments-open'>%s</article>",
+                 "<div class='search-enabled'><article>%s</article></div>",
+                 "<div class='sidebar'><article>%s</article></div>", "<article class='comments'>%s</article>",
+                 "<div class='site-footer'>x</div><article>%s<p class='ad-slot-2'>y</p></article>",
+                 "<article>%s<div class='comment-body'>n</div></article><div id='comments'><article>c</article></div>",
+                 "<div><p>teaser</p></div><article>%s</article><p>" + "more " * 40 + "</p>",
+                 "<article>teaser</article><div>%s</div>"):
+        assert main_text.main_text(kept % body) == want, kept
+
+
 def test_network_gradients():
     net, rng = toxicity.Network(3), np.random.default_rng(0)
     for name in net.p:
