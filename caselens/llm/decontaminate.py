@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import blocks
+from .storage import free_name
 
 Q = 7
 EDIT_SHARE = 0.12
@@ -200,18 +201,20 @@ def _blocks_of_items(benchmark: DataFrame, item_id: str, text: str):
 
 
 def find_benchmark_items(docs: DataFrame, benchmark: DataFrame, q: int = Q,
-                         share: float = EDIT_SHARE) -> DataFrame:
-    """All columns of ``docs`` plus ``_items``: sorted (item_id, edits) found in the text.
+                         share: float = EDIT_SHARE, result: str = "_items") -> DataFrame:
+    """All columns of ``docs`` plus ``result``: sorted (item_id, edits) found in the text.
 
     An item is found where a stretch of the text is within ``share`` of the item's length
     in edits, both case-folded and every white space as a blank. A null or empty text holds
     nothing, an item shorter than ``LEAST_CHARS`` characters or without text is not looked
-    for, equal items are all reported, and an empty benchmark leaves every list empty.
+    for, equal items are all reported, and an empty benchmark leaves every list empty. A
+    column of ``docs`` named like the result is replaced by it.
     """
     kind = ArrayType(StructType([StructField("item_id", LongType()),
                                  StructField("edits", LongType())]))
-    out = docs.withColumn("_items", F.array().cast(kind))
-    names = docs.columns
+    out = docs.withColumn(result, F.array().cast(kind))
+    names = [c for c in docs.columns if c != result]
+    found = free_name("_found", out.columns)
     for rows in _blocks_of_items(benchmark, "item_id", "text"):
         tables = prepare(rows, q, share)
 
@@ -229,9 +232,9 @@ def find_benchmark_items(docs: DataFrame, benchmark: DataFrame, q: int = Q,
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(lists, pa.list_(pa.struct(
                         [("item_id", pa.int64()), ("edits", pa.int64())])))],
-                    [*batch.schema.names, "_found"])
+                    [*batch.schema.names, found])
 
-        out = out.mapInArrow(run, StructType([*out.schema.fields, StructField("_found", kind)]))
+        out = out.mapInArrow(run, StructType([*out.schema.fields, StructField(found, kind)]))
         out = out.select(*[F.col(f"`{n}`") for n in names], F.array_sort(
-            F.concat("_items", "_found")).alias("_items"))
+            F.concat(F.col(f"`{result}`"), F.col(found))).alias(result))
     return out

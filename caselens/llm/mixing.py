@@ -71,26 +71,39 @@ def _tokens():
     return F.length(text) - F.length(F.translate(text, " \n\t", "")) + 1
 
 
-def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id",
-        repetition: float | None = 2.0, entropy: float | None = None, seed: int = 17
-        ) -> DataFrame:
-    """All columns of ``docs`` plus ``_pass`` (from 0), each row as often as its source is read.
+def _share(block, order):
+    """Where a hash stands in the block permutation, from 0 to 1."""
+    return (block + order / F.lit(2.0 ** 64) + F.lit(0.5)) / F.lit(BLOCKS)
+
 
-    The partial pass takes blocks of a seeded permutation while their tokens fit into the
-    budget, and rows of the next block while they still fit. Equal rows are taken
-    independently of each other only when their ids differ. Tables without rows stay empty.
+def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id",
+        repetition: float | None = 2.0, entropy: float | None = None, seed: int = 17,
+        out: tuple[str, str, str] = ("_pass", "_place", "_weight")) -> DataFrame:
+    """All columns of ``docs`` plus pass (from 0), place and weight of its source, each row as
+    often as its source is read.
+
+    Every pass has its own seeded permutation of the blocks and of the rows in them. The
+    partial pass takes blocks in its order while their tokens fit into the budget, and rows of
+    the next block while they still fit. ``place`` (0 to 1) is a row's place in the mixture:
+    the passes of each source follow each other from 0 to 1, so that read in order of place
+    every stretch of the mixture holds the sources at their weights, without a sort here.
+    Equal rows are taken independently of each other only when their ids differ. Tables
+    without rows stay empty; columns of ``docs`` named like the results are replaced by them.
     """
     plan = source_plan(docs, source, repetition, entropy)
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame(
         [(r["source"], int(r["passes"] + 1e-9),
-          int((r["passes"] + 1e-9) % 1 * r["tokens"])) for r in plan],
+          int((r["passes"] + 1e-9) % 1 * r["tokens"]), r["passes"], r["weight"]) for r in plan],
         docs.select(F.col(source).alias("_s")).schema.simpleString()[7:-1].replace(":", " ", 1)
-        + ", _whole int, _budget long"))
+        + ", _whole int, _budget long, _passes double, _weight double"))
     order = F.xxhash64(F.col(doc_id).cast("string"), F.coalesce("text", F.lit("")), F.lit(seed))
-    rows = docs.withColumns({"_order": order, "_block": F.pmod(order, F.lit(BLOCKS)),
-                             "_n": _tokens().cast("long")})
-    rows = rows.join(table, F.col(source).eqNullSafe(F.col("_s")))
+    # The user's columns travel inside one, so that no name of theirs meets one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col(source).alias("_source"), order.alias("_order"),
+                       F.pmod(order, F.lit(BLOCKS)).alias("_block"),
+                       _tokens().cast("long").alias("_n"))
+    rows = rows.join(table, F.col("_source").eqNullSafe(F.col("_s")))
     # Block totals: combinable, at most BLOCKS rows a source.
     totals = rows.groupBy("_s", "_block", "_budget").agg(F.sum("_n").alias("_t"))
     totals = totals.withColumn("_end", F.sum("_t").over(
@@ -111,5 +124,14 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id",
                       | ((F.col("_block") == F.col("_edge")) & (F.col("_order") <= F.col("_last"))),
                       F.lit(False))
     passes = F.col("_whole") + more.cast("int")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(
-        F.sequence(F.lit(0), passes - 1)).alias("_pass"))
+    taken = rows.select("*", F.explode(F.sequence(F.lit(0), passes - 1)).alias("_pass"))
+    again = F.xxhash64("_order", "_pass")
+    # What the partial pass takes of the permutation is stretched to its part of the passes.
+    cut = F.coalesce(_share(F.col("_edge"), F.col("_last")), F.col("_edge") / F.lit(BLOCKS))
+    share = F.when(F.col("_pass") < F.col("_whole"), _share(F.pmod(again, F.lit(BLOCKS)), again)).otherwise(
+        F.try_divide(_share(F.col("_block"), F.col("_order")), cut)
+        * (F.col("_passes") - F.col("_whole")))
+    return taken.select(
+        *[F.col(f"_row.`{c}`") for c in docs.columns if c not in out],
+        F.col("_pass").alias(out[0]), ((F.col("_pass") + share) / F.col("_passes")).alias(out[1]),
+        F.col("_weight").alias(out[2]))

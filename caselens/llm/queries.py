@@ -26,7 +26,9 @@ def op1_decontaminate(spark, folder):
 
 def op2_temperature_mix(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", F.col("_pass").alias("pass"))
+    return mixing.mix(docs).select(
+        "doc_id", "source", F.col("_pass").alias("pass"), F.col("_place").alias("place"),
+        F.col("_weight").alias("weight"))
 
 
 def op3_kmeans_tree(spark, folder):

@@ -21,3 +21,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small_or_not(df: DataFrame) -> DataFrame:
     """A stored table of few numbers a row, marked for broadcast while its rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def free_name(name: str, taken) -> str:
+    """``name``, or with underscores in front until no column of ``taken`` has it."""
+    taken = {column.lower() for column in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

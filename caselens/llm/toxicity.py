@@ -413,8 +413,15 @@ def train_network(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     return net
 
 
-def score_toxicity(docs: DataFrame, net: Network, column: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``_score`` (double): whole texts, empty and null ones 0."""
+def score_toxicity(docs: DataFrame, net: Network, column: str = "text",
+                   result: str = "_score") -> DataFrame:
+    """All columns of ``docs`` plus ``result`` (double): whole texts, empty and null ones 0.
+
+    A column of ``docs`` named like the result is replaced by it.
+    """
+    kept = [f for f in docs.schema.fields if f.name != result]
+    names = [f.name for f in kept]
+
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(column))
@@ -422,6 +429,7 @@ def score_toxicity(docs: DataFrame, net: Network, column: str = "text") -> DataF
                       for _, _, data, offsets in blocks.text_blocks(texts)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))],
-                [*batch.schema.names, "_score"])
+                [*names, result])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(
+        run, StructType([*kept, StructField(result, DoubleType())]))

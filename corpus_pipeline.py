@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.llm import decontaminate, mixing, ngram_join, sharding, toxicity
+from caselens.llm.storage import free_name
 from caselens.session import configure, new_folder
 
 
@@ -13,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.3; the network learns from the input itself."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = toxicity.train_network(docs, labels)
-    return toxicity.score_toxicity(docs, net).where("_score < 0.3").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    score = free_name("_score", docs.columns)
+    return toxicity.score_toxicity(docs, net, result=score).where(F.col(score) < 0.3).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +33,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.find_benchmark_items(docs, benchmark).where(
-        F.size("_items") == 0).drop("_items")
+    items = free_name("_items", docs.columns)
+    return decontaminate.find_benchmark_items(docs, benchmark, result=items).where(
+        F.size(items) == 0).drop(items)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once and those of small sources up to twice."""
-    return mixing.mix(docs).drop("_pass")
+    added = tuple(free_name(name, docs.columns) for name in ("_pass", "_place", "_weight"))
+    return mixing.mix(docs, out=added).drop(*added)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

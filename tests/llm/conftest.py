@@ -5,6 +5,10 @@ import pytest
 WORDS = ("amber birch copper delta ember forest garden harbor island jungle kernel lantern meadow "
          "needle orchard pepper quartz river saddle timber umbrella valley willow yonder").split()
 
+# Names that operators use for their own columns.
+INNER = ("_pass _place _weight _order _block _n _whole _budget _passes _edge _last _room _row _s "
+         "_source _t _items _found _score").split()
+
 
 def prose(seed, n):
     rng = random.Random(seed)
@@ -22,10 +26,11 @@ def edge_texts():
 @pytest.fixture(scope="session")
 def edge_docs(spark):
     """Edge rows with columns whose names operators use inside."""
-    rows = [(i, t, "en", "src0", 1, 7, "x", 0) for i, t in edge_texts()]
+    rows = [(i, t, "en", "src0", 1, 7, "x", *range(90, 90 + len(INNER))) for i, t in edge_texts()]
     return spark.createDataFrame(
         rows, "doc_id long, text string, lang string, source string, n_chars long, "
-              "shard long, component_id string, _pass long").repartition(3)
+              "shard long, component_id string, " + ", ".join(
+            f"{name} long" for name in INNER)).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from caselens.llm import kmeans_tree, mixing, queries, sharding, toxicity
 
-from .conftest import edge_texts, prose
+from .conftest import INNER, edge_texts, prose
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -29,19 +29,36 @@ def test_mix_keeps_all_and_meets_budgets(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["big"] * 8 + ["mid"] * 2 + ["low", None]), prose(i, rng.randint(1, 40)), 1)
             for i in range(3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _pass long").drop("_pass")
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _n long")
     plan = {p["source"]: p for p in mixing.source_plan(docs)}
-    out = mixing.mix(docs).select("doc_id", "source", "_pass", "text").collect()
+    out = mixing.mix(docs).select(
+        "doc_id", "source", "_pass", "_place", "_weight", "_n", "text").collect()
     times = Counter(r.doc_id for r in out)
     assert set(times) == set(range(3000)) and max(times.values()) <= 2
     for source, p in plan.items():
         used = sum(len(r.text.split()) for r in out if r.source == source)
         assert p["passes"] * p["tokens"] - 60 <= used <= p["passes"] * p["tokens"] + 1
-    assert mixing.mix(docs.limit(0)).count() == 0
+        assert {r["_weight"] for r in out if r.source == source} == {p["weight"]}
+    assert mixing.mix(docs.limit(0)).count() == 0 and {r["_n"] for r in out} == {1}
+    # Passes follow each other, each in its own order; every stretch holds the target weights.
+    twice = {i for i, n in times.items() if n == 2}
+    by_pass = [[r.doc_id for r in sorted(out, key=lambda r: r["_place"])
+                if r.doc_id in twice and r["_pass"] == n and r.source == "low"] for n in (0, 1)]
+    assert sorted(by_pass[0]) == sorted(by_pass[1]) and by_pass[0] != by_pass[1]
+    assert all(0 <= r["_place"] <= 1 for r in out)
+    for low in (0.0, 0.25, 0.5, 0.75):
+        part = [r for r in out if low <= r["_place"] <= low + 0.25]
+        total = sum(len(r.text.split()) for r in part)
+        for source, p in plan.items():
+            used = sum(len(r.text.split()) for r in part if r.source == source)
+            assert abs(used / total - p["weight"]) < 0.05
 
 
 def test_mix_edges(edge_docs):
-    assert mixing.mix(edge_docs.drop("_pass")).count() == len(edge_texts())
+    out = mixing.mix(edge_docs)
+    assert out.count() == len(edge_texts()) and sorted(out.columns) == sorted(edge_docs.columns)
+    own = [c for c in INNER if c not in ("_pass", "_place", "_weight")]
+    assert out.select(own).distinct().collect() == edge_docs.select(own).distinct().collect()
 
 
 def test_hilbert_curve_moves_by_single_steps():
@@ -120,10 +137,11 @@ def test_queries_return_a_row_for_each_input(spark, name):
 
 def test_stages_keep_columns_and_clean_rows(spark, edge_docs):
     labels = FOLDER
-    for docs in (edge_docs.drop("_pass"), edge_docs.drop("_pass").limit(0)):
+    for docs in (edge_docs, edge_docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, labels)
             assert out.columns == docs.columns, name
+            assert out.select(INNER).distinct().count() <= 1, name
             assert out.count() >= docs.select("text").distinct().count() - 4, name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, labels).count() == docs.count()
 
