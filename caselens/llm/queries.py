@@ -55,7 +55,8 @@ def op7_suffix_array_dedup(spark, folder):
 
 
 def op8_ngram_jaccard_join(spark, folder):
-    return ngram_join.ngram_groups(_table(spark, folder, "documents"), k=3, num=90, den=100)
+    groups = ngram_join.ngram_groups(_table(spark, folder, "documents"), k=3, num=90, den=100)
+    return groups.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_main_text(spark, folder):

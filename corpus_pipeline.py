@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from caselens.llm.storage import free_name
+from caselens.llm.storage import free_name, stored
 from caselens.session import configure, new_folder
 
 
@@ -18,16 +18,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, net, result=score).where(F.col(score) < 0.3).drop(score)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Null flag, id and hash of a whole row: what tells rows with one id, or none, apart."""
+    # Maps have no hash and no order of their own; as JSON text they have.
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    values = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or "variant" in kind
+              else F.col(f"`{c}`") for c, kind in kinds.items()]
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
+                    F.xxhash64(*values).alias("hash"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a similarity of 0.8 over five-word shingles.
+    """One row of each group at a similarity of 0.8 over five-word shingles.
 
-    The document with the smallest id stays; texts without words have no group and stay,
-    and so do rows without an id. Rows that repeat an id stay or go together.
+    The row with the smallest id stays; of rows that repeat an id, that with the smallest hash
+    of all columns; rows without an id come last; of rows alike in all columns one stays.
+    Texts without words have no group and stay, all of them.
     """
-    groups = ngram_join.ngram_groups(docs, k=5, num=8, den=10)
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    key = free_name("_row", docs.columns)
+    keyed = docs.withColumn(key, _row_key(docs))
+    groups = ngram_join.ngram_groups(keyed, k=5, num=8, den=10, doc_id=key)
+    # Rows alike in all columns share a key: they part from the others and one stays.
+    changed = stored(groups.where("n_shingles > 0").groupBy(F.col("doc_id").alias(key)).agg(
+        F.max(F.col("component_id") != F.col("doc_id")).alias("goes"),
+        F.count(F.lit(1)).alias("n")).where("goes or n > 1"), "changed")
+    single = keyed.join(changed.select(key), key, "left_anti")
+    first = keyed.join(changed.where("not goes").select(key), key, "left_semi").dropDuplicates([key])
+    return single.union(first).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,6 +146,21 @@ def test_stages_keep_columns_and_clean_rows(spark, edge_docs):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, labels).count() == docs.count()
 
 
+def test_near_duplicates_leave_one_row_of_each_group(spark):
+    text, other = prose(1, 60), prose(2, 60)
+    rows = [(7, text, "a"), (7, other, "a"), (7, other, "b"), (3, text, "a"), (3, text, "a"),
+            (None, text, "a"), (None, prose(3, 60), "a"), (None, prose(3, 60), "b"),
+            (5, "", "a"), (5, "", "a"), (6, None, "a"), (9, prose(4, 3), "a"), (8, prose(4, 3), "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").withColumn(
+        "tags", F.create_map(F.lit("x"), F.col("_row")))
+    out = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(4), FOLDER)
+    assert out.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    assert kept == Counter({(3, text): 1, (7, other): 1, (None, prose(3, 60)): 1, (5, ""): 2,
+                            (6, None): 1, (8, prose(4, 3)): 1})
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), FOLDER).count() == 0
+
+
 @pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
 def test_toxicity_leaves_clean_rows_alone(spark, folder):
     labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 0").select("doc_id")
