@@ -26,10 +26,11 @@ from .storage import free_name
 
 Q = 7
 EDIT_SHARE = 0.12
-LEAST_CHARS = 6
+WHOLE_BELOW = 6
 STRETCH = 512
 BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 22
+_SLOT_BITS = 20
 
 
 def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +68,7 @@ class Items:
 
 
 def prepare(rows: list[tuple[int, str]], q: int, share: float) -> list[Items]:
-    """The items of ``LEAST_CHARS`` or more characters, in one table for each length of grams.
+    """The items of ``WHOLE_BELOW`` or more characters, in one table for each length of grams.
 
     An item of m characters and e edits has grams of ``q`` characters or of m // (e + 1), the
     longest of which e edits cannot touch all.
@@ -76,13 +77,31 @@ def prepare(rows: list[tuple[int, str]], q: int, share: float) -> list[Items]:
     for i, text in rows:
         data = np.frombuffer(text.strip().encode(), np.uint8)
         points = folded(data, np.array([0, len(data)]))[0]
-        if len(points) >= LEAST_CHARS:
+        if len(points) >= WHOLE_BELOW:
             budget = int(len(points) * share + 1e-9)
             tables.setdefault(max(1, min(q, len(points) // (budget + 1))), []).append(
                 (i, points, budget))
     return [_table(q, entries) for q, entries in sorted(tables.items())]
 
 
+def whole_items(rows: list[tuple[int, str]]) -> dict[bytes, list[int]]:
+    """The items of fewer characters by their folded code points: every text of some length
+    holds such letters by chance, so they are looked for as whole texts."""
+    out: dict[bytes, list[int]] = {}
+    for i, text in rows:
+        data = np.frombuffer(text.strip().encode(), np.uint8)
+        points = folded(data, np.array([0, len(data)]))[0]
+        if 0 < len(points) < WHOLE_BELOW:
+            out.setdefault(points.tobytes(), []).append(i)
+    return out
+
+
+def trimmed(points: np.ndarray) -> np.ndarray:
+    """``points`` without blanks at both ends."""
+    dark = points != 32
+    return points[dark.argmax():len(dark) - dark[::-1].argmax()] if dark.any() else points[:0]
+
+
 def _table(q: int, entries: list[tuple[int, np.ndarray, int]]) -> Items:
     texts = [t for _, t, _ in entries]
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -128,18 +147,34 @@ def banded_distance(item: np.ndarray, region: np.ndarray, budget: int) -> int |
     return least if least <= budget else None
 
 
-def _dense(spot: np.ndarray, item: np.ndarray, size: int, items: Items) -> np.ndarray:
+def _slots(pair: np.ndarray) -> np.ndarray:
+    spread = pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (spread >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _dense(spot: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
     """Which hits lie where an item has enough of them in neighbouring stretches of text.
 
     A stretch is longer than any region of its item, so a region lies in two neighbours.
     """
     many = len(items.ids)
     length = max(STRETCH, int((np.array([len(t) for t in items.texts]) + 2 * items.budgets + 1).max()))
-    cell = spot // length
-    counts = np.bincount(cell * many + item, minlength=(size // length + 1) * many).reshape(-1, many)
-    padded = np.vstack([np.zeros((1, many), counts.dtype), counts, np.zeros((1, many), counts.dtype)])
-    enough = np.maximum(padded[:-2], padded[2:]) + counts >= items.needed
-    return enough[cell, item]
+    pair = spot // length * many + item
+    # Counters shared by several pairs are never too low; what they leave is counted exactly.
+    shared = np.bincount(_slots(pair), minlength=1 << _SLOT_BITS)
+    most = shared[_slots(pair)] + np.maximum(shared[_slots(pair - many)], shared[_slots(pair + many)])
+    maybe = np.flatnonzero(most >= items.needed[item])
+    if not len(maybe):
+        return maybe
+    # Only pairs that occur are counted: memory follows the hits.
+    pair, of, count = np.unique(pair[maybe], return_inverse=True, return_counts=True)
+
+    def beside(step: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(pair, pair + step), len(pair) - 1)
+        return np.where(pair[at] == pair + step, count[at], 0)
+
+    enough = np.maximum(beside(-many), beside(many)) + count >= items.needed[pair % many]
+    return maybe[enough[of]]
 
 
 def matches(points: np.ndarray, firsts: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
@@ -154,7 +189,7 @@ def matches(points: np.ndarray, firsts: np.ndarray, items: Items) -> list[tuple[
     entry = np.repeat(items.first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
     item = items.item[entry]
     spot = np.repeat(maybe, count)
-    near = _dense(spot, item, len(points), items)
+    near = _dense(spot, item, items)
     item, spot, place = item[near], spot[near], items.place[entry[near]]
     diagonal = spot - place + 1_000_000
     row = np.searchsorted(firsts, spot, side="right") - 1
@@ -206,8 +241,8 @@ def find_benchmark_items(docs: DataFrame, benchmark: DataFrame, q: int = Q,
 
     An item is found where a stretch of the text is within ``share`` of the item's length
     in edits, both case-folded and every white space as a blank. A null or empty text holds
-    nothing, an item shorter than ``LEAST_CHARS`` characters or without text is not looked
-    for, equal items are all reported, and an empty benchmark leaves every list empty. A
+    nothing. An item shorter than ``WHOLE_BELOW`` characters is found where it is the whole
+    text but for white space around it, one without text nowhere; equal items are all reported, and an empty benchmark leaves every list empty. A
     column of ``docs`` named like the result is replaced by it.
     """
     kind = ArrayType(StructType([StructField("item_id", LongType()),
@@ -216,9 +251,9 @@ def find_benchmark_items(docs: DataFrame, benchmark: DataFrame, q: int = Q,
     names = [c for c in docs.columns if c != result]
     found = free_name("_found", out.columns)
     for rows in _blocks_of_items(benchmark, "item_id", "text"):
-        tables = prepare(rows, q, share)
+        tables, whole = prepare(rows, q, share), whole_items(rows)
 
-        def run(batches, tables=tables):
+        def run(batches, tables=tables, whole=whole):
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text"))
                 lists = []
@@ -228,6 +263,10 @@ def find_benchmark_items(docs: DataFrame, benchmark: DataFrame, q: int = Q,
                     for items in tables:
                         for r, i, e in matches(points, firsts, items):
                             here[r].append({"item_id": int(items.ids[i]), "edits": e})
+                    for r in range(high - low) if whole else ():
+                        text = trimmed(points[firsts[r]:firsts[r + 1]])
+                        here[r] += [{"item_id": int(i), "edits": 0} for i in whole.get(
+                            text.tobytes() if len(text) < WHOLE_BELOW else b"", ())]
                     lists += here
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(lists, pa.list_(pa.struct(

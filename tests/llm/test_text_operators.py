@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -190,6 +191,35 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert found.count() == len(edge_texts()) and set(edge_docs.columns) | {"_items"} == set(found.columns)
 
 
+def test_short_items_are_whole_texts(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, " yes"), (3, "ß1"), (4, "a b"), (5, "x"), (6, " ")],
+                                  "item_id long, text string")
+    rows = [(1, "\n YES "), (2, "yes sir"), (3, "SS1"), (4, "a\tb"), (5, "x"), (6, ""), (7, None),
+            (8, "  "), (9, "xx"), (10, prose(1, 50) + " yes")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: [x.item_id for x in r["_items"]] for r in
+           decontaminate.find_benchmark_items(docs, bench).collect()}
+    assert {i: x for i, x in got.items() if x} == {1: [1, 2], 3: [3], 4: [4], 5: [5]}
+    assert len(got) == len(rows)
+
+
+def test_memory_of_very_long_texts_follows_hits():
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz    "))
+    items = [(i, "".join(rng.choice(letters, 60))) for i in range(3000)]
+    table, = decontaminate.prepare(items, decontaminate.Q, decontaminate.EDIT_SHARE)
+    text = "".join(rng.choice(letters, 2_000_000))
+    text = text[:1_500_000] + items[7][1] + text[1_500_000:]
+    data = np.frombuffer(text.encode(), np.uint8)
+    points, firsts = decontaminate.folded(data, np.array([0, len(data)]))
+    tracemalloc.start()
+    found = decontaminate.matches(points, firsts, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (0, 7, 0) in found and len(found) == 1
+    assert peak < 50 * len(points)  # a counter for each stretch and item would alone take 94 MB
+
+
 def test_decontamination_keeps_the_budget_at_every_length_and_folds_case(spark):
     rng = random.Random(8)
     items, rows = [], []
