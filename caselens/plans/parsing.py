@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -286,19 +288,45 @@ SELECT event_id + 1 AS line_no, CASE WHEN event_id % 71 = 0 THEN 'bad' ELSE 'eve
   CASE WHEN e THEN epoch_us(date_trunc('second', ts)) END AS ts_us
 FROM (SELECT *, json_extract_string(props, '$.k') AS k, event_id % 71 <> 0 AS e FROM events)""")
 def parse_regex(spark, d):
+    return descriptors.parse_descriptor(_audit_lines(spark, d), _AUDIT).select(
+        "line_no", "kind", F.col("norm.actor").alias("actor"), F.col("norm.action").alias("action"),
+        F.col("norm.object").alias("object"), F.get_json_object("extras", "$.n").alias("n"),
+        F.unix_micros(F.col("dt_local").cast("timestamp")).alias("ts_us"))
+
+
+def _audit_lines(spark, d):
     ev = spread(table(spark, d, "events"))
     k = F.get_json_object("props", "$.k")
     text = F.concat(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" u"), F.col("user_id").cast("string"),
         F.lit(" "), F.col("event_type"),
         F.when(F.col("value") >= 10, F.concat(F.lit(" on item"), k)).otherwise(""), F.lit(" #"), k)
-    lines = ev.select(F.lit("audit").alias("source_id"), (F.col("event_id") + 1).alias("line_no"),
-                      F.when(F.col("event_id") % 71 == 0, F.replace(text, F.lit("2024"), F.lit("year")))
-                      .otherwise(text).alias("raw"))
-    return descriptors.parse_descriptor(lines, _AUDIT).select(
-        "line_no", "kind", F.col("norm.actor").alias("actor"), F.col("norm.action").alias("action"),
-        F.col("norm.object").alias("object"), F.get_json_object("extras", "$.n").alias("n"),
-        F.unix_micros(F.col("dt_local").cast("timestamp")).alias("ts_us"))
+    return ev.select(F.lit("audit").alias("source_id"), (F.col("event_id") + 1).alias("line_no"),
+                     F.when(F.col("event_id") % 71 == 0, F.replace(text, F.lit("2024"), F.lit("year")))
+                     .otherwise(text).alias("raw"))
+
+
+@query("preview_parse", """
+WITH l AS (SELECT event_id + 1 AS line_no, event_id % 71 = 0 AS bad FROM events),
+c AS (SELECT count(*) AS total, count(*) FILTER (NOT bad) AS good, count(*) FILTER (bad) AS bad FROM l)
+SELECT 'total' AS part, total AS value FROM c UNION ALL SELECT 'parsed', good FROM c
+UNION ALL SELECT 'bad', bad FROM c UNION ALL SELECT 'skipped', 0 UNION ALL SELECT 'warnings', 0
+UNION ALL SELECT 'never matched', 1
+UNION ALL (SELECT 'event', line_no FROM l WHERE NOT bad ORDER BY line_no LIMIT 5)
+UNION ALL (SELECT 'bad line', line_no FROM l WHERE bad ORDER BY line_no LIMIT 5)""")
+def preview(spark, d):
+    """Counts and first rows of a descriptor's preview, and one that matches no line."""
+    lines = _audit_lines(spark, d)
+    seen = descriptors.preview_parse(lines, _AUDIT)
+    wrong = descriptors.preview_parse(lines, {**_AUDIT, "line_regex": r"(?P<t>never) (?P<who>matched)",
+                                              "field_map": {"t": "ts_raw", "who": "actor"}})
+    row = lambda df, name, value: df.select(F.lit(name).alias("part"), value.cast("bigint").alias("value"))
+    warned = F.col("warning").isNotNull()
+    parts = [row(seen["counts"], name, F.col(column)) for name, column in (
+        ("total", "total_lines"), ("parsed", "parsed"), ("bad", "bad_lines"), ("skipped", "skipped_lines"))]
+    parts += [row(seen["counts"], "warnings", warned), row(wrong["counts"], "never matched", warned),
+              row(seen["events"], "event", F.col("line_no")), row(seen["bad"], "bad line", F.col("line_no"))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _JSON = {
@@ -380,9 +408,27 @@ def stray(spark, d):
     return multiline.stray_lines(document_lines(spark, d), "[A-E]").select("source_id", "line_no")
 
 
-@query("merge_multiline_capped")
+@query("merge_multiline_capped", f"""
+WITH RECURSIVE {_BLOCKS_SQL},
+-- Places in a block and characters up to each line.
+n AS (SELECT source_id, start, line_no, length(raw) AS size,
+        row_number() OVER w AS i, sum(length(raw)) OVER w AS upto
+      FROM b WHERE start IS NOT NULL WINDOW w AS (PARTITION BY source_id, start ORDER BY line_no)),
+-- The part that begins at a line ends before the first line that breaks a limit.
+j AS (SELECT x.source_id, x.start, x.i, min(y.i) AS next FROM n x LEFT JOIN n y
+        ON y.source_id = x.source_id AND y.start = x.start AND y.i > x.i
+        AND (y.i - x.i > 3 OR y.upto - x.upto + x.size > 400)
+      GROUP BY x.source_id, x.start, x.i),
+part AS (SELECT source_id, start, i, next FROM j WHERE i = 1
+  UNION ALL SELECT p.source_id, p.start, j.i, j.next FROM part p JOIN j
+    ON j.source_id = p.source_id AND j.start = p.start AND j.i = p.next)
+SELECT p.source_id, n.line_no,
+  (coalesce(p.next, (SELECT max(i) + 1 FROM n m WHERE m.source_id = p.source_id AND m.start = p.start))
+   - p.i - 1)::INT AS continuation_lines,
+  p.next IS NOT NULL AS truncated, p.i > 1 AS orphan
+FROM part p JOIN n ON n.source_id = p.source_id AND n.start = p.start AND n.i = p.i""")
 def merge_capped(spark, d):
-    """Blocks that the limits cut; checked against a plain loop in the tests."""
+    """Blocks that the limits cut; the tests also compare them with a plain loop."""
     return multiline.merge_multiline(document_lines(spark, d), "[A-E]", 3, 400).select(
         "source_id", "line_no", "continuation_lines", "truncated", "orphan")
 

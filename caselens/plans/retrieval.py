@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import redact
+from ..functions.columns import iso, number, redact
 from ..operators import retrieve as R
 from ..operators.explain import explain
 from ..operators.ordered import carry_forward
@@ -212,6 +212,53 @@ def explain_status(spark, d):
                                      F.max("explanation").alias("explanation"))
 
 
+@query("explain_builtin", """
+WITH v AS (SELECT event_id, 'HTTP://h/' || CASE event_type WHEN 'click' THEN 'Admin/x' WHEN 'view' THEN '.git/config'
+    WHEN 'signup' THEN 'wp-login.php?a=/admin' ELSE 'item' END AS path,
+  CASE event_type WHEN 'error' THEN 'sqlmap/1.4 Mozilla/5.0' WHEN 'purchase' THEN 'Mozilla/5.0 X' ELSE '  ' END AS ua
+  FROM events)
+SELECT kind, value, count(*) AS n, min(explanation) AS explanation FROM (
+  SELECT 'path' AS kind, path AS value, CASE WHEN path LIKE '%wp-login%'
+    THEN 'WordPress sign-in page; look at failures and where they come from.'
+    WHEN path LIKE '%Admin%' THEN 'Administration path; check the status for successful access.'
+    WHEN path LIKE '%.git%' THEN 'Git metadata; any success leaks source code.' END AS explanation FROM v
+  UNION ALL SELECT 'ua', ua, CASE WHEN ua LIKE 'sqlmap%' THEN 'SQL injection tool; check what its requests returned.'
+    WHEN ua LIKE 'Moz%' THEN 'Prefix of every common browser; ordinary baseline.' END FROM v)
+GROUP BY kind, value""")
+def explain_builtin(spark, d):
+    """The built-in entries: the first listed token that occurs in a value explains it."""
+    kind = F.col("event_type")
+    path = (F.when(kind == "click", "Admin/x").when(kind == "view", ".git/config")
+            .when(kind == "signup", "wp-login.php?a=/admin").otherwise("item"))
+    agent = F.when(kind == "error", "sqlmap/1.4 Mozilla/5.0").when(
+        kind == "purchase", "Mozilla/5.0 X").otherwise("  ")
+    ev = table(spark, d, "events")
+    parts = [explain(ev.select(F.lit(name).alias("kind"), value.alias("value")), "value", name)
+             for name, value in (("path", F.concat(F.lit("HTTP://h/"), path)), ("ua", agent))]
+    return parts[0].unionByName(parts[1]).groupBy("kind", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("explanation").alias("explanation"))
+
+
+@query("numbers", r"""
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN value WHEN 1 THEN -value WHEN 2 THEN event_id * 1000.0 END AS number
+FROM events""")
+def numbers(spark, d):
+    """Plain numbers of texts, with signs, blanks and exponents; other texts have none."""
+    ev = table(spark, d, "events")
+    text, case = F.col("value").cast("string"), F.col("event_id") % 6
+    written = (F.when(case == 0, F.concat(F.lit(" "), text)).when(case == 1, F.concat(F.lit("-"), text))
+               .when(case == 2, F.concat(F.col("event_id").cast("string"), F.lit("e3 ")))
+               .when(case == 3, F.concat(F.lit("0x"), F.col("event_id").cast("string")))
+               .when(case == 4, F.lit("NaN")).otherwise(""))
+    return ev.select("event_id", number(written).alias("number"))
+
+
+@query("iso_times", """
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso FROM events""")
+def iso_times(spark, d):
+    return table(spark, d, "events").select("event_id", iso(F.col("ts").cast("timestamp")).alias("iso"))
+
+
 @query("carry_forward", f"""
 WITH {EVENTS_SQL} SELECT line_no, last_value(CASE WHEN event_type = 'signup' THEN line_no END IGNORE NULLS)
   OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_signup FROM ev""")
