@@ -137,8 +137,8 @@ def _giant_cuts(rows: DataFrame, max_cont: int, max_chars: int, piece_lines: int
 
     Where the limits cut depends on every cut before. The lines are divided into pieces,
     each seen together with the end of the piece before it. A piece maps "the open part
-    began at line a" to "the part open at my end began at line b"; the map is monotone, so
-    it is a few ranges. Chaining the maps touches one small row set per piece; then every
+    began at line a" to "the part open at my end began at line b"; lines with one
+    b are ranges, as many as a part may have lines at most. Maps of neighbours are composed pairwise (``_entries``); then every
     piece walks from its known beginning.
     """
     block = ["source_id", "_start"]
@@ -180,19 +180,7 @@ def _giant_cuts(rows: DataFrame, max_cont: int, max_chars: int, piece_lines: int
     ranges = pieces.groupBy(*key).applyInPandas(
         ends, "source_id string, _start long, _piece long, _lo long, _hi long, _to long")
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_piece", "_lo"])
-        opened, out = 0, []
-        for number, part in frame.groupby("_piece", sort=True):
-            out.append((number, opened))
-            row = part["_hi"].to_numpy().searchsorted(opened)
-            opened = int(part["_to"].iloc[row])
-        return pd.DataFrame({
-            "source_id": frame["source_id"].iloc[0], "_start": frame["_start"].iloc[0],
-            "_piece": [n for n, _ in out], "_entry": [e for _, e in out]})
-
-    entries = ranges.groupBy(*block).applyInPandas(
-        chain, "source_id string, _start long, _piece long, _entry long")
+    entries = _entries(ranges, block)
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_i")
@@ -212,6 +200,39 @@ def _giant_cuts(rows: DataFrame, max_cont: int, max_chars: int, piece_lines: int
         walk, "source_id string, _start long, line_no long, _cut long")
 
 
+def _entries(ranges: DataFrame, block: list[str]) -> DataFrame:
+    """The line at which the part open at the begin of each piece began: block, _piece, _entry.
+
+    The maps of two neighbouring pieces make one map of both, with the ranges of the left one,
+    and so on up to whole blocks, in as many rounds as the number of pieces has binary digits.
+    On the way down a left half is
+    entered where both are, a right half where the map of its left one leads.
+    """
+    levels = [cut_lineage(ranges.withColumnRenamed("_piece", "_node"))]
+    top = levels[0].agg(F.max("_node")).first()[0] or 0
+    half = F.floor(F.col("_node") / F.lit(2)).alias("_node")
+    while top:
+        left = levels[-1].where("_node % 2 = 0").select(*block, half, "_lo", "_hi", F.col("_to").alias("_mid"))
+        right = levels[-1].where("_node % 2 = 1").select(
+            *block, half, F.col("_lo").alias("_from"), F.col("_hi").alias("_until"), "_to")
+        # A left half without a right one ends its block: nothing is entered after it.
+        both = left.join(right, [*block, "_node"]).where("_mid between _from and _until")
+        levels.append(cut_lineage(both.select(*block, "_node", "_lo", "_hi", "_to")))
+        top //= 2
+    entries = levels[0].select(*block).distinct().select(
+        *block, F.lit(0).cast("bigint").alias("_node"), F.lit(0).cast("bigint").alias("_entry"))
+    for maps in reversed(levels[:-1]):
+        led = maps.where("_node % 2 = 0").select(*block, half, "_lo", "_hi", "_to")
+        over = (entries.join(led, [*block, "_node"], "left")
+                .where("_to is null or _entry between _lo and _hi"))
+        entries = over.select(*block, F.explode(F.array(
+            F.struct((2 * F.col("_node")).alias("node"), F.col("_entry").alias("entry")),
+            F.struct((2 * F.col("_node") + 1).alias("node"), F.col("_to").alias("entry")))).alias("_c")).select(
+            *block, F.col("_c.node").alias("_node"), F.col("_c.entry").alias("_entry")).where(
+            "_entry is not null")
+    return entries.withColumnRenamed("_node", "_piece")
+
+
 def with_start_line(lines: DataFrame, start_regex: str) -> DataFrame:
     """Non-blank lines with ``_start``, the line number of their block's first line."""
     text = lines.where(~is_blank(F.col("raw"))).select("source_id", "line_no", "raw")

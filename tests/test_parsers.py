@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -214,6 +215,18 @@ def test_blocks_equal_a_plain_walk(spark, giant):
         texts, "S", 4, 60)
 
 
+def test_giant_blocks_of_several_sources_are_cut_in_rounds(spark):
+    rnd = random.Random(5)
+    texts = {s: ["S"] + ["c" * rnd.randint(0, 25) for _ in range(n)] for s, n in
+             (("a", 700), ("b", 40), ("c", 9), ("d", 0), ("e", 333))}
+    rows = [(s, i, t) for s, own in texts.items() for i, t in enumerate(own, 1)]
+    lines = spark.createDataFrame(rows, "source_id string, line_no long, raw string").repartition(3)
+    got = merge_multiline(lines, "S", 4, 60, lines_per_task=8, piece_lines=5).collect()
+    for source, own in texts.items():
+        assert sorted((r.line_no, r.continuation_lines + 1, r.truncated, r.orphan) for r in got
+                      if r.source_id == source) == _loop(own, "S", 4, 60)
+
+
 def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
     texts = [f"line {i} " + "y" * (i % 37) for i in range(1, 5001)]
     folder = tmp_path / "in"
