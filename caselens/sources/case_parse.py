@@ -26,7 +26,8 @@ def verify_sources(spark: SparkSession, sources: DataFrame) -> DataFrame:
         F.regexp_replace("path", "/[^/]*$", "").alias("root")).distinct().collect()]
     found = file_inventory(spark, roots, paths).withColumn("path", plain_path("path"))
     states = verify_files(found, paths).select(F.col("path").alias("_path"), "state").distinct()
-    return sources.withColumn("_path", plain_path("path")).join(states, "_path", "left").drop("_path")
+    return sources.withColumn("_path", plain_path("path")).join(states, "_path", "left").withColumn(
+        "state", F.coalesce("state", F.lit("missing"))).drop("_path")
 
 
 def parse_lines(lines: DataFrame, sources: DataFrame, descriptors: dict[str, dict]) -> DataFrame:
@@ -60,6 +61,8 @@ def parse_case(spark: SparkSession, sources: DataFrame, folder: str,
     parse.
     """
     known = sorted({*PARSERS, *(descriptors or {})})
+    # Read once: a list that is made anew may name other files each time.
+    sources = cut_lineage(sources)
     checked = cut_lineage(verify_sources(spark, sources).withColumn("reason", F.when(
         F.col("state") == "missing", "file missing").when(
         F.col("state") != "ok", "file altered").when(

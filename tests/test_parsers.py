@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 from datetime import datetime
@@ -300,3 +301,20 @@ def test_time_zones_and_entities(spark, tmp_path):
     assert write_events(events, path) == 10
     assert write_events(events.where("source_id = '3'"), path) == 1
     assert spark.read.parquet(path).count() == 10
+
+
+def test_a_source_list_that_changes_when_read_again(spark, tmp_path):
+    """Each reading of the list names another lost file: it is missing, not looked for."""
+    from uuid import uuid4
+
+    from caselens.sources.case_parse import parse_case
+    (tmp_path / "a.log").write_text("x\n")
+    lost = F.udf(lambda: f"{tmp_path}/{uuid4().hex}.log").asNondeterministic()
+    here = hashlib.sha256(b"x\n").hexdigest()
+    sources = spark.createDataFrame(
+        [("a", here), ("gone", here)], "source_id string, sha256 string").select(
+        F.when(F.col("source_id") == "a", f"{tmp_path}/a.log").otherwise(lost()).alias("path"),
+        "source_id", "sha256", F.lit("raw").alias("format_id"), F.lit("UTC").alias("tz_declared"))
+    report = {r.source_id: (r.status, r.reason) for r in parse_case(
+        spark, sources, f"{tmp_path}/stored").collect()}
+    assert report == {"a": ("parsed", None), "gone": ("failed", "file missing")}
