@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import broadcast_if_small, cut_lineage, spread
 from .retrieve import top_k
 
 MAX_WINDOW_SECONDS = 86_400
@@ -105,6 +105,8 @@ def corroborate(hits: DataFrame, events: DataFrame, sources: DataFrame,
     asked = (keyed(placed.where(F.col("_t").isNotNull() & F.col("system").isNotNull()))
              .withColumn("_coarse", F.floor(F.col("_t") / F.lit(coarse)))
              .join(broadcast_if_small(near, 400), [*group, "_coarse"], "left_semi"))
+    # An event becomes one row of each width, which are sorted in the task that made them.
+    asked = spread(asked, "source_id", "line_no")
     levelled = asked.select(
         *group, "source_id", "line_no", "_t",
         F.explode(F.array(*[F.lit(w).cast("bigint") for w in widths])).alias("_w")).withColumn(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_folder, spread
+from ..session import broadcast_if_small, cut_lineage, new_folder, spread
 from ..sources import (
     access_logs, case_parse, descriptors, detect, event_xml, files, iis_logs, multiline,
 )
@@ -19,7 +19,7 @@ from .registry import DOC_LINES_SQL, document_lines, query, table
 
 def access_lines(spark: SparkSession, d: str, combined: bool = True) -> DataFrame:
     """One access log line per event, some of them blank or broken."""
-    ev = spread(table(spark, d, "events"))
+    ev = spread(table(spark, d, "events"), "event_id")
     k, uid = F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
     is_public = F.col("user_id") % 3 != 0
     text = F.concat(
@@ -214,7 +214,7 @@ def unregistered(spark, d):
 
 def iis_lines(spark: SparkSession, d: str) -> DataFrame:
     """W3C lines whose column order changes along the file."""
-    ev = spread(table(spark, d, "events"))
+    ev = spread(table(spark, d, "events"), "event_id")
     moment = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     uid = F.col("user_id").cast("string")
     k = F.get_json_object("props", "$.k")
@@ -254,7 +254,7 @@ SELECT event_id + 1 AS line_no, CASE WHEN event_id % 50 = 0 OR event_id % 53 = 0
 FROM (SELECT event_id, user_id, event_type, ts, json_extract_string(props, '$.k') AS k,
   event_id % 50 <> 0 AND event_id % 53 <> 0 AS e FROM events)""")
 def parse_xml(spark, d):
-    ev = spread(table(spark, d, "events"))
+    ev = spread(table(spark, d, "events"), "event_id")
     uid = F.col("user_id").cast("string")
     xml = F.concat(
         F.lit("<Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System>"
@@ -295,7 +295,7 @@ def parse_regex(spark, d):
 
 
 def _audit_lines(spark, d):
-    ev = spread(table(spark, d, "events"))
+    ev = spread(table(spark, d, "events"), "event_id")
     k = F.get_json_object("props", "$.k")
     text = F.concat(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" u"), F.col("user_id").cast("string"),
@@ -342,7 +342,7 @@ SELECT event_id + 1 AS line_no, CASE WHEN event_id % 61 = 0 THEN 'bad' ELSE 'eve
   CASE WHEN e THEN epoch_us(date_trunc('second', ts)) END AS ts_us
 FROM (SELECT *, event_id % 61 <> 0 AS e FROM events)""")
 def parse_json(spark, d):
-    ev = spread(table(spark, d, "events"))
+    ev = spread(table(spark, d, "events"), "event_id")
     text = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), "user_id",
                               "event_type", "value"))
     lines = ev.select(F.lit("json").alias("source_id"), (F.col("event_id") + 1).alias("line_no"),
@@ -367,13 +367,13 @@ SELECT source_id, kind, count(*) AS n, CAST(sum(hash_key) AS BIGINT) AS key_sum
     WHEN event_id % 59 = 0 THEN 'bad' ELSE 'event' END AS kind FROM events)
 GROUP BY source_id, kind""")
 def parse_csv(spark, d):
-    ev = spread(table(spark, d, "events"))
+    ev = spread(table(spark, d, "events"), "event_id")
     # The first line of each source is its header: a row with the smallest line number.
-    first = ev.groupBy("event_type").agg(F.min("event_id").alias("_first"))
+    first = cut_lineage(ev.groupBy("event_type").agg(F.min("event_id").alias("_first")))
     text = F.concat_ws(";", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("user_id").cast("string"),
                        F.concat(F.lit('"a;b '), F.col("props").substr(3, 1), F.lit('"')),
                        F.col("value").cast("string"))
-    lines = ev.join(first, "event_type").select(
+    lines = ev.join(broadcast_if_small(first, 100), "event_type").select(
         F.col("event_type").alias("source_id"), (F.col("event_id") + 1).alias("line_no"), F.when(
             F.col("event_id") == F.col("_first"), "when;who;what;size").when(
             F.col("event_id") % 59 == 0, F.concat(text, F.lit(";x"))).otherwise(text).alias("raw"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # A DataFrame joined with a broadcast hint must stay below this many bytes.
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
+# Rows of one task that parses, sorts or widens each of them.
+ROWS_PER_TASK = 100_000
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -116,7 +118,18 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly work per row when the input has fewer splits than cores."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for costly work per row, with a bounded number of rows in a task.
+
+    A stored table has splits by its bytes; a small file can hold millions of rows, and splits
+    without a row group of their own are empty. Rows are counted by split, which reads no
+    column, and dealt anew when the splits are too few or too long; by the hash of ``keys``,
+    else in turn.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits, most, rows = df.groupBy(F.spark_partition_id().alias("_split")).agg(
+        F.count(F.lit(1)).alias("_n")).agg(
+        F.count(F.lit(1)), F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if splits >= cores and most <= ROWS_PER_TASK:
+        return df
+    return df.repartition(max(cores, -(-rows // ROWS_PER_TASK)), *keys)

@@ -559,3 +559,30 @@ def test_note_anchors(spark):
         1: None, 2: "anchor does not exist", 3: None, 4: "anchor does not exist", 5: None,
         6: "anchor does not exist", 7: "empty note", 8: "note too long", 9: "anchor does not exist",
         10: None, 11: "unknown anchor kind", 12: "anchor reference missing"}
+
+
+def test_linkage_rounds_leave_the_pairs_where_they_are(spark, monkeypatch):
+    """A round exchanges sums per entity and, after a checkpoint, one row per event."""
+    from caselens.operators import linkage
+    plans, cut = [], linkage.cut_lineage
+    monkeypatch.setattr(linkage, "cut_lineage", lambda df: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    entities = spark.range(400).select(
+        F.lit("s").alias("source_id"), F.col("id").alias("line_no"), F.explode(F.array(
+            F.concat(F.lit("a"), F.col("id") % 7), F.concat(F.lit("b"), F.col("id") % 11))).alias(
+            "canonical_key"))
+    scores = linkage.entity_linkage(entities, rounds=6)
+    assert scores.count() == 400
+    assert abs(scores.agg(F.sum("score")).first()[0] - 1) < 1e-9
+    rounds = [p for p in plans if "score" in p]
+    assert rounds and max(p.split("InMemoryRelation")[0].count("Exchange hashpartitioning") for p in rounds) <= 2
+
+
+def test_costly_rows_are_dealt_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    from caselens import session
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100, raising=False)
+    spark.range(5000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    rows = session.spread(spark.read.parquet(f"{tmp_path}/one"))
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 200
+    assert rows.distinct().count() == 5000

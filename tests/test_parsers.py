@@ -318,3 +318,29 @@ def test_a_source_list_that_changes_when_read_again(spark, tmp_path):
     report = {r.source_id: (r.status, r.reason) for r in parse_case(
         spark, sources, f"{tmp_path}/stored").collect()}
     assert report == {"a": ("parsed", None), "gone": ("failed", "file missing")}
+
+
+def test_a_preview_parses_the_sample_once(spark):
+    """Lines that are other texts each time they are made look the same in every reading."""
+    from uuid import uuid4
+    spec = {"name": "n", "kind": "regex", "line_regex": r"(?P<t>\S+ \S+) (?P<who>\S+)",
+            "field_map": {"t": "ts_raw", "who": "actor"}, "ts_field": "t",
+            "ts_formats": ["%Y-%m-%d %H:%M:%S"]}
+    made = F.udf(lambda: f"2024-01-01 24:00:00 {uuid4()}" if uuid4().int % 2
+                 else f"2024-01-01 10:00:00 {uuid4()}").asNondeterministic()
+    lines = spark.range(40).select(F.lit("s").alias("source_id"), "id").select(
+        "source_id", F.col("id").alias("line_no"), made().alias("raw"))
+    seen = preview_parse(lines, spec, 40)
+    events, bad = seen["events"].collect(), seen["bad"].collect()
+    counts = seen["counts"].first()
+    assert (counts.total_lines, counts.parsed, counts.bad_lines) == (40, len(events), len(bad))
+    assert sorted(r.line_no for r in events + bad) == list(range(40))
+    assert seen["events"].collect() == events
+    assert {r.norm.actor for r in events} == {r.raw.split()[-1] for r in events}
+
+
+def test_csv_lines_stay_in_their_tasks(spark):
+    """The header of a source goes to its lines; a source of any size is many tasks."""
+    from caselens.plans.parsing import parse_csv
+    plan = parse_csv(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_type" not in plan
