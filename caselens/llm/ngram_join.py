@@ -14,7 +14,7 @@ on pieces:
 Equal sets are one node from the start. In a group that shares a piece, every set is first
 compared with one set of the group, that with the most shared pieces (usually the text all
 others were copied from). What remains are pairs in different components. They are found
-again by the same means in the differences to that lead: sets whose differences have too few
+again by the same means in the differences to that lead: sets that added or removed too few
 grams in common with others go, the others meet by their rarest difference. No link that
 could join components is left out, and a group of copies costs about one comparison per
 member.
@@ -190,36 +190,88 @@ def _links(counted: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where(F.col("shared") * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
 
 
-def _outside(rows: DataFrame, value: str, lowest: bool, name: str) -> DataFrame:
-    """Adds the least (or greatest) ``value`` of the other components in the row's group ``b``.
+def _outside(rows: DataFrame, *values: tuple[str, str, bool]) -> DataFrame:
+    """Adds the least (or greatest) values of the other components in the row's group ``b``.
 
-    A group needs two numbers for that: the best one, and the best one of another component
-    than the best. Rows of groups of one component go.
+    ``values`` are (column, new column, whether the least). A group needs two numbers for each:
+    the best one, and the best one of another component than the best. Rows of groups of one
+    component go.
     """
-    pick = F.min if lowest else F.max
-    best = rows.groupBy("b", "component").agg(pick(value).alias("_v"))
-    first = best.groupBy("b").agg(pick(F.struct("_v", "component")).alias("_f"))
-    second = best.join(first, "b").where(F.col("component") != F.col("_f.component")).groupBy("b").agg(
-        F.first("_f").alias("_f"), pick("_v").alias("_s"))
-    return rows.join(small_or_not(stored(second, "outside")), "b").withColumn(
-        name, F.when(F.col("component") == F.col("_f.component"), F.col("_s")).otherwise(
-            F.col("_f._v"))).drop("_f", "_s")
+    picks = {name: (value, F.min if lowest else F.max) for value, name, lowest in values}
+    best = rows.groupBy("b", "component").agg(*[pick(value).alias(name) for name, (value, pick) in picks.items()])
+    first = best.groupBy("b").agg(F.count("*").alias("_c"), *[
+        pick(F.struct(name, "component")).alias(f"_1{name}") for name, (_, pick) in picks.items()])
+    second = best.join(first.where("_c > 1"), "b").groupBy("b").agg(*[c for name, (_, pick) in picks.items() for c in (
+        F.first(f"_1{name}").alias(f"_1{name}"),
+        pick(F.when(F.col("component") != F.col(f"_1{name}.component"), F.col(name))).alias(f"_2{name}"))])
+    return rows.join(small_or_not(stored(second, "outside")), "b").select(*rows.columns, *[
+        F.when(F.col("component") == F.col(f"_1{name}.component"), F.col(f"_2{name}")).otherwise(
+            F.col(f"_1{name}.{name}")).alias(name) for name in picks])
+
+
+# Two rows x, y can be linked when x.e <= y.g, x.f <= y.p and the same with x and y exchanged.
+_HAS_PARTNER = "least_e <= g and e <= most_g and least_f <= p and f <= most_p"
+
+
+def _bounded(rows: DataFrame, twice: int) -> DataFrame:
+    """Adds the bounds f, g and p that follow from ``added``, ``removed`` and ``e``."""
+    return rows.withColumns({
+        "f": F.col("e") - twice * F.col("removed"), "p": twice * F.col("added") - F.col("e"),
+        "g": twice * (F.col("added") + F.col("removed")) - F.col("e")})
+
+
+def _with_partners(rows: DataFrame, twice: int) -> DataFrame:
+    """The rows that can be linked with a set of another component of their group, by counts."""
+    return _outside(_bounded(rows, twice), ("e", "least_e", True), ("f", "least_f", True),
+                    ("g", "most_g", False), ("p", "most_p", False)).where(_HAS_PARTNER)
+
+
+def _difference(known: DataFrame, pieces: DataFrame, *sides: tuple[Column, int]) -> DataFrame:
+    """(b, set_id, gram, new): grams of each set of ``known`` and its lead b by which they differ."""
+    marked = F.array(*[F.struct(grams.alias("grams"), F.lit(new).alias("new")) for grams, new in sides])
+    return _side_by_side(known.select(F.col("set_id").alias("a"), "b"), pieces).select(
+        "b", F.col("a").alias("set_id"), F.inline(marked)).select(
+        "b", "set_id", F.explode("grams").alias("gram"), "new")
+
+
+def _narrowed(known: DataFrame, grams: DataFrame, twice: int) -> DataFrame:
+    """The rows of ``known`` that still have partners when only those of their ``grams`` count
+    that another set of the group, which is left too, has as well; repeated while many go."""
+    columns, before, rows = known.columns, None, known.count()
+    while rows and (before is None or 4 * rows <= 3 * before):
+        alone = grams.join(small_or_not(known.select("b", "set_id")), ["b", "set_id"], "left_semi").groupBy(
+            "b", "gram").agg(F.count("*").alias("_m"), F.min("set_id").alias("set_id"),
+                             F.min("new").alias("new")).where("_m = 1").groupBy("b", "set_id").agg(
+            F.sum("new").alias("_a"), F.sum(1 - F.col("new")).alias("_r"))
+        held = known.join(small_or_not(stored(alone, "alone")), ["b", "set_id"], "left").withColumns({
+            "added": F.col("all_added") - F.coalesce("_a", F.lit(0)),
+            "removed": F.col("all_removed") - F.coalesce("_r", F.lit(0))})
+        known = stored(_with_partners(held, twice).select(columns), "known")
+        before, rows = rows, known.count()
+    return known
 
 
 def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
-               pieces: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+               pieces: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that share a piece and can still be linked.
 
-    Everything is measured from the lead b of a group. With Dx the difference of x to b,
+    Everything is measured from the lead b of a group. Dx, the difference of x to b, is what x
+    added (grams of x alone, ax of them) and what it removed (grams of b alone, rx). With
     ex = (den + num) |Dx| - (den - num) |x|, two sets are linked when
-    2 (den + num) |Dx and Dy| >= ex + ey. So
-
-    * x needs as many grams in Dx that other members have too as its easiest partner asks for.
-      Grams of Dx that no other open set or lead has are no use; most copies that were edited
-      on their own go by this, without being paired.
-    * Of what is left, a pair that shares t grams shares one among each side's rarest
-      |Dx| - t + 1. Only these are joined, so a group falls apart into sets that differ from
-      the lead by the same rare grams.
+    2 (den + num) |Dx and Dy| >= ex + ey. Added grams meet only added ones, removed ones only
+    removed ones, so |Dx and Dy| <= min(ax, ay) + min(rx, ry), where only grams count that other
+    open sets of the group have too. Written with fx = ex - 2 (den + num) rx,
+    px = 2 (den + num) ax - ex and gx = 2 (den + num) (ax + rx) - ex, a pair needs ex <= gy,
+    ey <= gx, fx <= py and fy <= px. So
+
+    * x needs a partner of another component within these bounds. In a large group nearly
+      every gram of b is removed by several copies, but a set that is not linked with b needs
+      added grams in common with its partner: most copies that were edited on their own go by
+      counts alone, without being paired.
+    * Added grams are counted within the group among the sets that are left, again and again
+      while many go. Only what then remains brings its removed grams, and is counted so too.
+    * Of these, a pair meets by the first gram that both hold in the order of rarity, and the
+      bounds are taken with what each side holds from there on.
     """
     labelled = led.join(small_or_not(grouped.withColumnRenamed("node", "set_id")), "set_id",
                         "left").select(
@@ -238,44 +290,46 @@ def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
         F.count("*").alias("_m"), F.min("set_id").alias("set_id")).where("_m = 1").groupBy(
         "set_id").agg(F.count("*").alias("s"))
     single = small_or_not(stored(single, "single"))
-    far = counted.select(F.col("a").alias("_x"), F.col("b").alias("_y"),
-                         (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("u"))
-    sized = small_or_not(stored(sets.select("set_id", "n").join(
-        left.select("set_id").distinct(), "set_id"), "sized"))
+    far = counted.select(F.col("a").alias("_x"), F.col("b").alias("_y"), "na", "nb", "shared")
     both_sides, twice = den + num, 2 * (den + num)
     known = left.withColumns({"_x": F.least("set_id", "b"), "_y": F.greatest("set_id", "b")}).join(
-        small_or_not(stored(far, "far")), ["_x", "_y"]).join(sized, "set_id").join(
-        single, "set_id", "left").select(
-        "b", "set_id", "component", "n", "u", (F.col("u") - F.coalesce("s", F.lit(0))).alias("held"),
-        (both_sides * F.col("u") - (den - num) * F.col("n")).alias("e"))
-    known = stored(known.withColumn("g", twice * F.col("held") - F.col("e")), "known")
-    # A partner has e <= g of this one and g >= e of this one.
+        small_or_not(stored(far, "far")), ["_x", "_y"]).join(single, "set_id", "left").withColumn(
+        "n", F.when(F.col("set_id") == F.col("_x"), F.col("na")).otherwise(F.col("nb"))).withColumns({
+            "all_added": F.col("n") - F.col("shared"),
+            "all_removed": F.col("na") + F.col("nb") - F.col("n") - F.col("shared")}).select(
+        "b", "set_id", "component", "n", "all_added", "all_removed",
+        (F.col("all_added") - F.coalesce("s", F.lit(0))).alias("added"),
+        F.col("all_removed").alias("removed"),
+        (both_sides * (F.col("all_added") + F.col("all_removed")) - (den - num) * F.col("n")).alias("e"))
+    known = stored(known, "known")
+    columns = known.columns
     for _ in range(2):
-        known = _outside(_outside(known, "e", True, "_e"), "g", False, "_g")
-        known = stored(known.where("_e <= g and e <= _g").drop("_e", "_g"), "known")
-    apart = _side_by_side(stored(known.select(F.col("set_id").alias("a"), "b"), "apart"), pieces).select(
-        F.col("a").alias("set_id"), "b", F.explode(F.concat(
-            F.array_except("grams", "_other"), F.array_except("_other", "grams"))).alias("gram"))
-    apart = stored(apart, "differences").repartition("b", "gram")
-    shared = apart.groupBy("b", "gram").agg(F.count("*").alias("_f"), F.min("set_id").alias("_p")).where(
+        known = stored(_with_partners(known, twice).select(columns), "known")
+    new, gone = F.array_except("grams", "_other"), F.array_except("_other", "grams")
+    known = _narrowed(known, stored(_difference(known, pieces, (new, 1)), "added"), twice)
+    differences = stored(_difference(known, pieces, (new, 1), (gone, 0)), "differences")
+    known = _narrowed(known, differences, twice)
+    differences = differences.join(small_or_not(known.select("b", "set_id")), ["b", "set_id"],
+                                   "left_semi").repartition("b", "gram")
+    common = differences.groupBy("b", "gram").agg(F.count("*").alias("_f"), F.min("set_id").alias("_p")).where(
         "_f > 1").select("b", "gram", "_f")
-    shared = stored(apart.join(shared, ["b", "gram"]), "shared")
-    held = shared.groupBy("b", "set_id").agg(F.count("*").alias("held"))
-    fit = known.drop("held", "g").join(small_or_not(stored(held, "held")), ["b", "set_id"]).withColumn(
-        "g", twice * F.col("held") - F.col("e"))
-    fit = _outside(_outside(fit, "e", True, "_e"), "g", False, "_g").where("_e <= g and e <= _g")
-    fit = stored(fit.withColumn("_most", F.col("held") + 1 - F.greatest(
-        F.lit(1), F.ceil((F.col("e") + F.col("_e")) / twice))).drop("_e", "_g"), "fit")
-    rarest = Window.partitionBy("b", "set_id").orderBy("_f", "gram")
-    rare = stored(shared.join(small_or_not(fit), ["b", "set_id"]).withColumn(
-        "_r", F.row_number().over(rarest)).where("_r <= _most").select(
-        "b", "gram", "set_id", "component", "n", "e", "g"), "rare")
+    common = stored(differences.join(common, ["b", "gram"]), "shared")
+    held = common.groupBy("b", "set_id").agg(F.sum("new").alias("added"), F.sum(1 - F.col("new")).alias("removed"))
+    fit = stored(_with_partners(known.drop("added", "removed", "all_added", "all_removed").join(
+        small_or_not(stored(held, "held")), ["b", "set_id"]), twice), "fit")
+    # What a set holds from a gram on, in the order of rarity that all sets of the group share.
+    rarest = Window.partitionBy("b", "set_id").orderBy("_f", "gram").rowsBetween(0, Window.unboundedFollowing)
+    rare = common.join(small_or_not(fit.drop("added", "removed", "f", "g", "p")), ["b", "set_id"]).withColumns({
+        "added": F.sum("new").over(rarest), "removed": F.sum(1 - F.col("new")).over(rarest)})
+    rare = stored(_bounded(rare, twice).where(_HAS_PARTNER).select(
+        "b", "gram", "set_id", "component", "n", "e", "f", "g", "p"), "rare")
     x, y = rare.alias("x"), rare.alias("y")
     return x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.gram") == F.col("y.gram"))
                   & (F.col("x.set_id") < F.col("y.set_id"))
                   & (F.col("x.component") != F.col("y.component"))
                   & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-                  & (F.col("x.e") <= F.col("y.g")) & (F.col("y.e") <= F.col("x.g"))).select(
+                  & (F.col("x.e") <= F.col("y.g")) & (F.col("y.e") <= F.col("x.g"))
+                  & (F.col("x.f") <= F.col("y.p")) & (F.col("y.f") <= F.col("x.p"))).select(
         F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
 
 
@@ -336,7 +390,7 @@ def ngram_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     counted = stored(_counted(first, pieces, sets), "counted")
     links = stored(_links(counted, num, den), "links")
     grouped = components(links)
-    rest = stored(_unsettled(led, grouped, counted, pieces, sets, num, den).join(
+    rest = stored(_unsettled(led, grouped, counted, pieces, num, den).join(
         first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = stored(_counted(rest, pieces, sets), "more")

@@ -149,6 +149,32 @@ def test_ngram_join_of_one_group_of_many_near_copies(spark, k, num, den, most):
     assert 2 < len({c for _, _, c in want}) < 1500
 
 
+def test_ngram_join_takes_no_grams_of_copies_edited_on_their_own(spark, monkeypatch):
+    """Two copies with a long passage in common leave the other copies of their group settled."""
+    rng, base = random.Random(12), [f"w{i}" for i in range(400)]
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(302):
+        own = list(base)
+        for at in rng.sample(range(0, 400, 6), 8 if i < 2 else rng.randint(10, 13)):
+            own[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(own[:200] + (passage if i < 2 else []) + own[200:])))
+    rows.append((302, " ".join(base)))
+    written, stored = {}, ngram_join.stored
+
+    def counting(df, name):
+        df = stored(df, name)
+        written[name] = max(written.get(name, 0), df.count())
+        return df
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.ngram_groups(docs, 5, 8, 10).select("doc_id", "n_shingles", "component_id")
+    want = plain_groups(rows, 5, 8, 10)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert len({c for _, _, c in want}) > 250 and written["left"] > 250
+    assert written["differences"] < 20 * len(rows) and written["shared"] < len(rows)
+
+
 def test_ngram_join_edges(edge_docs, no_docs):
     assert ngram_join.ngram_groups(no_docs).count() == 0
     got = {r.doc_id: r for r in ngram_join.ngram_groups(edge_docs).collect()}
