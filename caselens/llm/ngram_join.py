@@ -227,21 +227,27 @@ def _with_partners(rows: DataFrame, twice: int) -> DataFrame:
 
 
 def _difference(known: DataFrame, pieces: DataFrame, *sides: tuple[Column, int]) -> DataFrame:
-    """(b, set_id, gram, new): grams of each set of ``known`` and its lead b by which they differ."""
+    """(b, set_id, grams, new): grams of each set of ``known`` and its lead b by which they differ,
+    as a list in each part."""
     marked = F.array(*[F.struct(grams.alias("grams"), F.lit(new).alias("new")) for grams, new in sides])
     return _side_by_side(known.select(F.col("set_id").alias("a"), "b"), pieces).select(
-        "b", F.col("a").alias("set_id"), F.inline(marked)).select(
+        "b", F.col("a").alias("set_id"), F.inline(marked)).where(F.size("grams") > 0)
+
+
+def _grams_of(known: DataFrame, lists: DataFrame) -> DataFrame:
+    """(b, set_id, gram, new) of the rows of ``known``; lists of the others are not opened."""
+    return lists.join(small_or_not(known.select("b", "set_id")), ["b", "set_id"], "left_semi").select(
         "b", "set_id", F.explode("grams").alias("gram"), "new")
 
 
-def _narrowed(known: DataFrame, grams: DataFrame, twice: int) -> DataFrame:
-    """The rows of ``known`` that still have partners when only those of their ``grams`` count
+def _narrowed(known: DataFrame, lists: DataFrame, twice: int) -> DataFrame:
+    """The rows of ``known`` that still have partners when only those of their grams (``lists``) count
     that another set of the group, which is left too, has as well; repeated while many go."""
     columns, before, rows = known.columns, None, known.count()
     while rows and (before is None or 4 * rows <= 3 * before):
-        alone = grams.join(small_or_not(known.select("b", "set_id")), ["b", "set_id"], "left_semi").groupBy(
-            "b", "gram").agg(F.count("*").alias("_m"), F.min("set_id").alias("set_id"),
-                             F.min("new").alias("new")).where("_m = 1").groupBy("b", "set_id").agg(
+        alone = _grams_of(known, lists).groupBy("b", "gram").agg(
+            F.count("*").alias("_m"), F.min("set_id").alias("set_id"), F.min("new").alias("new")).where(
+            "_m = 1").groupBy("b", "set_id").agg(
             F.sum("new").alias("_a"), F.sum(1 - F.col("new")).alias("_r"))
         held = known.join(small_or_not(stored(alone, "alone")), ["b", "set_id"], "left").withColumns({
             "added": F.col("all_added") - F.coalesce("_a", F.lit(0)),
@@ -307,10 +313,9 @@ def _unsettled(led: DataFrame, grouped: DataFrame, counted: DataFrame,
         known = stored(_with_partners(known, twice).select(columns), "known")
     new, gone = F.array_except("grams", "_other"), F.array_except("_other", "grams")
     known = _narrowed(known, stored(_difference(known, pieces, (new, 1)), "added"), twice)
-    differences = stored(_difference(known, pieces, (new, 1), (gone, 0)), "differences")
-    known = _narrowed(known, differences, twice)
-    differences = differences.join(small_or_not(known.select("b", "set_id")), ["b", "set_id"],
-                                   "left_semi").repartition("b", "gram")
+    lists = stored(_difference(known, pieces, (new, 1), (gone, 0)), "differences")
+    known = _narrowed(known, lists, twice)
+    differences = _grams_of(known, lists).repartition("b", "gram")
     common = differences.groupBy("b", "gram").agg(F.count("*").alias("_f"), F.min("set_id").alias("_p")).where(
         "_f > 1").select("b", "gram", "_f")
     common = stored(differences.join(common, ["b", "gram"]), "shared")
